@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palisade.llm.spans import cut, filter_texts, map_texts, text_key
+from palisade.llm.spans import ascii_lower, cut, filter_texts, map_texts, text_key
 from palisade.llm.tokens import Words
 
 WINDOW = 13
@@ -172,7 +172,7 @@ def _by_shuffle(docs: DataFrame, windows: DataFrame) -> DataFrame:
     hit = spans.withColumn("_new", F.greatest(F.col("end") - reach, F.lit(0))).groupBy("_k1", "_k2").agg(F.sum("_new").alias("n_hit"))
     items = hits.select("_k1", "_k2", "item_id").distinct().groupBy("_k1", "_k2").agg(F.sort_array(F.collect_list("item_id")).alias("_items"))
     alnum = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    out = keyed.withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(alnum)), F.lit(0)).cast("long")).drop("text")
+    out = keyed.withColumn("n_words", F.coalesce(F.regexp_count(ascii_lower(F.col("text")), F.lit(alnum)), F.lit(0)).cast("long")).drop("text")
     out = out.join(hit, ["_k1", "_k2"], "left").join(items, ["_k1", "_k2"], "left")
     none = F.array().cast("array<string>")
     held = F.coalesce("_items", none)

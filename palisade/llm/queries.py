@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import decontaminate, lines, mixing, secrets
+from palisade.llm import decontaminate, lines, mixing, neardup, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +25,15 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_summary(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_line_dedup, op8_decontaminate, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_line_dedup, op8_decontaminate, op9_ngram_jaccard, op10_mix_sources)}
 ORACLE_SQL = {
     "op1_secret_scan": secrets.SECRETS_SQL,
     "op4_line_dedup": lines.LINES_SQL,

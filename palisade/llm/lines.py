@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.spans import cut, text_key
+from palisade.llm.spans import cut, packed, text_key, unpacked
 
 #: A line on this many distinct sites is boilerplate.
 MIN_SITES = 5
@@ -59,7 +59,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     The first document of a line keeps it. Null texts stay null with 0 lines;
     a text that loses all its lines becomes empty; no row is dropped. A null
-    source is a site of its own. n_chars, if there, follows the new text.
+    source is a site of its own. n_chars, if there, follows the new text;
+    columns of docs called n_lines or n_removed give way.
     Documents with the same (also null) doc_id count as one for "first".
     """
     rows = line_rows(docs)
@@ -71,7 +72,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         .withColumnsRenamed({"k1": "_k1", "k2": "_k2", "doc_id": "_id"})
     )
     k1, k2 = text_key(F.col("text"))
-    keyed = docs.withColumns({"_d1": k1, "_d2": k2})
+    keyed = packed(docs, "doc_id", "text").withColumns({"_d1": k1, "_d2": k2})
     same = (F.col("_d1") == F.col("_k1")) & (F.col("_d2") == F.col("_k2")) & F.col("doc_id").eqNullSafe(F.col("_id"))
 
     def stays(line: Column) -> Column:
@@ -81,12 +82,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lines = F.split("text", "\n")
     kept = F.when(F.col("_hits").isNull(), lines).otherwise(F.filter(lines, stays))
     out = keyed.join(hits, same, "left").withColumn("_kept", kept)
-    n = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-    out = out.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(n).cast("long"), "n_removed": F.when(F.col("text").isNull(), 0).otherwise(n - F.size("_kept")).cast("long")})
-    out = out.withColumn("text", F.array_join("_kept", "\n"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.drop("_k1", "_k2", "_d1", "_d2", "_id", "_hits", "_kept")
+    null = F.col("text").isNull()
+    n_lines = F.when(null, 0).otherwise(F.size(lines)).cast("long")
+    n_removed = F.when(null, 0).otherwise(F.size(lines) - F.size("_kept")).cast("long")
+    text = F.array_join("_kept", "\n")
+    new = {"text": text} | ({"n_chars": F.length(text)} if "n_chars" in docs.columns else {})
+    rest = docs.drop("n_lines", "n_removed")
+    return out.select(*unpacked(rest, new), n_lines.alias("n_lines"), n_removed.alias("n_removed"))
 
 
 LINES_SQL = f"""

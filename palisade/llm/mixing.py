@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.llm.spans import WORD, cut
+from palisade.llm.spans import WORD, cut, packed, unpacked
 
 #: Sources in code-point order (null last) take these weights in turn.
 WEIGHTS = (5, 2, 1)
@@ -90,10 +90,13 @@ def mix_summary(docs: DataFrame) -> DataFrame:
 
 
 def emit(docs: DataFrame) -> DataFrame:
-    """The mixed corpus: each document as often as the mix takes it, with its `copy` number from 1."""
-    columns = docs.columns
-    got = mix(docs).filter("copies > 0")
-    return got.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    """The mixed corpus: each document as often as the mix takes it, with its `copy` number from 1.
+
+    A column of docs that is called copy gives way.
+    """
+    got = mix(packed(docs, "doc_id", "text", "source")).filter("copies > 0")
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
+    return got.select(*unpacked(docs.drop("copy")), copy)
 
 
 MIX_SQL = r"""

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palisade.llm.spans import cut, map_texts, text_key
+from palisade.llm.spans import cut, map_texts, packed, text_key, unpacked
 from palisade.llm.tokens import Words
 
 SHINGLE = 5
@@ -229,7 +229,7 @@ def _rows_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """docs joined with rows on (_id, _k1, _k2); repeated rows of docs come once."""
     k1, k2 = text_key(F.col("text"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (k1 == F.col("_k1")) & (k2 == F.col("_k2"))
-    return docs.join(rows, same).dropDuplicates(["_id", "_k1", "_k2"])
+    return packed(docs, "doc_id", "text").join(rows, same).dropDuplicates(["_id", "_k1", "_k2"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -256,4 +256,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     _, classes = classify(docs)
     reps = classes.select(F.col("rep.doc_id").alias("_id"), F.col("rep.k1").alias("_k1"), F.col("rep.k2").alias("_k2")).distinct()
     blank = docs.filter(~F.coalesce(F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), F.lit(False)))
-    return _rows_of(docs, reps).select(docs.columns).unionByName(blank)
+    return _rows_of(docs, reps).select(*unpacked(docs)).unionByName(blank)

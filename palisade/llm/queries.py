@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import decontaminate, lines, mixing, neardup, secrets
+from palisade.llm import decontaminate, lines, mixing, neardup, quality, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
@@ -33,7 +37,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_summary(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_line_dedup, op8_decontaminate, op9_ngram_jaccard, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op4_line_dedup, op8_decontaminate, op9_ngram_jaccard, op10_mix_sources)}
 ORACLE_SQL = {
     "op1_secret_scan": secrets.SECRETS_SQL,
     "op4_line_dedup": lines.LINES_SQL,

@@ -43,6 +43,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns beside `__row`, a struct of all columns: working columns then can't clash with docs'."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), *names)
+
+
+def unpacked(docs: DataFrame, replaced: dict[str, Column] | None = None) -> list[Column]:
+    """docs' columns out of `__row`, some of them replaced."""
+    replaced = replaced or {}
+    return [replaced[c].cast(docs.schema[c].dataType).alias(c) if c in replaced else F.col("__row").getField(c).alias(c) for c in docs.columns]
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z; every other character stays."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import decontaminate, langid, lines, lm, mixing, neardup, quality, secrets
+from palisade.llm import decontaminate, langid, lines, lm, media, mixing, neardup, quality, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_summary(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op3_lm_scoring, op4_line_dedup, op6_language_id, op8_decontaminate, op9_ngram_jaccard, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op3_lm_scoring, op4_line_dedup, op5_media_columns, op6_language_id, op8_decontaminate, op9_ngram_jaccard, op10_mix_sources)}
 ORACLE_SQL = {
     "op1_secret_scan": secrets.SECRETS_SQL,
     "op4_line_dedup": lines.LINES_SQL,

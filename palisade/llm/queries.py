@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import decontaminate, langid, lines, lm, media, mixing, neardup, quality, secrets
+from palisade.llm import decontaminate, html, langid, lines, lm, media, mixing, neardup, quality, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -49,7 +53,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_summary(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op3_lm_scoring, op4_line_dedup, op5_media_columns, op6_language_id, op8_decontaminate, op9_ngram_jaccard, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op3_lm_scoring, op4_line_dedup, op5_media_columns, op6_language_id, op7_html_extraction, op8_decontaminate, op9_ngram_jaccard, op10_mix_sources)}
 ORACLE_SQL = {
     "op1_secret_scan": secrets.SECRETS_SQL,
     "op4_line_dedup": lines.LINES_SQL,

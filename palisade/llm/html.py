@@ -42,10 +42,11 @@ BOILER_NAMES = frozenset(
 CONTENT_TAGS = frozenset(("article", "main"))
 CONTENT_NAMES = frozenset("article articlebody body content entry main post postbody postcontent story storybody text".split())
 
-#: Costs: a block under a boilerplate element, one under a content element, one under neither; weights of the ties.
-BOILER_COST, CONTENT_COST, OPEN_COST = 8.0, 4.0, 0.3
+#: Costs: a block under a boilerplate element, one under a content element, one under neither (plus a share for each word, up to 24).
+BOILER_COST, CONTENT_COST, OPEN_COST, WORD_COST = 8.0, 4.0, 0.3, 0.1
 #: Cost of a block outside both that is all link.
 LINK_COST = 3.0
+#: Weights of the ties between neighbours and between blocks under one parent.
 NEXT, SIBLING = 0.4, 0.6
 #: The learned evidence moves a cost by this much at most.
 EVIDENCE = 2.5
@@ -226,7 +227,7 @@ def main_text(page: str | None, evidence: dict[str, float]) -> str:
     costs, ties, last = [], [], {}
     for i, b in enumerate(found):
         learned = max(-EVIDENCE, min(EVIDENCE, sum(evidence.get(c, 0.0) for c in cues(b, i / len(found)))))
-        zone = -BOILER_COST if b.boiler else CONTENT_COST if b.content else OPEN_COST - LINK_COST * min(1.0, b.linked / len(b.text))
+        zone = -BOILER_COST if b.boiler else CONTENT_COST if b.content else OPEN_COST + WORD_COST * min(24, b.text.count(" ") + 1) - LINK_COST * min(1.0, b.linked / len(b.text))
         costs.append(zone + learned)
         if i:
             ties.append((i - 1, i, NEXT))

@@ -293,7 +293,7 @@ def f1_tool_facts(x: Lens) -> DataFrame:
     return selector.tool_facts(x.graph, x.observed).select("agent", "tool_key", "is_drifted", "is_unmapped", "has_unbacked_edges", "read_only_hint", "destructive_hint", "permitted")
 
 
-@query("select agent, tool_key, case when violation then 'violation' else 'authorized_but_governed' end as classification from worst")
+@query("select agent, tool_key, case when violation then 'violation' else 'authorized_but_governed' end as classification from worst semi join can_call using (agent, tool_key)")
 def f2_worst_classification(x: Lens) -> DataFrame:
     got = deny.deny_evidence(x.graph, x.graph.can_call)
     return got.select("agent", "tool_key", selector.worst_classification(F.col("deny_paths")).alias("classification"))

@@ -132,6 +132,56 @@ class Lens:
         ref = F.when(F.col("pos") % 7 == 0, F.concat(F.col("tool_key"), F.lit("-gone"))).when(F.col("pos") % 3 == 0, F.expr("split_part(tool_key, '::', 2)")).otherwise(F.col("tool_key"))
         return seen.select("agent", "pos", ref.alias("ref"))
 
+    @cached_property
+    def manifest(self):
+        """The authored part of the graph as a manifest."""
+        from palisade.operators.manifest import Manifest
+
+        g, zero = self.graph, F.lit(0).cast("long").alias("seq")
+        on_uri = g.governed_resource.select(zero, F.lit("governed_resources").alias("field"), F.col("uri").alias("node"), "policy", "prov")
+        on_tool = g.governed_tool.select(zero, F.lit("governed_tools").alias("field"), F.col("tool_key").alias("node"), "policy", "prov")
+        return Manifest(
+            agents=g.agents.select(zero, "id"),
+            policies=g.policies.select(zero, "id", "effect", "scope", "description"),
+            grants=g.can_call.select(zero, "agent", F.col("tool_key").alias("ref"), "granted_by", "prov"),
+            data_access=g.data_access.select(zero, F.col("tool_key").alias("ref"), "mode", F.col("uri").alias("resource"), "prov"),
+            bindings=on_uri.unionByName(on_tool),
+            exceptions=g.exceptions.select(zero, "agent", F.col("tool_key").alias("ref"), "policy", "resource", "reason"),
+        )
+
+    @cached_property
+    def proposed(self):
+        """A changed manifest: one segment's grants gone, others added, policies flipped, edges and exceptions edited."""
+        m = self.manifest
+        flip = F.when(F.col("effect") == "DENY", "ALLOW").otherwise("DENY")
+        out = self.table("customer").filter("c_mktsegment = 'MACHINERY'").select(F.col("c_name").alias("agent"))
+        kept = m.grants.join(out, "agent", "left_anti").withColumn("granted_by", F.when(F.col("granted_by") == "1-URGENT", "reviewed").otherwise(F.col("granted_by")))
+        new = self.observed.filter("would_block_calls >= 1").join(self.graph.can_call, ["agent", "tool_key"], "left_anti").join(out, "agent", "left_anti")
+        new = new.select(F.lit(1).cast("long").alias("seq"), "agent", F.col("tool_key").alias("ref"), F.lit("proposal").alias("granted_by"), authored(F.lit(None).cast("string")).alias("prov"))
+        access = m.data_access.filter("not (mode = 'WRITES' and resource like 'store:1%')")
+        access = access.withColumn("prov", F.when(F.col("mode") == "READS", authored(F.coalesce("prov.evidence", F.lit("reviewed")))).otherwise(F.col("prov")))
+        exc = m.exceptions.filter("reason = 'segment'").withColumn("reason", F.when(F.col("resource").like("store:2%"), "segment 2").otherwise(F.col("reason")))
+        return m.with_tables(
+            policies=m.policies.withColumn("effect", F.when(F.length("id") % 5 == 0, flip).otherwise(F.col("effect"))),
+            grants=kept.select(*m.grants.columns).unionByName(new),
+            data_access=access,
+            bindings=m.bindings.filter("length(policy) % 7 <> 0"),
+            exceptions=exc,
+        )
+
+    @cached_property
+    def second_crawl(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(servers, tools, resources) that every second supplier lists later."""
+        odd = self.lines.filter("cast(right(s_name, 1) as int) % 2 = 0")
+        none, zero = F.lit(None).cast("string"), F.lit(0).cast("long").alias("seq")
+        servers = self.lines.select(F.col("s_name").alias("name")).distinct().filter("cast(right(name, 1) as int) % 2 = 0")
+        servers = servers.select("name", F.lit("2").alias("version"), F.lit("stdio").alias("transport"), F.col("name").alias("endpoint"))
+        tools = odd.filter("l_linestatus = 'F'").groupBy(F.col("tool_key").alias("key"), F.col("tool").alias("name"), F.col("s_name").alias("server")).agg(F.min("p_size").alias("p"))
+        no = F.lit(None).cast("boolean")
+        tools = tools.select("key", "name", "server", none.alias("description"), none.alias("input_schema"), F.when(F.col("p") % 3 == 1, True).alias("read_only_hint"), no.alias("destructive_hint"), no.alias("idempotent_hint"), no.alias("open_world_hint"), zero)
+        resources = odd.filter("p_size > 20").select(F.col("s_name").alias("server"), "uri").distinct().select("server", "uri", none.alias("name"), none.alias("mime_type"), none.alias("description"), zero)
+        return servers, tools, resources
+
 
 #: The same tables for DuckDB, as common table expressions.
 LENS_SQL = """
@@ -174,7 +224,11 @@ facts as materialized (select t.tool_key, t.tool, t.server, not t.exposed as is_
   from tools t left join (select tool_key, bool_or(evidence is null) as no_evidence from data_access group by 1) a using (tool_key)
   left join (select tool_key, bool_or(evidence is null) as no_evidence from governed_tool group by 1) g using (tool_key)
   left join (select a.tool_key, bool_or(g.evidence is null) as no_evidence from data_access a join governed_resource g using (uri) group by 1) r using (tool_key)),
-worst as materialized (select agent, tool_key, bool_or(classification = 'violation') as violation, count(*) as n_paths from classified group by 1, 2),
+tool_deny as materialized (select a.tool_key, a.uri as resource, g.policy from data_access a join governed_resource g using (uri) join policies p on p.id = g.policy and p.effect = 'DENY'
+  union all select g.tool_key, null, g.policy from governed_tool g join policies p on p.id = g.policy and p.effect = 'DENY'),
+asked_pairs as (select distinct agent, keys[1] as tool_key from candidates join resolved using (ref) where len(keys) = 1 union select agent, tool_key from can_call),
+worst as materialized (select d.agent, d.tool_key, bool_or(not exists (select 1 from exceptions e where e.agent = d.agent and e.tool_key = d.tool_key and e.policy = d.policy and (e.resource is null or e.resource = d.resource))) as violation, count(*) as n_paths
+  from (select q.agent, t.* from asked_pairs q join tool_deny t using (tool_key)) d group by 1, 2),
 features as materialized (select c.agent, c.pos, c.ref as candidate, case when len(r.keys) = 1 then r.keys[1] end as tool_key, r.keys is not null as found, coalesce(len(r.keys) > 1, false) as ambiguous,
   case when len(r.keys) = 1 then k.tool_key is not null end as permitted,
   case when r.keys is null then 'TOOL_NOT_FOUND' when len(r.keys) > 1 then 'AMBIGUOUS_TOOL' when k.tool_key is null then 'NOT_GRANTED' when w.n_paths > 0 then 'DENY' else 'ALLOW' end as verdict,
@@ -189,3 +243,27 @@ scored as materialized (select *, case when not found or ambiguous then null whe
 def over_lens(body: str) -> str:
     """SQL over the graph's tables; a body may begin with further expressions and ", "."""
     return "with " + LENS_SQL.strip() + ("" if body.lstrip().startswith(",") else "\n") + body
+
+
+#: The graph after the proposed manifest, and what the second crawl lists.
+AFTER_SQL = """,
+gone as (select c_name as agent from customer where c_mktsegment = 'MACHINERY'),
+policies2 as (select id, case when length(id) % 5 = 0 then case effect when 'DENY' then 'ALLOW' else 'DENY' end else effect end as effect, scope from policies),
+can_call2 as materialized (select agent, tool_key, case granted_by when '1-URGENT' then 'reviewed' else granted_by end as granted_by, evidence from can_call anti join gone using (agent)
+  union all select agent, tool_key, 'proposal', null from observed o anti join can_call c using (agent, tool_key) anti join gone using (agent) where would_block_calls >= 1),
+data_access2 as materialized (select tool_key, mode, uri, case when mode = 'READS' then coalesce(evidence, 'reviewed') else evidence end as evidence from data_access where not (mode = 'WRITES' and uri like 'store:1%')),
+governed_resource2 as (select * from governed_resource where length(policy) % 7 <> 0),
+governed_tool2 as (select * from governed_tool where length(policy) % 7 <> 0),
+exceptions2 as materialized (select agent, tool_key, resource, policy, case when resource like 'store:2%' then 'segment 2' else reason end as reason from exceptions where reason = 'segment'),
+resources2 as (select uri from provides union select uri from data_access2 union select uri from governed_resource2),
+tools2 as (select tool_key from exposes union select tool_key from can_call2 union select tool_key from data_access2 union select tool_key from governed_tool2)
+"""
+CRAWL_SQL = """,
+crawled as (select distinct s_name as server from li where cast(right(s_name, 1) as int) % 2 = 0),
+listed as materialized (select tool_key, tool, s_name as server, case when min(p_size) % 3 = 1 then true end as read_only_hint from li semi join crawled on s_name = server where l_linestatus = 'F' group by 1, 2, 3),
+listed_uris as (select distinct s_name as server, uri from li semi join crawled on s_name = server where p_size > 20),
+unlisted as materialized (select tool_key, server from tools semi join crawled using (server) anti join listed using (tool_key)),
+removed as (select tool_key from unlisted anti join authored_keys using (tool_key)),
+provides3 as (select server, uri from provides anti join crawled using (server) union all select server, uri from listed_uris),
+orphaned as (select distinct uri from provides anti join provides3 using (uri) anti join data_access using (uri) anti join governed_resource using (uri))
+"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palisade.llm.spans import ascii_lower, cut, filter_texts, map_texts, text_key
+from palisade.llm.spans import ascii_lower, cut, filter_texts, map_texts, packed, text_key, unpacked
 from palisade.llm.tokens import Words
 
 WINDOW = 13
@@ -187,7 +187,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_broadcast: int
         k1, k2 = text_key(F.col("text"))
         marked = docs.select("text", k1.alias("_c1"), k2.alias("_c2"))
         dirty = find_contamination(marked, benchmark, max_broadcast).filter("contaminated").select("_c1", "_c2").distinct()
-        return docs.join(dirty, (k1 == F.col("_c1")) & (k2 == F.col("_c2")), "left_anti")
+        return packed(docs, "text").join(dirty, (k1 == F.col("_c1")) & (k2 == F.col("_c2")), "left_anti").select(*unpacked(docs))
 
     def setup():
         scan = _scan(sent.value)

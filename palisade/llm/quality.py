@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palisade.llm.spans import filter_texts, map_texts
+from palisade.llm.spans import cut, filter_texts, map_texts
 from palisade.llm.tokens import Words, mix64
 
 #: Hashed features: byte 1- to 3-grams of the text as it is, words and word pairs of the lower-cased text.
@@ -20,6 +20,8 @@ N_FEATURES = (1 << BITS) + 3 * 8 + 1
 MAX_FIT = 3_000
 #: Weight of a row's loss, passes of coordinate descent, and the share of the plain mean weight mixed in.
 COST, PASSES, MEAN_SHARE = 1.0, 12, 0.1
+#: Labels are broadcast up to this many rows (at most 32 MB), so that texts stay where they are; beyond, they are joined by shuffle.
+BROADCAST_LABELS = 2_000_000
 #: Added to the counts of a feature in each class.
 SMOOTH = 1.0
 
@@ -120,7 +122,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     classes the score is the share of class 1 (0.5 if there are none).
     """
     marks = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
-    known = docs.select("doc_id", "text").filter(learns(F.col("doc_id"))).join(marks.filter(learns(F.col("doc_id"))), "doc_id")
+    marks = cut(marks.filter(learns(F.col("doc_id"))))
+    if marks.count() <= BROADCAST_LABELS:
+        marks = F.broadcast(marks)
+    known = docs.select("doc_id", "text").filter(learns(F.col("doc_id"))).join(marks, "doc_id")
     counts = class_counts(known)
     pair = np.zeros((2, N_FEATURES))
     for r in counts.collect():  # one row per feature, at most N_FEATURES

@@ -18,18 +18,19 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from palisade.llm.spans import cut, slices
+from palisade.llm.spans import cut_table, slices
 from palisade.llm.tokens import SPACED, Words, mix64
 from palisade.llm.trie import Trie
 
 #: Characters of a block, and bytes of text per shard (sizes of a task's work, whatever the input's size).
-BLOCK_CHARS, SHARD_BYTES = 3_000_000, 10_000_000
+BLOCK_CHARS, SHARD_BYTES = 2_500_000, 5_000_000
 #: Weight of the word's own probability in pair smoothing, in counts.
 MU = 300.0
 #: Bytes of text that the routing of frequent contexts is planned on. It moves work between tasks; results do not depend on it.
@@ -55,6 +56,15 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Small numbers, byte plane by byte plane."""
+    return values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _whole(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+
+
 def _pack6(keys: np.ndarray) -> bytes:
     """The upper 48 bits of hashes."""
     return keys.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
@@ -83,34 +93,40 @@ class Block:
         code, self.pair = np.unique(self.context * len(self.words) + self.word, return_inverse=True)
         self.first, self.second = code // len(self.words), code % len(self.words)
 
-    def routes(self, shards: int, hot: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """The shard of each distinct word, and of each distinct pair."""
+    def parts(self, shards: int, hot: dict[int, int]):
+        """(shard, its words, its hot contexts, its pairs, each pair's place among words and hot contexts), in the order both passes use."""
         of_word = (mix64(self.words) % np.uint64(shards)).astype(np.int64)
-        salts = np.array([hot.get(int(x), 1) for x in self.words], dtype=np.uint64)
-        salt = mix64(self.words[self.second] + np.uint64(7)) % salts[self.first]
-        return of_word, ((mix64(self.words + np.uint64(1))[self.first] + salt) % np.uint64(shards)).astype(np.int64)
+        salts = np.array([hot.get(int(x), 0) for x in self.words], dtype=np.uint64)
+        many = salts[self.first] > 0
+        salt = mix64(self.words[self.second] + np.uint64(7)) % np.maximum(salts[self.first], np.uint64(1))
+        of_pair = np.where(many, (of_word[self.first] + salt.astype(np.int64)) % shards, of_word[self.first])
+        extra: list[list[int]] = [[] for _ in range(shards)]
+        for i in np.flatnonzero(salts):
+            for k in range(int(salts[i])):
+                extra[(of_word[i] + k) % shards].append(int(i))
+        by_word, by_pair = np.argsort(of_word, kind="stable"), np.argsort(of_pair, kind="stable")
+        edges = np.arange(shards + 1)
+        at_word, at_pair = np.searchsorted(of_word[by_word], edges), np.searchsorted(of_pair[by_pair], edges)
+        for s in range(shards):
+            ws, ps, hs = by_word[at_word[s] : at_word[s + 1]], by_pair[at_pair[s] : at_pair[s + 1]], np.array(extra[s], dtype=np.int64)
+            if len(ws) or len(hs):
+                place = np.where(many[ps], len(ws) + np.searchsorted(hs, self.first[ps]), np.searchsorted(ws, self.first[ps]))
+                order = np.argsort(place, kind="stable")
+                yield s, ws, hs, ps[order], place[order]
 
     def asks(self, train: np.ndarray, shards: int, hot: dict[int, int]):
-        """(shard, words, counts, contexts, totals, runs, next, pairs) for each shard that is asked."""
+        """(shard, words, counts, contexts, totals, runs, next, pairs) for each shard that is asked.
+
+        A word's count is also its total as a context; only hot contexts, whose
+        pairs are dealt out, send their totals to all of their shards.
+        """
         learned = train[self.doc]
         words = np.bincount(self.word[learned], minlength=len(self.words)).astype(np.uint32)
         totals = np.bincount(self.context[learned], minlength=len(self.words)).astype(np.uint32)
         pairs = np.bincount(self.pair[learned], minlength=len(self.first)).astype(np.uint32)
-        of_word, of_pair = self.routes(shards, hot)
-        by_word, by_pair = np.argsort(of_word, kind="stable"), np.argsort(of_pair, kind="stable")
-        edges = np.arange(shards + 1)
-        at_word, at_pair = np.searchsorted(of_word[by_word], edges), np.searchsorted(of_pair[by_pair], edges)
-        # A context whose pairs are dealt out sends its total to all of its shards.
-        extra: dict[int, list[int]] = {}
-        for i, x in enumerate(self.words):
-            for k in range(hot.get(int(x), 1) if int(x) in hot else 0):
-                extra.setdefault(int((mix64(np.array([x + np.uint64(1)]))[0] + np.uint64(k)) % np.uint64(shards)), []).append(i)
-        for s in range(shards):
-            ws, ps = by_word[at_word[s] : at_word[s + 1]], by_pair[at_pair[s] : at_pair[s + 1]]
-            cs = np.unique(np.concatenate([self.first[ps], np.array(extra.get(s, []), dtype=np.int64)]))
-            if len(ws) or len(cs):
-                runs = np.bincount(np.searchsorted(cs, self.first[ps]), minlength=len(cs)).astype(np.uint32)
-                yield s, _pack(self.words[ws]), words[ws].tobytes(), _pack(self.words[cs]), totals[cs].tobytes(), runs.tobytes(), _pack6(self.words[self.second[ps]]), pairs[ps].tobytes()
+        for s, ws, hs, ps, place in self.parts(shards, hot):
+            runs = np.bincount(place, minlength=len(ws) + len(hs)).astype(np.uint32)
+            yield s, _pack(self.words[ws]), _planes(words[ws]), _pack(self.words[hs]), _planes(totals[hs]), _planes(runs), _pack6(self.words[self.second[ps]]), _planes(pairs[ps])
 
 
 def _blocks(docs: DataFrame, make, schema) -> DataFrame:
@@ -134,7 +150,7 @@ def _blocks(docs: DataFrame, make, schema) -> DataFrame:
 
         size = 0
         for batch in batches:
-            lengths = [len(x or "") for x in batch.column("text").to_pylist()]
+            lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
             for part in slices(lengths, BLOCK_CHARS):
                 held.append(batch.slice(part.start, part.stop - part.start))
                 size += sum(lengths[part])
@@ -149,20 +165,26 @@ def _blocks(docs: DataFrame, make, schema) -> DataFrame:
 
 def _serve(key, table):
     """One shard: add up what all blocks counted, build the trie, answer each block."""
-    col = {n: table.column(n).to_pylist() for n in ("block", "words", "counts", "contexts", "totals", "runs", "next", "pairs")}
-    words = [_unpack(x) for x in col["words"]]
-    known, place = np.unique(np.concatenate(words), return_inverse=True)
-    total = np.bincount(place, weights=np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in col["counts"]]), minlength=len(known)).astype(np.int64)
-    at = np.concatenate([[0], np.cumsum([len(x) for x in words])])
-    seen = total > 0
-    contexts = [_unpack(x) for x in col["contexts"]]
-    all_ctx, ctx_place = np.unique(np.concatenate(contexts), return_inverse=True)
-    ctx_total = np.bincount(ctx_place, weights=np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in col["totals"]]), minlength=len(all_ctx))
-    parent = np.repeat(ctx_place, np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in col["runs"]]))
-    following = [_unpack6(x) for x in col["next"]]
-    succ, count = np.concatenate(following), np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in col["pairs"]])
+    names = ("words", "counts", "contexts", "totals", "runs", "next", "pairs")
+    unpack = (_unpack, _whole, _unpack, _whole, _whole, _unpack6, _whole)
+    col = {n: [f(x.as_buffer()) for x in table.column(n)] for n, f in zip(names, unpack, strict=True)}
+    n_words = [len(x) for x in col["words"]]
+    known, place = np.unique(np.concatenate(col["words"]), return_inverse=True)
+    total = np.bincount(place, weights=np.concatenate(col["counts"]), minlength=len(known)).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(n_words)])
+    # Contexts of a block: its words, then its hot ones.
+    both = [np.concatenate([w, h]) for w, h in zip(col["words"], col["contexts"], strict=True)]
+    contexts, ctx_place = np.unique(np.concatenate(both), return_inverse=True)
+    ctx_total = np.zeros(len(contexts), dtype=np.int64)
+    ctx_total[np.searchsorted(contexts, known)] = total
+    hot, hot_place = np.unique(np.concatenate(col["contexts"]), return_inverse=True)
+    ctx_total[np.searchsorted(contexts, hot)] = np.bincount(hot_place, weights=np.concatenate(col["totals"]), minlength=len(hot)).astype(np.int64)
+    parent = np.repeat(ctx_place, np.concatenate(col["runs"]))
+    cuts = np.concatenate([[0], np.cumsum([len(x) for x in col["next"]])])
+    succ, count = np.concatenate(col["next"]), np.concatenate(col["pairs"])
+    del col, both
     learned = count > 0
-    p, s, c = parent[learned], succ[learned], count[learned].astype(np.int64)
+    p, s, c = parent[learned], succ[learned], count[learned]
     order = np.lexsort((s, p))
     p, s, c = p[order], s[order], c[order]
     new = np.ones(len(p), dtype=bool)
@@ -171,42 +193,33 @@ def _serve(key, table):
     c = np.add.reduceat(c, first) if len(first) else c
     p, s = p[first], s[first]
     with tempfile.TemporaryDirectory() as folder:
-        logs = np.log10(c / (ctx_total[p] + MU))
         held, runs = np.unique(p, return_counts=True)
-        trie = Trie(Path(folder), all_ctx[held], runs, s, logs)
-        codes = trie.lookup(all_ctx[parent], succ) if len(succ) else np.zeros(0, dtype=np.uint8)
+        trie = Trie(Path(folder), contexts[held], runs, s, np.log10(c / (ctx_total[p] + MU)))
+        codes = trie.lookup(contexts[parent], succ) if len(succ) else np.zeros(0, dtype=np.uint8)
         book = trie.book.tobytes()
         del trie
-    cuts = np.concatenate([[0], np.cumsum([len(x) for x in following])])
-    n_blocks = len(words)
-    stats = [(int(total.sum()), int(seen.sum()))] + [(0, 0)] * (n_blocks - 1)
+    n_blocks, rest = len(n_words), [0] * (len(n_words) - 1)
     return pa.table(
         {
-            "block": pa.array(col["block"], pa.binary()),
+            "block": table.column("block").cast(pa.binary()),
             "shard": pa.array([key[0].as_py()] * n_blocks, pa.int32()),
-            "counts": pa.array([total[place[at[i] : at[i + 1]]].tobytes() for i in range(n_blocks)], pa.binary()),
+            "counts": pa.array([total[place[at[i] : at[i + 1]]].view(np.uint8).reshape(-1, 8).T.tobytes() for i in range(n_blocks)], pa.binary()),
             "codes": pa.array([codes[cuts[i] : cuts[i + 1]].tobytes() for i in range(n_blocks)], pa.binary()),
             "book": pa.array([book] * n_blocks, pa.binary()),
-            "n": pa.array([x[0] for x in stats], pa.int64()),
-            "v": pa.array([x[1] for x in stats], pa.int64()),
+            "n": pa.array([int(total.sum()), *rest], pa.int64()),
+            "v": pa.array([int((total > 0).sum()), *rest], pa.int64()),
         }
     )
 
 
 def _score(block: Block, answers: dict[int, tuple], shards: int, hot: dict[int, int], n: int, v: int) -> dict[str, np.ndarray]:
     """Scores of a block's documents from its answers."""
-    of_word, of_pair = block.routes(shards, hot)
     count, seen = np.zeros(len(block.words), dtype=np.int64), np.zeros(len(block.first))
-    by_word, by_pair = np.argsort(of_word, kind="stable"), np.argsort(of_pair, kind="stable")
-    edges = np.arange(shards + 1)
-    at_word, at_pair = np.searchsorted(of_word[by_word], edges), np.searchsorted(of_pair[by_pair], edges)
-    for s in range(shards):
-        ws, ps = by_word[at_word[s] : at_word[s + 1]], by_pair[at_pair[s] : at_pair[s + 1]]
-        if len(ws) or len(ps):
-            counts, codes, book = answers[s]
-            count[ws] = np.frombuffer(counts, dtype=np.int64)
-            values = np.concatenate([[0.0], 10.0 ** np.frombuffer(book, dtype=np.float32).astype(np.float64)])
-            seen[ps] = values[np.frombuffer(codes, dtype=np.uint8)]
+    for s, ws, _, ps, _ in block.parts(shards, hot):
+        counts, codes, book = answers[s]
+        count[ws] = np.ascontiguousarray(np.frombuffer(counts, dtype=np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+        values = np.concatenate([[0.0], 10.0 ** np.frombuffer(book, dtype=np.float32).astype(np.float64)])
+        seen[ps] = values[np.frombuffer(codes, dtype=np.uint8)]
     alone = (count + 0.5) / (n + 0.5 * (v + 1))
     context = count.astype(np.float64)
     context[block.words == BEGIN] = count[block.words == END].sum()  # as many beginnings as ends
@@ -229,7 +242,7 @@ def _hot_contexts(docs: DataFrame, total: int, shards: int) -> dict[int, int]:
     counts = part.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     all_ = counts.agg(F.sum("n")).first()[0] or 1
     rows = counts.filter(F.col("n") * (2 * shards) >= all_).collect()  # at most 2 * shards rows
-    return {int(np.int64(r.word).view(np.uint64)): min(shards, 1 + 2 * r.n * shards // all_) for r in rows}
+    return {int(BEGIN): 1} | {int(np.int64(r.word).view(np.uint64)): min(shards, 1 + 2 * r.n * shards // all_) for r in rows}
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -244,14 +257,14 @@ def score_documents(docs: DataFrame) -> DataFrame:
     base = docs.select("doc_id", "text", F.coalesce(learns(F.col("doc_id")), F.lit(True)).alias("train"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
-    hot = _hot_contexts(docs.select("doc_id", "text"), total, shards) if shards > 1 else {}
+    hot = _hot_contexts(docs.select("doc_id", "text"), total, shards) if shards > 1 else {int(BEGIN): 1}
 
     def ask(block_id, texts, train, ids):
         rows = [(s, block_id, *rest) for s, *rest in Block(texts).asks(train, shards, hot)]
         types = [pa.int32()] + [pa.binary()] * 8
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in ASK.split(", ")])
 
-    answers = cut(_blocks(base, ask, ASK).groupBy("shard").applyInArrow(_serve, ANSWER))
+    answers = cut_table(_blocks(base, ask, ASK).groupBy("shard").applyInArrow(_serve, ANSWER))
     n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     id_type = docs.schema["doc_id"].dataType
     held = T.StructType().add("block", "binary").add("ids", T.ArrayType(id_type)).add("train", T.ArrayType(T.BooleanType())).add("sizes", T.ArrayType(T.IntegerType())).add("texts", "binary")

@@ -43,6 +43,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_table(df: DataFrame) -> DataFrame:
+    """Write df as a compressed table in the shared folder and read it from there on."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def packed(docs: DataFrame, *names: str) -> DataFrame:
     """The named columns beside `__row`, a struct of all columns: working columns then can't clash with docs'."""
     return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), *names)

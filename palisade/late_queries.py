@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import uuid
-from functools import cached_property
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.operators import decisions, manifest, propose, review, scrub
 from palisade.plans import control
-from palisade.queries import query
+from palisade.queries import query as _query
 from palisade.sources import snapshots
-from palisade.sources.lens import AFTER_SQL, Lens
+from palisade.sources.lens import AFTER_SQL, Lens, StoredLens
+
+query = partial(_query, of=StoredLens)
 
 # ---- Decision tables ---------------------------------------------------------------
 
@@ -131,7 +133,7 @@ def b13_state_checks(x: Lens) -> DataFrame:
 
 @query(_TWO + ", r as (select * from impact_ where pos % 5 <> 0) select agent, ref, 'missing' as problem from (select distinct agent, ref from candidates) anti join (select distinct agent, ref from r) using (agent, ref)")
 def s7_expectation_intake(x: Lens) -> DataFrame:
-    rows = _impact(x).filter("pos % 5 <> 0")
+    rows = snapshots.cut(_impact(x).filter("pos % 5 <> 0"))
     return decisions.expectation_problems(rows, x.candidates).filter("problem = 'missing'")
 
 
@@ -242,7 +244,7 @@ def p11_output_check(x: Lens) -> DataFrame:
 # ---- Control plans: one per order; line items are nodes, line numbers their order ----------
 
 
-class PlanLens(Lens):
+class PlanLens(StoredLens):
     @cached_property
     def plans(self) -> control.Plans:
         supplier = self.table("supplier").select("s_suppkey", "s_name")
@@ -406,7 +408,7 @@ _REVIEW = """ev as (select event_id, strftime(ts, '%Y-%m-%d') as report, 'c' ||
   chain as (select *, coalesce(lag(disposition) over (partition by report, candidate order by seq), 'open') as from_disposition from ev)"""
 
 
-class ReviewLens(Lens):
+class ReviewLens(StoredLens):
     @cached_property
     def events(self) -> DataFrame:
         from pyspark.sql import Window
@@ -484,6 +486,14 @@ def w6_event_field_checks(x: ReviewLens) -> DataFrame:
     return review.field_problems(rows).groupBy("field").agg(F.count("*").alias("n"))
 
 
+@query(f"select agent as report, candidate, agent, candidate as tool_key, case when {_STRICT} is null then 'eligible' else 'rejected' end as decision, {_STRICT} as reason, 'review_policy' as action, false as automatic from scored where contains(candidate, '::') and pos % 2 = 0")
+def b6_review_plan(x: Lens) -> DataFrame:
+    cases = x.candidates.filter("contains(ref, '::')").select(F.col("agent").alias("report"), F.col("ref").alias("candidate"), F.col("ref").alias("tool_key"), "pos")
+    events = cases.select("report", "candidate", F.lit(1).alias("seq"), F.when(F.col("pos") % 2 == 0, "accepted").otherwise("rejected").alias("disposition"), F.lit("ann").alias("reviewer"))
+    agents = cases.select("report", F.col("report").alias("agent")).distinct()
+    return review.review_plan(cases.drop("pos"), events, x.graph, agents)
+
+
 # ---- Snapshots, digests and intake --------------------------------------------------------------
 
 

@@ -16,13 +16,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, lens: bool = True):
+def query(sql: str | None = None, lens: bool = True, of: type[Lens] = Lens):
     """Register a function of a Lens under its name, with its SQL over the lens."""
 
     def add(f):
         @wraps(f)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(Lens(spark, sf_dir))
+            return f(of(spark, sf_dir))
 
         QUERIES[f.__name__] = run
         if sql:

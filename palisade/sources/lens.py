@@ -183,6 +183,28 @@ class Lens:
         return servers, tools, resources
 
 
+class StoredLens(Lens):
+    """The same tables written to the shared folder first, as a published snapshot's would be: long chains of decisions start from stored rows."""
+
+    @cached_property
+    def graph(self) -> Graph:
+        from palisade.sources.snapshots import cut
+
+        return Graph(**{name: cut(df) for name, df in super().graph.tables().items()})
+
+    @cached_property
+    def observed(self) -> DataFrame:
+        from palisade.sources.snapshots import cut
+
+        return cut(super().observed)
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        from palisade.sources.snapshots import cut
+
+        return cut(super().candidates)
+
+
 #: The same tables for DuckDB, as common table expressions.
 LENS_SQL = """
 li as materialized (select l.*, s.s_name, s.s_nationkey, p.p_brand, p.p_type, p.p_size, s.s_name || '::part-' || l.l_partkey as tool_key, 'part-' || l.l_partkey as tool, 'store:' || substr(p.p_brand, 7) || '/' || p.p_type as uri

@@ -507,6 +507,37 @@ def s9_snapshot_publish(x: Lens) -> DataFrame:
     return snapshots.stamped(rows, snapshots.graph_state(x.spark, root)).select("name", "count", "generation")
 
 
+def _policies_only(x: Lens, root: str) -> None:
+    from palisade.sources.model import graph_of
+
+    snapshots.publish(graph_of(x.spark, policies=x.graph.policies), root, digest="0" * 64)
+
+
+@_query("select 0::bigint as generation, true as no_digest, 0::bigint as policies from region limit 1", lens=False)
+def s10_snapshot_reset(x: Lens) -> DataFrame:
+    root = f"{_shared(x)}/graph-{uuid.uuid4().hex}"
+    _policies_only(x, root)
+    snapshots.reset(x.spark, root)
+    left = snapshots.read(x.spark, root).policies.agg(F.count("*").alias("policies"))
+    return snapshots.graph_state(x.spark, root).select("generation", F.col("governance_digest").isNull().alias("no_digest")).crossJoin(left)
+
+
+@_query("select 1::bigint as generation, repeat('0', 64) as governance_digest, (select count(*) from policies) as policies")
+def s11_snapshot_state(x: Lens) -> DataFrame:
+    root = f"{_shared(x)}/graph-{uuid.uuid4().hex}"
+    _policies_only(x, root)
+    n = snapshots.read(x.spark, root).policies.agg(F.count("*").alias("policies"))
+    return snapshots.graph_state(x.spark, root).select("generation", "governance_digest").crossJoin(n)
+
+
+@_query("select id, effect, 1::bigint as generation, true as graph_state_verified from policies")
+def s12_stamped_read(x: Lens) -> DataFrame:
+    root = f"{_shared(x)}/graph-{uuid.uuid4().hex}"
+    _policies_only(x, root)
+    rows = snapshots.read(x.spark, root).policies.select("id", "effect")
+    return snapshots.stamped(rows, snapshots.graph_state(x.spark, root)).select("id", "effect", "generation", "graph_state_verified")
+
+
 def _shared(x: Lens) -> str:
     snapshots.cut(x.spark.range(1))
     return x.spark.sparkContext._jsc.sc().getCheckpointDir().get()

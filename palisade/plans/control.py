@@ -226,7 +226,7 @@ def compressed(path: Column) -> Column:
 
 def capped(rows: DataFrame, nodes: DataFrame, most: int = MOST_EXPOSURES) -> DataFrame:
     """The first records per plan by reader position, depth and writer position, with the number of all and whether some are left out."""
-    at = nodes.select("run_id", "node", "pos")
+    at = nodes.groupBy("run_id", "node").agg(F.min("pos").alias("pos"))
     got = rows.join(at.select("run_id", F.col("node").alias("reader"), F.col("pos").alias("_r")), ["run_id", "reader"]).join(at.select("run_id", F.col("node").alias("writer"), F.col("pos").alias("_w")), ["run_id", "writer"])
     place = Window.partitionBy("run_id").orderBy("_r", "depth", "_w", "read_tool", "read_uri", "write_tool", "write_uri")
     n = rows.groupBy("run_id").agg(F.count("*").alias("pairs"))

@@ -118,3 +118,16 @@ def test_witness_paths(spark):
     pairs = spark.createDataFrame([("r", "n000", "n039"), ("r", "n000", "n002")], "run_id string, reader string, writer string")
     got = {r.writer: r.path for r in control.witness_paths(p, pairs).collect()}
     assert got["n002"] == nodes[:3] and len(got["n039"]) == 32 and got["n039"][16] == "... (9 intermediate nodes) ..."
+
+
+def test_candidate_ids_are_uuid5(spark):
+    import json
+    import uuid
+
+    from palisade.operators import review
+
+    space = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
+    rows = [("r", "p", 1, "s::é\"x", "d"), ("r2", "p", 12, "s::y", "e")]
+    d = spark.createDataFrame(rows, "run_id string, pattern_id string, pattern_version long, tool_key string, artifact_digest string")
+    want = [str(uuid.uuid5(uuid.UUID(space), json.dumps([1, "k", *r], ensure_ascii=False, separators=(",", ":")))) for r in rows]
+    assert [r[0] for r in d.select(review.candidate_id(space, 1, "k")).collect()] == want

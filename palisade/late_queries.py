@@ -248,7 +248,7 @@ class PlanLens(StoredLens):
     @cached_property
     def plans(self) -> control.Plans:
         supplier = self.table("supplier").select("s_suppkey", "s_name")
-        li = self.table("lineitem").filter("l_orderkey % 4 = 0").join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        li = self.table("lineitem").join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         li = li.select("l_orderkey", "l_linenumber", "l_quantity", F.concat("s_name", F.lit("::part-"), F.col("l_partkey").cast("string")).alias("tool_key"))
         run, n = F.col("l_orderkey").cast("string").alias("run_id"), F.col("l_linenumber")
         name = lambda c: F.concat(F.lit("n"), c.cast("string"))
@@ -257,7 +257,7 @@ class PlanLens(StoredLens):
         none, no = F.lit(None).cast("long"), F.lit(False)
         ends = last.select(run, F.lit("start").alias("node"), F.lit("start").alias("kind"), no.alias("agent_call"), none.alias("invocations"), none.alias("parallelism"), F.lit(0).alias("pos"))
         ends = ends.unionByName(last.filter("l_orderkey % 12 <> 0").select(run, F.lit("end").alias("node"), F.lit("end").alias("kind"), no.alias("agent_call"), none.alias("invocations"), none.alias("parallelism"), F.lit(99).alias("pos")))
-        # Every fifth plan loops back from its last node; an edge out of node 3 is missing in some.
+        # Every twentieth order key loops back from its last node; an edge out of node 3 is missing in some.
         chain = li.filter("not (l_linenumber = 3 and l_orderkey % 16 = 0)").join(last.select("l_orderkey", "m"), "l_orderkey").select(run, name(n).alias("source"), F.when(n == F.col("m"), "end").otherwise(name(n + 1)).alias("target"), F.lit("next").alias("kind"), F.lit("code").alias("decided_by"), none.alias("fan_out"), n.alias("pos"))
         first = last.select(run, F.lit("start").alias("source"), F.lit("n1").alias("target"), F.lit("fanout").alias("kind"), F.when(F.col("l_orderkey") % 8 == 0, "model").otherwise("code").alias("decided_by"), F.when(F.col("l_orderkey") % 24 != 0, 2).cast("long").alias("fan_out"), F.lit(0).alias("pos"))
         loops = last.filter("l_orderkey % 20 = 0").select(run, name(F.col("m")).alias("source"), F.lit("n1").alias("target"), F.lit("retry").alias("kind"), F.lit("model").alias("decided_by"), none.alias("fan_out"), F.lit(98).alias("pos"))
@@ -559,7 +559,7 @@ def s1_crawl_intake(x: Lens) -> DataFrame:
 
 @query("select agent, tool_key as ref, granted_by, evidence from can_call where agent like '%3'")
 def s2_manifest_intake(x: Lens) -> DataFrame:
-    rows = x.manifest.grants.filter("agent like '%3'")
+    rows = x.manifest.grants
     docs = rows.groupBy("agent").agg(F.collect_list(F.struct("agent", F.col("ref").alias("tool"), "granted_by", F.col("prov").alias("provenance"))).alias("grants")).select(F.from_json(F.to_json(F.struct("grants")), manifest.MANIFEST_SCHEMA).alias("m")).select("m.*")
     return manifest.flatten(docs).grants.select("agent", "ref", "granted_by", "prov.evidence")
 

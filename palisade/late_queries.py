@@ -268,6 +268,17 @@ class PlanLens(StoredLens):
             edges=chain.unionByName(first).unionByName(loops),
         )
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        """(run_id, value): the plans as JSON."""
+        p = self.plans
+        node = F.struct(F.col("node").alias("id"), "kind", F.array().cast("array<string>").alias("principals"), "agent_call", F.col("invocations").alias("max_invocations"), F.col("parallelism").alias("max_parallelism"))
+        edge = F.struct(F.col("source").alias("from"), F.col("target").alias("to"), "kind", "decided_by", F.col("fan_out").alias("max_fan_out"))
+        who = p.principals.groupBy("run_id", "principal").agg(F.collect_list("tool").alias("tools")).groupBy("run_id").agg(F.collect_list(F.struct(F.col("principal").alias("id"), F.col("tools").alias("candidate_tools"))).alias("who"))
+        whole = p.nodes.groupBy("run_id").agg(F.collect_list(node).alias("nodes")).join(p.edges.groupBy("run_id").agg(F.collect_list(edge).alias("edges")), "run_id").join(who, "run_id", "left")
+        principals = F.coalesce("who", F.array().cast("array<struct<id:string,candidate_tools:array<string>>>"))
+        return whole.select("run_id", F.to_json(F.struct("run_id", principals.alias("principals"), "nodes", "edges", F.struct(F.lit(8).alias("maximum_agent_calls"), F.lit(1).alias("maximum_parallelism")).alias("limits"))).alias("value"))
+
 
 _PLANS = """,
 pl as materialized (select l_orderkey as k, l_orderkey::varchar as run_id, max(l_linenumber) as m from lineitem where l_orderkey % 4 = 0 group by 1, 2),
@@ -296,10 +307,7 @@ _BACKWARD = _REACH.format(name="bw", seed="end", seeds="where k % 12 <> 0", frm=
 @plan_query(" select count(*) as plans, (select count(*) from pn) as nodes, (select count(*) from pe) as edges, 1::bigint as refused from pl")
 def s4_plan_intake(x: PlanLens) -> DataFrame:
     p = x.plans
-    node = F.struct(F.col("node").alias("id"), "kind", F.array().cast("array<string>").alias("principals"), "agent_call", F.col("invocations").alias("max_invocations"), F.col("parallelism").alias("max_parallelism"))
-    edge = F.struct(F.col("source").alias("from"), F.col("target").alias("to"), "kind", "decided_by", F.col("fan_out").alias("max_fan_out"))
-    whole = p.nodes.groupBy("run_id").agg(F.collect_list(node).alias("nodes")).join(p.edges.groupBy("run_id").agg(F.collect_list(edge).alias("edges")), "run_id")
-    whole = whole.select(F.to_json(F.struct("run_id", F.array().cast("array<struct<id:string,candidate_tools:array<string>>>").alias("principals"), "nodes", "edges", F.struct(F.lit(8).alias("maximum_agent_calls"), F.lit(1).alias("maximum_parallelism")).alias("limits"))).alias("value"))
+    whole = x.documents.select("value")
     got, refused = control.read_plans(whole.union(x.spark.range(1).select(F.lit('{"run_id": "a", "run_id": "b"}'))))
     n = [df.agg(F.count("*").alias(name)) for df, name in ((got.plans, "plans"), (got.nodes, "nodes"), (got.edges, "edges"), (refused, "refused"))]
     return n[0].crossJoin(n[1]).crossJoin(n[2]).crossJoin(n[3])
@@ -312,10 +320,8 @@ def c1_plan_field_checks(x: PlanLens) -> DataFrame:
 
 @query("select code, count(*) as n from (select case when conv_id % 3 = 0 then 'forbidden_field' when conv_id % 3 = 1 then 'absolute_path' else 'credential_value' end as code from conversations where turn = 0) group by 1", lens=False)
 def c2_body_free_check(x: Lens) -> DataFrame:
-    k = F.col("conv_id") % 3
-    value = F.when(k == 0, '{"a": {"prompt": 1}}').when(k == 1, '{"a": [{"path": "/etc/x"}]}').otherwise('{"b": {"c": ["token=abc"]}}')
-    docs = x.table("conversations").filter("turn = 0").select(F.col("conv_id").cast("string").alias("run_id"), value.alias("value"))
-    return control.body_findings(docs, depth=4).groupBy("code").agg(F.count("*").alias("n"))
+    said = x.table("conversations").select(F.concat_ws(":", "conv_id", "turn").alias("run_id"), F.to_json(F.struct("conv_id", "turn", F.struct("role", "text").alias("said"))).alias("value"))
+    return control.body_findings(PlanLens(x.spark, x.sf_dir).documents.union(said)).groupBy("code").agg(F.count("*").alias("n"))
 
 
 @plan_query(" select run_id, 'end_count' as code, '0' as subject from pl where k % 12 = 0")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palisade.operators import selector
-from palisade.operators.scrub import is_credential_shaped
+from palisade.operators.scrub import is_credential_identity, is_credential_shaped
 from palisade.sources.model import Graph
 from palisade.sources.snapshots import cut
 
@@ -77,22 +77,48 @@ def field_findings(p: Plans) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-#: Names that a plan must not carry, as it holds no message bodies. Fixed values of the plan contract.
-BODY_FIELDS = ("prompt", "prompts", "message", "messages", "content", "body", "transcript", "output", "input", "arguments", "credentials", "secret", "password", "token")
+#: Names that a plan must not carry, as it holds no message bodies, and parts of names. Fixed values of the plan contract.
+BODY_FIELDS = (
+    "api_key", "body", "command", "commands", "credential", "credentials", "env", "gate_commands", "headers", "memory", "model_selector", "output", "outputs",
+    "password", "patch", "prompt", "prompts", "repo_root", "repository_path", "secret", "stderr", "stdout", "token", "worktree",
+)
+BODY_PARTS = ("api_key", "command", "credential", "memory_body", "model_selector", "output", "password", "patch", "prompt", "secret", "stderr", "stdout", "token")
+ABSOLUTE_PATH = r"^(?:/|\\\\|[A-Za-z]:[\\/])"
+#: Deeper plans are refused.
+MOST_DEPTH = 100
 
 
-def body_findings(documents: DataFrame, depth: int = 8) -> DataFrame:
-    """documents(run_id, value JSON) -> findings of forbidden names, credential-shaped strings and absolute paths, level by level."""
-    level = documents.select("run_id", F.try_parse_json("value").alias("v")).filter("v is not null")
-    found = []
-    for _ in range(depth):
-        each = level.lateralJoin(level.sparkSession.tvf.variant_explode_outer(F.col("v").outer())).select("run_id", "key", F.col("value").alias("v")).filter("v is not null")
+def body_findings(documents: DataFrame) -> DataFrame:
+    """documents(run_id, value JSON) -> findings of forbidden names, credential-shaped names and strings, and absolute paths.
+
+    A loop over levels until one is empty. Values beyond MOST_DEPTH levels give
+    a nesting finding, and values that are no JSON (deeper than the parser
+    reads, or with a name twice) one of their own. Credential-shaped names are
+    never shown.
+    """
+    got = documents.select("run_id", F.try_parse_json("value").alias("v"))
+    found = [_finding(got.filter("v is null"), "not_json", F.lit(""))]
+    level, depth = cut(got.filter("v is not null").select("run_id", F.lit(None).cast("string").alias("key"), "v")), 0
+    while not level.isEmpty():
+        if depth > MOST_DEPTH:
+            found.append(_finding(level.select("run_id").distinct(), "nesting", F.lit(str(MOST_DEPTH))))
+            break
+        low, secret = F.lower("key"), is_credential_identity(F.col("key"))
+        barred = F.coalesce(reduce(lambda a, b: a | b, [F.contains(low, F.lit(c)) for c in BODY_PARTS], low.isin(*BODY_FIELDS)), F.lit(False))
         text = F.when(F.schema_of_variant("v") == "STRING", F.variant_get("v", "$", "string"))
-        rows = each.select("run_id", "key", text.alias("text"))
-        found.append(_finding(rows.filter(F.lower("key").isin(*BODY_FIELDS)), "forbidden_field", F.col("key")))
-        found.append(_finding(rows.filter(is_credential_shaped(F.col("text"))), "credential_value", F.coalesce("key", F.lit("")))),
-        found.append(_finding(rows.filter(F.coalesce(F.col("text").rlike(r"^(/|[A-Za-z]:\\|~/)"), F.lit(False))), "absolute_path", F.coalesce("key", F.lit(""))))
-        level = each.filter(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")).select("run_id", "v")
+        codes = F.array_compact(
+            F.array(
+                F.when(F.col("secret"), "credential_key"),
+                F.when(F.col("barred") & ~F.col("secret"), "forbidden_field"),
+                F.when(is_credential_shaped(F.col("text")), "credential_value"),
+                F.when(F.col("text").rlike(ABSOLUTE_PATH), "absolute_path"),
+            )
+        )
+        rows = level.select("run_id", secret.alias("secret"), barred.alias("barred"), text.alias("text"), F.coalesce("key", F.lit("")).alias("key"))
+        found.append(rows.select("run_id", F.explode(codes).alias("code"), F.when(F.col("secret"), "").otherwise(F.col("key")).alias("subject")))
+        depth += 1
+        parts = level.select("run_id", F.col("v").alias("up"))
+        level = cut(parts.lateralJoin(level.sparkSession.tvf.variant_explode(F.col("up").outer())).select("run_id", "key", F.col("value").alias("v")))
     return reduce(DataFrame.unionByName, found)
 
 

@@ -28,6 +28,8 @@ ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]
 BREAKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNREAD = frozenset("script style noscript template textarea title iframe svg select option button object canvas audio video map datalist".split())
+#: Of these, the ones whose text is no markup: it runs to their own closing tag.
+RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in "script style textarea title iframe noscript".split()}
 #: An opening tag of these ends an open one of the second set.
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 ENDS |= {t: {"p"} for t in "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()}
@@ -99,8 +101,10 @@ def _zone(tag: str, attrs: str, up: Node) -> tuple[bool, bool, bool]:
 def blocks(page: str) -> list[Found]:
     """Text blocks of a page in page order; scripts, styles, comments and hidden parts are left out."""
     stack = [Node("", 0, False, False, False)]
-    made, current, count, skip, links = [], None, 0, "", 0
-    for m in TOKEN.finditer(page):
+    made, current, count, skip, links, at = [], None, 0, "", 0, 0
+    while at < len(page):
+        m = TOKEN.match(page, at)
+        at = m.end()
         closing, tag, attrs = m.group(1), m.group(2), m.group(3)
         if tag is None:
             piece = m.group()
@@ -117,6 +121,10 @@ def blocks(page: str) -> list[Found]:
                     current.linked += len(piece)
             continue
         tag = tag.lower()
+        if tag in RAW and not closing and not attrs.rstrip().endswith("/"):
+            end = RAW[tag].search(page, at)
+            at = end.start() if end else len(page)
+            continue
         if skip:
             if closing and tag == skip:
                 skip = ""

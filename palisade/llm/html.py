@@ -42,10 +42,12 @@ BOILER_NAMES = frozenset(
     "subscribe subscription tags teaser toolbar topbar widget widgets".split()
 )
 CONTENT_TAGS = frozenset(("article", "main"))
+#: Class names of these describe the whole page or article, so they don't mark it as boilerplate.
+UNNAMED = CONTENT_TAGS | {"html", "body"}
 CONTENT_NAMES = frozenset("article articlebody body content entry main post postbody postcontent story storybody text".split())
 
-#: Costs: a block under a boilerplate element, one under a content element, one under neither (plus a share for each word, up to 24).
-BOILER_COST, CONTENT_COST, OPEN_COST, WORD_COST = 8.0, 4.0, 0.3, 0.1
+#: Costs: a block under a boilerplate element, one under an element that only its names call so (evidence and ties may outweigh it), one under a content element, one under none of these (plus a share for each word, up to 24).
+BOILER_COST, NAMED_COST, CONTENT_COST, OPEN_COST, WORD_COST = 8.0, 3.0, 4.0, 0.3, 0.1
 #: Cost of a block outside both that is all link.
 LINK_COST = 3.0
 #: Weights of the ties between neighbours and between blocks under one parent.
@@ -56,11 +58,12 @@ EVIDENCE = 2.5
 
 @dataclass
 class Node:
-    """An open element: its tag, and what its names say of the text under it."""
+    """An open element: its tag, and what it says of the text under it; `named` has the boilerplate names."""
 
     tag: str
     number: int
     boiler: bool
+    named: frozenset
     content: bool
     hidden: bool
 
@@ -72,14 +75,19 @@ class Found:
     parent: int
     tag: str
     boiler: bool
+    named: bool
     content: bool
     pieces: list = field(default_factory=list)
     linked: int = 0
     text: str = ""
 
 
-def _zone(tag: str, attrs: str, up: Node) -> tuple[bool, bool, bool]:
-    """(boilerplate, content, hidden) of an element under `up`, by its tag, role, class and id."""
+def _zone(tag: str, attrs: str, up: Node) -> tuple[bool, frozenset, bool, bool]:
+    """(boilerplate, boilerplate names, content, hidden) of an element under `up`, by its tag, role, class and id.
+
+    An article or main element ends a zone that only names make, unless it has
+    one of these names itself (an article per comment, say).
+    """
     names: set[str] = set()
     hidden = up.hidden
     if attrs:
@@ -91,16 +99,18 @@ def _zone(tag: str, attrs: str, up: Node) -> tuple[bool, bool, bool]:
                 names.add("role:" + value.strip().lower())
             hidden = hidden or bool(bare) or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", ""))
     roles = {n[5:] for n in names if n.startswith("role:")}
-    good = tag in CONTENT_TAGS or bool(roles & {"main", "article"}) or bool(names & CONTENT_NAMES)
-    bad = tag in BOILER_TAGS or (tag == "header" and not up.content) or bool(roles & BOILER_ROLES) or bool(names & BOILER_NAMES)
-    if bad and good and tag in CONTENT_TAGS and not names & BOILER_NAMES:
-        bad = False
-    return up.boiler or bad, (up.content or good) and not bad, hidden
+    whole = tag in CONTENT_TAGS or bool(roles & {"main", "article"})
+    good = whole or bool(names & CONTENT_NAMES)
+    bad = tag in BOILER_TAGS or (tag == "header" and not up.content) or (bool(roles & BOILER_ROLES) and tag not in CONTENT_TAGS)
+    named = frozenset() if whole and not names & up.named else up.named
+    if not whole and tag not in UNNAMED:
+        named |= names & BOILER_NAMES
+    return up.boiler or bad, named, (up.content or good) and not bad and not named, hidden
 
 
 def blocks(page: str) -> list[Found]:
     """Text blocks of a page in page order; scripts, styles, comments and hidden parts are left out."""
-    stack = [Node("", 0, False, False, False)]
+    stack = [Node("", 0, False, frozenset(), False, False)]
     made, current, count, skip, links, at = [], None, 0, "", 0, 0
     while at < len(page):
         m = TOKEN.match(page, at)
@@ -114,7 +124,7 @@ def blocks(page: str) -> list[Found]:
                     continue
                 if current is None:
                     holder = next((n for n in reversed(stack) if n.tag in BREAKS or not n.tag))
-                    current = Found(holder.number, holder.tag, top.boiler, top.content)
+                    current = Found(holder.number, holder.tag, top.boiler, bool(top.named), top.content)
                     made.append(current)
                 current.pieces.append(piece)
                 if links:
@@ -151,10 +161,10 @@ def blocks(page: str) -> list[Found]:
         if tag in VOID or attrs.rstrip().endswith("/"):
             continue
         count += 1
-        boiler, content, hidden = _zone(tag, attrs, stack[-1])
-        if (boiler, content) != (stack[-1].boiler, stack[-1].content):
+        boiler, named, content, hidden = _zone(tag, attrs, stack[-1])
+        if (boiler, bool(named), content) != (stack[-1].boiler, bool(stack[-1].named), stack[-1].content):
             current = None
-        stack.append(Node(tag, count, boiler, content, hidden))
+        stack.append(Node(tag, count, boiler, named, content, hidden))
         links += tag == "a"
     for b in made:
         b.text = " ".join(entities.unescape("".join(b.pieces)).split())
@@ -235,7 +245,7 @@ def main_text(page: str | None, evidence: dict[str, float]) -> str:
     costs, ties, last = [], [], {}
     for i, b in enumerate(found):
         learned = max(-EVIDENCE, min(EVIDENCE, sum(evidence.get(c, 0.0) for c in cues(b, i / len(found)))))
-        zone = -BOILER_COST if b.boiler else CONTENT_COST if b.content else OPEN_COST + WORD_COST * min(24, b.text.count(" ") + 1) - LINK_COST * min(1.0, b.linked / len(b.text))
+        zone = -BOILER_COST if b.boiler else -NAMED_COST if b.named else CONTENT_COST if b.content else OPEN_COST + WORD_COST * min(24, b.text.count(" ") + 1) - LINK_COST * min(1.0, b.linked / len(b.text))
         costs.append(zone + learned)
         if i:
             ties.append((i - 1, i, NEXT))
@@ -258,7 +268,7 @@ def learn_evidence(pages: DataFrame) -> dict[str, float]:
             for page in batch.column("html").to_pylist():
                 found = blocks(page or "")
                 for i, b in enumerate(found):
-                    if b.boiler or b.content:
+                    if b.boiler or (b.content and not b.named):
                         for c in cues(b, i / len(found)):
                             counts.setdefault(c, [0, 0])[0 if b.boiler else 1] += 1
         rows = [(c, n[0], n[1]) for c, n in sorted(counts.items())]

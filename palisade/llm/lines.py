@@ -9,8 +9,6 @@ in the corpus once.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,39 +16,47 @@ from palisade.llm.spans import cut, packed, text_key, unpacked
 
 #: A line on this many distinct sites is boilerplate.
 MIN_SITES = 5
-#: Shorter lines (code points, trimmed) are never removed: single words recur by chance.
+#: Shorter lines (code points, trimmed) recur by chance; they are boilerplate on this many distinct sites.
 MIN_CHARS = 20
+SHORT_SITES = 10
 #: Sketch size 2^LG_K; relative error 1.04 / sqrt(2^LG_K).
 LG_K = 10
 
 
+def bare_line(line: Column) -> Column:
+    """A line without spaces, tabs and carriage returns at its ends."""
+    return F.trim(line, F.lit(" \t\r"))
+
+
 def line_key(line: Column) -> tuple[Column, Column]:
-    """128 bits of a line without white space at its ends."""
-    bare = F.trim(line)
+    """128 bits of a bare line."""
+    bare = bare_line(line)
     return F.xxhash64(bare), F.xxhash64(F.lit("second"), bare)
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """(k1, k2, h1, h2, site, doc_id) for each line that is long enough; texts stay behind."""
+    """(k1, k2, h1, h2, site, doc_id, need) for each line that is not blank, with the sites asked of it; texts stay behind."""
     k1, k2 = text_key(F.col("text"))
     h1, h2 = line_key(F.col("_line"))
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("site"), k1.alias("k1"), k2.alias("k2"), F.explode(F.split("text", "\n")).alias("_line"))
-    return rows.filter(F.length(F.trim("_line")) >= MIN_CHARS).select("k1", "k2", h1.alias("h1"), h2.alias("h2"), "site", "doc_id")
+    size = F.length(bare_line(F.col("_line")))
+    need = F.when(size < MIN_CHARS, SHORT_SITES).otherwise(MIN_SITES)
+    return rows.filter(size > 0).select("k1", "k2", h1.alias("h1"), h2.alias("h2"), "site", "doc_id", need.alias("need"))
 
 
 def boilerplate(rows: DataFrame) -> DataFrame:
-    """(h1, h2, first_id): line hashes on MIN_SITES sites or more, and the least doc_id that holds them.
+    """(h1, h2, first_id): line hashes on as many sites as they need or more, and the least doc_id that holds them.
 
     An estimate outside the band of four standard errors around the threshold
     decides by itself; within it the distinct sites are counted exactly.
     """
     band = 4 * 1.04 / (1 << LG_K) ** 0.5
-    low, high = math.floor(MIN_SITES * (1 - band)), math.ceil(MIN_SITES * (1 + band))
+    low, high = F.floor(F.col("need") * (1 - band)), F.ceil(F.col("need") * (1 + band))
     sketch = F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K)))
-    spread = cut(rows.groupBy("h1", "h2").agg(sketch.alias("est"), F.min("doc_id").alias("first_id")).filter(F.col("est") >= low))
+    spread = cut(rows.groupBy("h1", "h2").agg(sketch.alias("est"), F.min("doc_id").alias("first_id"), F.max("need").alias("need")).filter(F.col("est") >= low))
     near = spread.filter(F.col("est") <= high)
     exact = rows.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").select("h1", "h2", "site").distinct().groupBy("h1", "h2").agg(F.count("*").alias("sites"))
-    counted = near.join(exact, ["h1", "h2"]).filter(F.col("sites") >= MIN_SITES)
+    counted = near.join(exact, ["h1", "h2"]).filter(F.col("sites") >= F.col("need"))
     return spread.filter(F.col("est") > high).select("h1", "h2", "first_id").unionByName(counted.select("h1", "h2", "first_id"))
 
 
@@ -77,7 +83,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     def stays(line: Column) -> Column:
         h1, h2 = line_key(line)
-        return (F.length(F.trim(line)) < MIN_CHARS) | ~F.array_contains(F.col("_hits"), F.struct(h1.alias("h1"), h2.alias("h2")))
+        return ~F.array_contains(F.col("_hits"), F.struct(h1.alias("h1"), h2.alias("h2")))
 
     lines = F.split("text", "\n")
     kept = F.when(F.col("_hits").isNull(), lines).otherwise(F.filter(lines, stays))

@@ -126,9 +126,9 @@ def b12_impact_check(x: Lens) -> DataFrame:
 
 @query("select n_name as state, case when n_nationkey % 3 = 0 then 'no digest' else 'no generation' end as problem from nation where n_nationkey % 3 < 2", lens=False)
 def b13_state_checks(x: Lens) -> DataFrame:
-    k = F.col("n_nationkey")
-    rows = x.table("nation").select("n_name", F.col("n_name").alias("instance_id"), F.when(k % 3 == 0, "zz").otherwise(F.sha2("n_name", 256)).alias("governance_digest"), F.when(k % 3 == 1, -1).otherwise(k).alias("generation"))
-    return rows.select(F.col("n_name").alias("state"), F.explode(decisions.state_checks()).alias("problem"))
+    k, name = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    rows = x.table("orders").select(name.alias("state"), name.alias("instance_id"), F.when(k % 3 == 0, "zz").otherwise(F.sha2(name, 256)).alias("governance_digest"), F.when(k % 3 == 1, -1).otherwise(k).alias("generation"))
+    return rows.select("state", F.explode(decisions.state_checks()).alias("problem"))
 
 
 @query(_TWO + ", r as (select * from impact_ where pos % 5 <> 0) select agent, ref, 'missing' as problem from (select distinct agent, ref from candidates) anti join (select distinct agent, ref from r) using (agent, ref)")
@@ -167,9 +167,9 @@ def s3_window_intake(x: Lens) -> DataFrame:
 
 @query("select n_nationkey as id, case n_nationkey % 5 when 0 then 'digest of another manifest' when 1 then 'another generation' when 2 then 'unknown profile' when 3 then 'window ends before it starts' else 'another instance' end as problem from nation", lens=False)
 def p1_envelope_check(x: Lens) -> DataFrame:
-    k, digest = F.col("n_nationkey"), F.sha2(F.lit("a"), 256)
+    k, digest = F.col("event_id"), F.sha2(F.lit("a"), 256)
     state = x.spark.range(1).select(digest.alias("governance_digest"), F.lit(7).cast("long").alias("generation"), F.lit("one").alias("instance_id"))
-    rows = x.table("nation").select(k.alias("id"), F.when(k % 5 == 0, F.sha2(F.lit("b"), 256)).otherwise(digest).alias("governance_digest"), F.when(k % 5 == 1, 8).otherwise(7).cast("long").alias("graph_generation"), F.when(k % 5 == 2, "lax").otherwise("strict").alias("profile"), F.when(k % 5 == 3, "2026-01-09T00:00:00Z").otherwise("2026-01-01T00:00:00Z").alias("window_start"), F.lit("2026-01-08T00:00:00+00:00").alias("window_end"), F.when(k % 5 == 4, "two").otherwise("one").alias("graph_instance_id"), F.lit(None).cast("string").alias("instance_id"))
+    rows = x.table("events").select(k.alias("id"), F.when(k % 5 == 0, F.sha2(F.lit("b"), 256)).otherwise(digest).alias("governance_digest"), F.when(k % 5 == 1, 8).otherwise(7).cast("long").alias("graph_generation"), F.when(k % 5 == 2, "lax").otherwise("strict").alias("profile"), F.when(k % 5 == 3, "2026-01-09T00:00:00Z").otherwise("2026-01-01T00:00:00Z").alias("window_start"), F.lit("2026-01-08T00:00:00+00:00").alias("window_end"), F.when(k % 5 == 4, "two").otherwise("one").alias("graph_instance_id"), F.lit(None).cast("string").alias("instance_id"))
     return propose.envelope_problems(rows, state, keep=("id",))
 
 
@@ -230,8 +230,8 @@ def p9_revalidate(x: Lens) -> DataFrame:
 
 @query("select r_name as name, case r_regionkey % 3 when 0 then 'exact' when 1 then 'revalidated' else 'unverified' end as status from region", lens=False)
 def p10_provenance_status(x: Lens) -> DataFrame:
-    k = F.col("r_regionkey")
-    rows = x.table("region").select(F.col("r_name").alias("name"), (k % 3 == 2).alias("absent"), F.sha2("r_name", 256).alias("governance_digest"), F.when(k % 3 == 0, k).cast("long").alias("graph_generation"), F.col("r_name").alias("graph_instance_id"), F.lit(None).cast("string").alias("instance_id"))
+    k = F.col("c_custkey")
+    rows = x.table("customer").select(F.col("c_name").alias("name"), (k % 3 == 2).alias("absent"), F.sha2("c_name", 256).alias("governance_digest"), F.when(k % 3 == 0, k).cast("long").alias("graph_generation"), F.col("c_name").alias("graph_instance_id"), F.lit(None).cast("string").alias("instance_id"))
     return rows.select("name", propose.provenance_of(F.col("absent")).alias("status"))
 
 

@@ -248,10 +248,15 @@ def v20_last_entry_wins(x: Lens) -> DataFrame:
 
 @query("select case when n_nationkey % 4 = 0 then 'MISSING' else 'EFFECT' end as code, count(*) as n from nation where n_nationkey % 4 in (0, 1) group by 1", lens=False)
 def v21_field_checks(x: Lens) -> DataFrame:
-    m, k = x.manifest, F.col("n_nationkey")
-    rows = x.table("nation").select(k.cast("long").alias("seq"), F.when(k % 4 == 0, F.lit("")).otherwise(F.col("n_name")).alias("id"), F.when(k % 4 == 1, "MAYBE").otherwise("DENY").alias("effect"), F.lit(None).cast("string").alias("scope"), F.lit(None).cast("string").alias("description"))
-    empty = lambda df: df.limit(0)
-    m = m.with_tables(policies=rows, agents=empty(m.agents), grants=empty(m.grants), data_access=empty(m.data_access), bindings=empty(m.bindings))
+    m, end = x.manifest, F.right("id", F.lit(1))
+    name = F.when(end == "1", "").when(end == "2", F.concat("id", F.lit("::x"))).when(end == "3", F.concat(F.lit("https://u:p@"), "id")).otherwise(F.col("id"))
+    m = m.with_tables(
+        agents=m.agents.withColumn("id", name),
+        policies=m.policies.withColumn("effect", F.when(F.length("id") % 2 == 0, "MAYBE").otherwise(F.col("effect"))),
+        grants=m.grants.withColumn("ref", F.when(F.col("granted_by") == "1-URGENT", " ").otherwise(F.col("ref"))),
+        data_access=m.data_access.withColumn("mode", F.when(F.col("mode") == "READS", "LOOKS").otherwise(F.col("mode"))),
+        bindings=m.bindings.withColumn("prov", F.when(F.col("field") == "governed_tools", F.col("prov").withField("source", F.lit("guess"))).otherwise(F.col("prov"))),
+    )
     return manifest.field_checks(m).groupBy("code").agg(F.count("*").alias("n"))
 
 

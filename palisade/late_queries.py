@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from functools import cached_property, partial
+from functools import cached_property, partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,14 @@ from palisade.sources.lens import AFTER_SQL, Lens, StoredLens
 
 query = partial(_query, of=StoredLens)
 
+
+def _re2(pattern: str) -> str:
+    """An expression as a string of DuckDB's SQL, whose expressions know no look-ahead; a test holds either way."""
+    return "'" + pattern.replace("(?=", "(?:").replace("'", "''") + "'"
+
+
+_SHAPED = " or ".join(f"regexp_matches(text, {_re2(p)})" for p in scrub.REFUSED)
+
 # ---- Decision tables ---------------------------------------------------------------
 
 _STRICT = "list_filter(reasons, lambda x: list_contains(['TOOL_NOT_FOUND', 'AMBIGUOUS_TOOL', 'NOT_GRANTED', 'DENY_VIOLATION', 'DENY_GOVERNED', 'DRIFTED', 'UNMAPPED'], x))[1]"
@@ -124,7 +132,7 @@ def b12_impact_check(x: Lens) -> DataFrame:
     return decisions.impact_check(old, new)
 
 
-@query("select n_name as state, case when n_nationkey % 3 = 0 then 'no digest' else 'no generation' end as problem from nation where n_nationkey % 3 < 2", lens=False)
+@query("select o_orderkey::varchar as state, case when o_orderkey % 3 = 0 then 'no digest' else 'no generation' end as problem from orders where o_orderkey % 3 < 2", lens=False)
 def b13_state_checks(x: Lens) -> DataFrame:
     k, name = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
     rows = x.table("orders").select(name.alias("state"), name.alias("instance_id"), F.when(k % 3 == 0, "zz").otherwise(F.sha2(name, 256)).alias("governance_digest"), F.when(k % 3 == 1, -1).otherwise(k).alias("generation"))
@@ -165,7 +173,7 @@ def s3_window_intake(x: Lens) -> DataFrame:
     return rows.select("agent", "ref", "decision", "calls", "would_block_calls", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("select n_nationkey as id, case n_nationkey % 5 when 0 then 'digest of another manifest' when 1 then 'another generation' when 2 then 'unknown profile' when 3 then 'window ends before it starts' else 'another instance' end as problem from nation", lens=False)
+@query("select event_id as id, case event_id % 5 when 0 then 'digest of another manifest' when 1 then 'another generation' when 2 then 'unknown profile' when 3 then 'window ends before it starts' else 'another instance' end as problem from events", lens=False)
 def p1_envelope_check(x: Lens) -> DataFrame:
     k, digest = F.col("event_id"), F.sha2(F.lit("a"), 256)
     state = x.spark.range(1).select(digest.alias("governance_digest"), F.lit(7).cast("long").alias("generation"), F.lit("one").alias("instance_id"))
@@ -228,7 +236,7 @@ def p9_revalidate(x: Lens) -> DataFrame:
     return propose.revalidate(_buckets(x).filter("bucket = 'addition'"), x.graph).select("agent", "ref", "bucket", "reason")
 
 
-@query("select r_name as name, case r_regionkey % 3 when 0 then 'exact' when 1 then 'revalidated' else 'unverified' end as status from region", lens=False)
+@query("select c_name as name, case c_custkey % 3 when 0 then 'exact' when 1 then 'revalidated' else 'unverified' end as status from customer", lens=False)
 def p10_provenance_status(x: Lens) -> DataFrame:
     k = F.col("c_custkey")
     rows = x.table("customer").select(F.col("c_name").alias("name"), (k % 3 == 2).alias("absent"), F.sha2("c_name", 256).alias("governance_digest"), F.when(k % 3 == 0, k).cast("long").alias("graph_generation"), F.col("c_name").alias("graph_instance_id"), F.lit(None).cast("string").alias("instance_id"))
@@ -281,8 +289,8 @@ class PlanLens(StoredLens):
 
 
 _PLANS = """,
-pl as materialized (select l_orderkey as k, l_orderkey::varchar as run_id, max(l_linenumber) as m from lineitem where l_orderkey % 4 = 0 group by 1, 2),
-pn as materialized (select l_orderkey::varchar as run_id, 'n' || l_linenumber as node, 'agent' as kind, l_linenumber as pos, l_quantity::bigint % 5 as invocations, l_quantity::bigint % 3 as parallelism from lineitem where l_orderkey % 4 = 0
+pl as materialized (select l_orderkey as k, l_orderkey::varchar as run_id, max(l_linenumber) as m from lineitem group by 1, 2),
+pn as materialized (select l_orderkey::varchar as run_id, 'n' || l_linenumber as node, 'agent' as kind, l_linenumber as pos, l_quantity::bigint % 5 as invocations, l_quantity::bigint % 3 as parallelism from lineitem
   union all select run_id, 'start', 'start', 0, null, null from pl union all select run_id, 'end', 'end', 99, null, null from pl where k % 12 <> 0),
 pe as materialized (select run_id, 'n' || l_linenumber as source, case when l_linenumber = m then 'end' else 'n' || (l_linenumber + 1) end as target, 'next' as kind, 'code' as decided_by, null::bigint as fan_out from lineitem join pl on k = l_orderkey where not (l_linenumber = 3 and k % 16 = 0)
   union all select run_id, 'start', 'n1', 'fanout', case when k % 8 = 0 then 'model' else 'code' end, case when k % 24 <> 0 then 2 end from pl union all select run_id, 'n' || m, 'n1', 'retry', 'model', null from pl where k % 20 = 0)"""
@@ -318,10 +326,30 @@ def c1_plan_field_checks(x: PlanLens) -> DataFrame:
     return control.field_findings(x.plans).groupBy("run_id", "code").agg(F.count("*").alias("n"))
 
 
-@query("select code, count(*) as n from (select case when conv_id % 3 = 0 then 'forbidden_field' when conv_id % 3 = 1 then 'absolute_path' else 'credential_value' end as code from conversations where turn = 0) group by 1", lens=False)
+#: Names put into rows in turn, those that a plan must not carry first, and values, absolute paths first.
+_BARRED = (
+    "api_key body command commands credential credentials env gate_commands headers memory model_selector output outputs password patch prompt prompts repo_root repository_path secret stderr stdout token worktree "
+    "my_api_key_2 my_command_2 my_credential_2 my_memory_body_2 my_model_selector_2 my_output_2 my_password_2 my_patch_2 my_prompt_2 my_secret_2 my_stderr_2 my_stdout_2 my_token_2 Headers STDOUT"
+).split()
+_NAMED = [*_BARRED, *"content messages environment bodies memories worktrees notes id".split()]
+_PATHS = ["/etc/x", r"\\\\host\\x", "C:/x", r"d:\\x", "a/b", "~/x", "C:x", ""]
+
+
+@query(
+    f"""with c as (select {_NAMED!r}[(conv_id * 7 + turn) % {len(_NAMED)} + 1] as name, (conv_id * 7 + turn) % {len(_NAMED)} < {len(_BARRED)} as barred, (conv_id + turn) % {len(_PATHS)} < 4 as path, text, coalesce({_SHAPED}, false) as shaped from conversations)
+  select code, subject, count(*) as n from (select 'forbidden_field' as code, name as subject from c where barred union all select 'absolute_path', name from c where path
+  union all select 'credential_value', 'text' from c where shaped union all select 'absolute_path', 'text' from c where regexp_matches(text, '^(?:/|\\\\\\\\|[A-Za-z]:[\\\\/])')) group by 1, 2""",
+    lens=False,
+)
 def c2_body_free_check(x: Lens) -> DataFrame:
-    said = x.table("conversations").select(F.concat_ws(":", "conv_id", "turn").alias("run_id"), F.to_json(F.struct("conv_id", "turn", F.struct("role", "text").alias("said"))).alias("value"))
-    return control.body_findings(PlanLens(x.spark, x.sf_dir).documents.union(said)).groupBy("code").agg(F.count("*").alias("n"))
+    """Plans as JSON, and each conversation row as JSON with one name and one value put in, up to eleven levels down."""
+    i, j = (F.col("conv_id") * 7 + F.col("turn")) % len(_NAMED), (F.col("conv_id") + F.col("turn")) % len(_PATHS)
+    put = F.concat(F.lit('{"'), F.element_at(F.array(*map(F.lit, _NAMED)), (i + 1).cast("int")), F.lit('": "'), F.element_at(F.array(*map(F.lit, _PATHS)), (j + 1).cast("int")), F.lit('"}'))
+    said = F.to_json(F.struct("conv_id", "turn", F.struct("role", "text").alias("said")))
+    levels = (F.col("turn") % 11).cast("int")
+    rows = x.table("conversations").select(F.concat_ws(":", "conv_id", "turn").alias("run_id"), F.concat(F.repeat(F.lit("["), levels), said, F.lit(", "), put, F.repeat(F.lit("]"), levels)).alias("value"))
+    rows = rows.withColumn("value", F.concat(F.lit("["), "value", F.lit("]")))
+    return control.body_findings(PlanLens(x.spark, x.sf_dir).documents.union(rows)).groupBy("code", "subject").agg(F.count("*").alias("n"))
 
 
 @plan_query(" select run_id, 'end_count' as code, '0' as subject from pl where k % 12 = 0")
@@ -344,7 +372,12 @@ def c6_no_terminal_path(x: PlanLens) -> DataFrame:
     return control.no_terminal_path(x.plans)
 
 
-@plan_query()
+#: What each node leads to along edges out of a plan's nodes; a node stays after peeling if a node on a loop leads to it.
+_CYCLES = """, cl as materialized (with recursive r(run_id, a, b) as (select run_id, source, target from pe semi join pn on pn.run_id = pe.run_id and pn.node = pe.source union select r.run_id, r.a, e.target from r join pe e on e.run_id = r.run_id and e.source = r.b) select * from r),
+  looped as materialized (select run_id, a as m from cl where a = b), cyc as materialized (select distinct c.run_id, c.b as node from cl c join looped l on l.run_id = c.run_id and l.m = c.a semi join pn on pn.run_id = c.run_id and pn.node = c.b)"""
+
+
+@plan_query(_CYCLES + " select run_id, 'cycle' as code, node as subject from cyc")
 def c7_cycle(x: PlanLens) -> DataFrame:
     return control.cycles(x.plans)
 
@@ -364,7 +397,7 @@ def c10_parallel_bound(x: PlanLens) -> DataFrame:
     return control.parallel_bound(x.plans)
 
 
-_ASKED = """, asked3 as (select distinct l_orderkey::varchar as run_id, c_name as principal, li.tool_key from li join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey where l_orderkey % 4 = 0),
+_ASKED = """, asked3 as (select distinct l_orderkey::varchar as run_id, c_name as principal, li.tool_key from li join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey),
   d3 as (select distinct a.principal as agent, t.tool_key, t.resource, t.policy from asked3 a join tool_deny t using (tool_key)), w3 as (select distinct agent, tool_key from d3),
   decided3 as materialized (select a.run_id, a.principal, a.tool_key, c.agent is not null and w3.agent is null and not f.is_drifted and not f.is_unmapped as fine from asked3 a join facts f using (tool_key) left join can_call c on c.agent = a.principal and c.tool_key = a.tool_key left join w3 on w3.agent = a.principal and w3.tool_key = a.tool_key)"""
 
@@ -401,7 +434,12 @@ def c14_exposure_cap(x: PlanLens) -> DataFrame:
     return got.groupBy("run_id", "pairs", "truncated").agg(F.count("*").alias("shown"))
 
 
-@plan_query(_FLOWS + " select run_id, case when run_id in (select run_id from decided3 where not fine) or run_id in (select run_id from flows) or run_id in (select run_id from pn group by 1 having sum(invocations) > 8) then 'advisory_warn' else 'advisory_allow' end as decision from pl")
+_FAULTS = """, faults as materialized (select run_id from pl where k % 12 = 0 or k % 24 = 0 union select run_id from pn group by run_id having sum(invocations) > 8 or max(parallelism) > 1 union select run_id from (select run_id, node from pn group by 1, 2 having count(*) > 1)
+  union select run_id from (select run_id, source as node from pe union select run_id, target from pe) anti join pn using (run_id, node) union select run_id from pn anti join fw using (run_id, node) union select run_id from pn anti join bw using (run_id, node)
+  union select run_id from cyc union select run_id from decided3 where not fine union select run_id from flows)"""
+
+
+@plan_query(_FLOWS + _FORWARD + _BACKWARD + _CYCLES + _FAULTS + " select run_id, case when run_id in (select run_id from faults) then 'advisory_warn' else 'advisory_allow' end as decision from pl")
 def c15_plan_decision(x: PlanLens) -> DataFrame:
     decided = control.principal_decisions(x.plans, x.graph)
     findings = control.lint(x.plans).unionByName(control.field_findings(x.plans))
@@ -564,7 +602,7 @@ def s1_crawl_intake(x: Lens) -> DataFrame:
     return intake.read_crawls(docs)["exposes"].select("server", "tool_key", "prov.evidence")
 
 
-@query("select agent, tool_key as ref, granted_by, evidence from can_call where agent like '%3'")
+@query("select agent, tool_key as ref, granted_by, evidence from can_call")
 def s2_manifest_intake(x: Lens) -> DataFrame:
     rows = x.manifest.grants
     docs = rows.groupBy("agent").agg(F.collect_list(F.struct("agent", F.col("ref").alias("tool"), "granted_by", F.col("prov").alias("provenance"))).alias("grants")).select(F.from_json(F.to_json(F.struct("grants")), manifest.MANIFEST_SCHEMA).alias("m")).select("m.*")
@@ -581,10 +619,6 @@ def s16_fleet_intake(x: Lens) -> DataFrame:
 
 # ---- Text columns ----------------------------------------------------------------------------------
 
-_RE = ["://[^/\\s:]*:[^/\\s]+@", "(?i)[?&](?:{n})=[^&#\\s]+", "(?i)({n}|authorization)(?:['\"]\\s*[:=]|\\s*=|\\s*:(?:\\s|[''\"]))", "(?i)authorization[''\"]?\\s*:\\s*[a-z][\\w-]*\\s+\\S", "(?i)\\bbearer\\s+[A-Za-z0-9._~+/=-]+"]
-_SHAPED = " or ".join("regexp_matches(text, '" + p.replace("{n}", scrub.CREDENTIAL_NAMES).replace("['\"]", "[''\"]") + "')" for p in _RE)
-
-
 @query(f"select doc_id, coalesce({_SHAPED}, false) as credential from documents", lens=False)
 def x1_credential_scan(x: Lens) -> DataFrame:
     return x.table("documents").select("doc_id", scrub.is_credential_shaped(F.col("text")).alias("credential"))
@@ -600,14 +634,10 @@ def x3_display_resource(x: Lens) -> DataFrame:
     return x.table("pages").select("page_id", scrub.display_resource(F.col("url")).alias("shown"))
 
 
-_VALUE = """([''"]?\\s*[:=]\\s*)([''"\\[{][\\s\\S]*|[^\\s,}\\]]+)"""
+_REDACTED = reduce(lambda t, rule: f"regexp_replace({t}, {_re2(rule[0])}, '{rule[1].replace('$1', chr(92) + '1')}', 'g')", scrub.redactions(), "text")
 
 
-@query(
-    "select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)authorization[''\"]?\\s*[:=]\\s*\\S[\\s\\S]*', 'Authorization=<redacted>', 'g'), '(?i)\\b(bearer)\\s+[A-Za-z0-9._~+/=-]+', '\\1 <redacted>', 'g'), "
-    f"'(?i)(api[-_]?key|access[-_]?token|token|password|secret){_VALUE}', '\\1=<redacted>', 'g'), '(?i)(credential){_VALUE}', '\\1=<redacted>', 'g') as text from documents",
-    lens=False,
-)
+@query(f"select doc_id, {_REDACTED} as text from documents", lens=False)
 def x4_redact_credentials(x: Lens) -> DataFrame:
     return x.table("documents").select("doc_id", scrub.redact_credentials(F.col("text")).alias("text"))
 

@@ -246,7 +246,10 @@ def v20_last_entry_wins(x: Lens) -> DataFrame:
     return crawl.last_of(rows.select(F.col("c_name").alias("agent"), "tool_key", F.col("o_orderpriority").alias("granted_by"), "seq"), ["agent", "tool_key"]).drop("seq")
 
 
-@query("select case when n_nationkey % 4 = 0 then 'MISSING' else 'EFFECT' end as code, count(*) as n from nation where n_nationkey % 4 in (0, 1) group by 1", lens=False)
+@query(
+    """select code, count(*) as n from (select case right(id, 1) when '1' then 'MISSING' when '2' then 'SEPARATOR' else 'CREDENTIAL' end as code from agents where right(id, 1) in ('1', '2', '3') union all select 'MISSING' from can_call where granted_by = '1-URGENT'
+  union all select 'EFFECT' from policies where length(id) % 2 = 0 union all select 'MODE' from data_access where mode = 'READS' union all select 'PROVENANCE' from governed_tool) group by 1"""
+)
 def v21_field_checks(x: Lens) -> DataFrame:
     m, end = x.manifest, F.right("id", F.lit(1))
     name = F.when(end == "1", "").when(end == "2", F.concat("id", F.lit("::x"))).when(end == "3", F.concat(F.lit("https://u:p@"), "id")).otherwise(F.col("id"))

@@ -1,11 +1,10 @@
 """The body-free check of control plans against a plain walk over parsed JSON."""
 
 import json
-import re
+from collections import Counter
 
 import __spark_entry__ as entry
 from palisade.plans import control
-from pyspark.sql import functions as F
 
 
 def nested(inner, levels):
@@ -53,10 +52,14 @@ def test_every_level_and_name(spark):
     }
 
 
-def test_query_reads_every_row(spark, sf):
-    from palisade.operators.scrub import is_credential_shaped
+def test_query_finds_every_name(spark, sf, monkeypatch):
+    """Every conversation row is read; each barred name and part of a name that is taken out of the lists shows."""
+    from palisade.late_queries import _BARRED, _NAMED
 
-    said = spark.read.parquet(f"{sf}/conversations.parquet").select("text", is_credential_shaped(F.col("text")).alias("shaped")).collect()
-    got = {r.code: r.n for r in entry.queries()["c2_body_free_check"](spark, sf).collect()}
-    want = {"credential_value": sum(r.shaped for r in said), "absolute_path": sum(bool(re.match(r"/|\\\\|[A-Za-z]:[\\/]", r.text or "")) for r in said)}
-    assert got == {k: n for k, n in want.items() if n}
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn").collect()
+    put = Counter(_NAMED[(r.conv_id * 7 + r.turn) % len(_NAMED)] for r in rows)
+    found = lambda: {r.subject: r.n for r in entry.queries()["c2_body_free_check"](spark, sf).collect() if r.code == "forbidden_field"}
+    assert found() == {k: n for k, n in put.items() if k in _BARRED}
+    monkeypatch.setattr(control, "BODY_FIELDS", tuple(c for c in control.BODY_FIELDS if c != "worktree"))
+    assert "worktree" not in found()
+    assert all(f"my_{c}_2" in _BARRED for c in control.BODY_PARTS) and set(control.BODY_FIELDS) <= set(_BARRED)

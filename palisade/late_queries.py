@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import uuid
-from functools import cached_property, partial, reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palisade.more_queries import SORTED_DIGEST
 from palisade.operators import decisions, manifest, propose, review, scrub
 from palisade.plans import control
-from palisade.queries import query as _query
-from palisade.sources import snapshots
+from palisade.queries import query
+from palisade.sources import artifacts, snapshots
 from palisade.sources.lens import AFTER_SQL, Lens, StoredLens
 
-query = partial(_query, of=StoredLens)
-
 
 def _re2(pattern: str) -> str:
     """An expression as a string of DuckDB's SQL, whose expressions know no look-ahead; a test holds either way."""
@@ -34,12 +33,12 @@ def b1_contract_digest(x: Lens) -> DataFrame:
     return decisions.exposed_catalog(x.graph).select("key", decisions.contract_digest().alias("digest"))
 
 
-@query("select count(*) as n, true as stable, true as differs from exposes")
+_CONTRACTS = """, contracts as (select tool_key as key, sha256('{"description":null,"destructive_hint":' || coalesce(destructive_hint::varchar, 'null') || ',"idempotent_hint":null,"input_schema":null,"key":"' || tool_key || '","name":"' || tool || '","open_world_hint":null,"read_only_hint":' || coalesce(read_only_hint::varchar, 'null') || ',"server":"' || server || '"}') as digest, exposed from tools)"""
+
+
+@query(_CONTRACTS + """, hashed as (select sha256('{"key":"' || key || '","contract":"' || digest || '"}') as h from contracts where exposed)""" + SORTED_DIGEST.format(rows="n"))
 def b2_catalog_digest(x: Lens) -> DataFrame:
-    g = x.graph
-    one, two = decisions.catalog_digest(g), decisions.catalog_digest(g.with_tables(tools=g.tools.orderBy("key"))).select(F.col("digest").alias("d2"))
-    three = decisions.catalog_digest(g.with_tables(tools=g.tools.withColumn("description", F.lit("x")))).select(F.col("digest").alias("d3"))
-    return one.crossJoin(two).crossJoin(three).select("n", (F.col("digest") == F.col("d2")).alias("stable"), (F.col("digest") != F.col("d3")).alias("differs"))
+    return decisions.catalog_digest(x.graph)
 
 
 _BUNDLE = """, pairs as (select agent, tool_key from can_call semi join exposes using (tool_key)),
@@ -75,12 +74,9 @@ def b5_preflight(x: Lens) -> DataFrame:
     return decisions.preflight(x.graph, runs.unionByName(ghost))
 
 
-@query("select count(distinct tool_key) as n, true as differs from exposes")
+@query(_CONTRACTS + """, hashed as (select sha256('{"ref":"' || ref || '","key":"' || key || '","exposed":' || exposed || ',"contract":"' || digest || '"}') as h from (select ref, unnest(keys) as key from resolved) join contracts using (key))""" + SORTED_DIGEST.format(rows="n"))
 def b7_scoped_catalog_digest(x: Lens) -> DataFrame:
-    rows = decisions.exposed_catalog(x.graph).select("key", decisions.contract_digest().alias("contract"), F.lit(True).alias("exposed"))
-    one = decisions.rows_digest(rows, "key", "exposed", "contract")
-    two = decisions.rows_digest(rows.withColumn("exposed", F.lit(False)), "key", "exposed", "contract").select(F.col("digest").alias("d2"))
-    return one.crossJoin(two).select("n", (F.col("digest") != F.col("d2")).alias("differs"))
+    return decisions.scoped_catalog_digest(x.graph, x.candidates)
 
 
 #: Decisions before and after the proposed manifest for the candidates.
@@ -544,7 +540,7 @@ def b6_review_plan(x: Lens) -> DataFrame:
 
 @query("select 'tools' as name, count(*) as count, 2::bigint as generation from tools union all select 'can_call', count(*), 2 from can_call union all select 'data_access', count(*), 2 from data_access")
 def s9_snapshot_publish(x: Lens) -> DataFrame:
-    root = f"{_shared(x)}/graph-{uuid.uuid4().hex}"
+    root = f"{snapshots.shared_dir(x.spark)}/graph-{uuid.uuid4().hex}"
     snapshots.publish(x.graph.with_tables(can_call=x.graph.can_call.limit(0)), root)
     snapshots.publish(x.graph, root)
     g = snapshots.read(x.spark, root)
@@ -558,39 +554,48 @@ def _policies_only(x: Lens, root: str) -> None:
     snapshots.publish(graph_of(x.spark, policies=x.graph.policies), root, digest="0" * 64)
 
 
-@_query("select 0::bigint as generation, true as no_digest, 0::bigint as policies from region limit 1", lens=False)
+@query("select 0::bigint as generation, true as no_digest, 0::bigint as policies from region limit 1", lens=False)
 def s10_snapshot_reset(x: Lens) -> DataFrame:
-    root = f"{_shared(x)}/graph-{uuid.uuid4().hex}"
+    root = f"{snapshots.shared_dir(x.spark)}/graph-{uuid.uuid4().hex}"
     _policies_only(x, root)
     snapshots.reset(x.spark, root)
     left = snapshots.read(x.spark, root).policies.agg(F.count("*").alias("policies"))
     return snapshots.graph_state(x.spark, root).select("generation", F.col("governance_digest").isNull().alias("no_digest")).crossJoin(left)
 
 
-@_query("select 1::bigint as generation, repeat('0', 64) as governance_digest, (select count(*) from policies) as policies")
+@query("select 1::bigint as generation, repeat('0', 64) as governance_digest, (select count(*) from policies) as policies")
 def s11_snapshot_state(x: Lens) -> DataFrame:
-    root = f"{_shared(x)}/graph-{uuid.uuid4().hex}"
+    root = f"{snapshots.shared_dir(x.spark)}/graph-{uuid.uuid4().hex}"
     _policies_only(x, root)
     n = snapshots.read(x.spark, root).policies.agg(F.count("*").alias("policies"))
     return snapshots.graph_state(x.spark, root).select("generation", "governance_digest").crossJoin(n)
 
 
-@_query("select id, effect, 1::bigint as generation, true as graph_state_verified from policies")
+@query("select id, effect, 1::bigint as generation, true as graph_state_verified from policies")
 def s12_stamped_read(x: Lens) -> DataFrame:
-    root = f"{_shared(x)}/graph-{uuid.uuid4().hex}"
+    root = f"{snapshots.shared_dir(x.spark)}/graph-{uuid.uuid4().hex}"
     _policies_only(x, root)
     rows = snapshots.read(x.spark, root).policies.select("id", "effect")
     return snapshots.stamped(rows, snapshots.graph_state(x.spark, root)).select("id", "effect", "generation", "graph_state_verified")
 
 
-def _shared(x: Lens) -> str:
-    snapshots.cut(x.spark.range(1))
-    return x.spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-@query("""select tool_key, sha256('{"agent":"' || agent || '","tool_key":"' || tool_key || '"}') as digest from can_call""")
+@query(
+    """, c as (select agent, tool_key, granted_by, evidence, '2026-01-0' || (seq % 9 + 1) || 'T10:00:00' || case seq % 5 when 0 then '' when 1 then '+02:00:30' when 2 then 'Z' else '-05:30' end as created_at from can_call)
+  select agent, tool_key, case when created_at like '%0' and created_at not like '%30' then 'created_at has no offset' when created_at like '%+02:00:30' then 'created_at''s offset is not in whole minutes' end as problem,
+    case when created_at not like '%:00' and created_at not like '%+02:00:30' then 'sha256:' || sha256('{"created_at":"' || created_at || '","kind":"grant","value":{"agent":"' || agent || '","by":"' || granted_by || '","evidence":' || coalesce('"' || evidence || '"', 'null') || ',"tool_key":"' || tool_key || '"}}' || chr(10)) end as digest,
+    created_at not like '%:00' and created_at not like '%+02:00:30' as intact from c"""
+)
 def s13_artifact_sink(x: Lens) -> DataFrame:
-    return x.graph.can_call.select("tool_key", F.sha2(F.to_json(F.struct("agent", "tool_key")), 256).alias("digest"))
+    """Each grant as an artifact, written and read back; some times of creation have no offset or one with seconds."""
+    grants = x.graph.can_call.select("agent", "tool_key", "granted_by", "prov.evidence")
+    rows = grants.join(x.granted_at, ["agent", "tool_key"])
+    made, refused = artifacts.artifacts(rows, "grant", F.struct("agent", F.col("granted_by").alias("by"), "evidence", "tool_key"), F.col("created_at"))
+    path = f"{snapshots.shared_dir(x.spark)}/artifacts-{uuid.uuid4().hex}"
+    artifacts.write_artifacts(made, path)
+    got = artifacts.read_artifacts(x.spark, path)
+    part = lambda name: F.get_json_object("body", f"$.value.{name}").alias(name)
+    fine = got.select(part("agent"), part("tool_key"), F.lit(None).cast("string").alias("problem"), "digest", "intact")
+    return fine.unionByName(refused.select("agent", "tool_key", "problem", F.lit(None).cast("string").alias("digest"), F.lit(False).alias("intact")))
 
 
 @query("select server, tool_key, 'crawled from ' || server as evidence from exposes")

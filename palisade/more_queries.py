@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palisade.operators import crawl, diff, manifest
 from palisade.queries import query
-from palisade.sources.lens import AFTER_SQL, CRAWL_SQL, Lens
+from palisade.sources.lens import AFTER_SQL, CRAWL_SQL, REORGANISED_SQL, Lens
 from palisade.sources.model import Graph
 
 # ---- Crawl reconciliation ---------------------------------------------------------
@@ -130,10 +130,11 @@ def _broken(x: Lens):
     """The proposed manifest with faults of every kind."""
     m, one = x.proposed, F.lit(9).cast("long").alias("seq")
     some = m.policies.filter("length(id) % 5 = 1")
+    thrice = some.filter("scope in ('ASIA', 'EUROPE')")
     grants = m.grants.limit(0).unionByName(x.candidates.select(one, "agent", "ref", F.lit(None).cast("string").alias("granted_by"), F.lit(None).cast(m.grants.schema["prov"].dataType).alias("prov")))
     undefined = m.bindings.filter("field = 'governed_resources'").withColumn("policy", F.concat(F.col("policy"), F.lit("-x")))
     twice = m.bindings.filter("field = 'governed_resources'").withColumn("field", F.lit("governed_by"))
-    return m.with_tables(policies=m.policies.unionByName(some), grants=m.grants.unionByName(grants), bindings=m.bindings.unionByName(undefined).unionByName(twice))
+    return m.with_tables(policies=m.policies.unionByName(some).unionByName(thrice), grants=m.grants.unionByName(grants), bindings=m.bindings.unionByName(undefined).unionByName(twice))
 
 
 _BAD_REFS = "(select distinct agent, ref, case when keys is null then 'not found' when len(keys) > 1 then 'ambiguous' end as problem from candidates left join resolved using (ref))"
@@ -143,14 +144,15 @@ def _warnings(x: Lens) -> DataFrame:
     return manifest.check_manifest(_broken(x), x.graph)[0]
 
 
-@query("select id, 2::bigint as n from policies where length(id) % 5 = 1")
+@query("select id, case when scope in ('ASIA', 'EUROPE') then 3 else 2 end::bigint as n from policies where length(id) % 5 = 1")
 def v1_duplicate_policy(x: Lens) -> DataFrame:
-    return _warnings(x).filter("code = 'DUPLICATE_POLICY'").select(F.col("subject").alias("id"), F.lit(2).cast("long").alias("n"))
+    told = _warnings(x).filter("code = 'DUPLICATE_POLICY'").select(F.col("subject").alias("id"))
+    return manifest.duplicate_policies(_broken(x)).join(told, "id")
 
 
-@query("select id as agent from agents")
+@query(REORGANISED_SQL + "select id as agent from agents4")
 def v2_known_agents(x: Lens) -> DataFrame:
-    return manifest.known_agents(x.proposed)
+    return manifest.known_agents(x.reorganised)
 
 
 @query("select ref as subject, 'grant of ''' || ref || ''': ' || case when keys is null then 'not found' else 'ambiguous' end as message from candidates left join resolved using (ref) where keys is null or len(keys) > 1")
@@ -219,13 +221,14 @@ _EXCEPTION_CODES = """, e as (select e.*, e.agent in (select agent from can_call
     exists (select 1 from data_access2 a join governed_resource2 g using (uri) where a.tool_key = e.tool_key and g.policy = e.policy) or exists (select 1 from governed_tool2 g where g.tool_key = e.tool_key and g.policy = e.policy) as has_path,
     a.id is not null as declared
   from exceptions e left join policies2 p on p.id = e.policy left join can_call2 c on c.agent = e.agent and c.tool_key = e.tool_key left join (select id from agents where id not like '%7') a on a.id = e.agent)
-  select agent, tool_key, resource, policy, case when not declared then 'EXCEPTION_AGENT' when not has_policy then 'EXCEPTION_POLICY' when effect = 'ALLOW' then 'EXCEPTION_ALLOW' when not has_grant then 'EXCEPTION_GRANT'
+  select agent, tool_key || case when agent like '%5' then '-gone' else '' end as tool_key, resource, policy, case when not declared then 'EXCEPTION_AGENT' when not has_policy then 'EXCEPTION_POLICY' when effect = 'ALLOW' then 'EXCEPTION_ALLOW' when agent like '%5' then 'EXCEPTION_TOOL' when not has_grant then 'EXCEPTION_GRANT'
     when resource is not null and not has_access then 'EXCEPTION_ACCESS' when resource is not null and not has_bound then 'EXCEPTION_BINDING' when resource is null and not has_path then 'EXCEPTION_PATH' end as code from e"""
 
 
 def _flags(x: Lens) -> DataFrame:
     m = x.proposed
-    m = m.with_tables(exceptions=x.manifest.exceptions, agents=m.agents.filter("id not like '%7'"))
+    lost = F.when(F.col("agent").like("%5"), F.concat("ref", F.lit("-gone"))).otherwise(F.col("ref"))
+    m = m.with_tables(exceptions=x.manifest.exceptions.withColumn("ref", lost), agents=m.agents.filter("id not like '%7'"))
     return manifest.exception_flags(m, manifest.resolve_manifest(m, x.graph.tools)).select("agent", F.col("ref").alias("tool_key"), "resource", "policy", "code")
 
 
@@ -316,13 +319,22 @@ def m8_prune_tools(x: Lens) -> DataFrame:
     return after(x).tools.select("key")
 
 
-@query("select true as same, true as differs, (select count(*) from agents) + (select count(*) from policies) + (select count(*) from can_call) + (select count(*) from data_access) + (select count(*) from governed_resource) + (select count(*) from governed_tool) + (select count(*) from exceptions) as rows")
+#: Rows of the manifest as canonical JSON; `sorted_digest` of h(h) as SQL.
+_PROV_JSON = """'{"source":"operator_asserted","confidence":"high","evidence":' || coalesce('"' || evidence || '"', 'null') || '}'"""
+_MANIFEST_ROWS = f""", texts as (select 'agents:{{"id":"' || id || '","seq":0}}' as t from agents union all select 'policies:{{"description":null,"effect":"' || effect || '","id":"' || id || '","scope":"' || scope || '","seq":0}}' from policies
+  union all select 'grants:{{"agent":"' || agent || '","granted_by":"' || granted_by || '","prov":' || {_PROV_JSON} || ',"ref":"' || tool_key || '","seq":0}}' from can_call
+  union all select 'data_access:{{"mode":"' || mode || '","prov":' || {_PROV_JSON} || ',"ref":"' || tool_key || '","resource":"' || uri || '","seq":0}}' from data_access
+  union all select 'bindings:{{"field":"governed_resources","node":"' || uri || '","policy":"' || policy || '","prov":' || {_PROV_JSON} || ',"seq":0}}' from governed_resource
+  union all select 'bindings:{{"field":"governed_tools","node":"' || tool_key || '","policy":"' || policy || '","prov":' || {_PROV_JSON} || ',"seq":0}}' from governed_tool
+  union all select 'exceptions:{{"agent":"' || agent || '","policy":"' || policy || '","reason":"' || reason || '","ref":"' || tool_key || '","resource":' || coalesce('"' || resource || '"', 'null') || ',"seq":0}}' from exceptions),
+  hashed as (select sha256(t) as h from texts)"""
+SORTED_DIGEST = """, fine as (select left(h, 6) as p, sha256(string_agg(h, '' order by h)) as d, count(*) as n from hashed group by 1), coarse as (select left(p, 3) as q, sha256(string_agg(d, '' order by p)) as d, sum(n) as n from fine group by 1)
+  select sha256(string_agg(d, '' order by q)) as digest, sum(n)::bigint as {rows} from coarse"""
+
+
+@query(_MANIFEST_ROWS + SORTED_DIGEST.format(rows="rows"))
 def m9_governance_digest(x: Lens) -> DataFrame:
-    """The digest is stable under row order and changes with the manifest."""
-    one = manifest.governance_digest(x.manifest)
-    two = manifest.governance_digest(x.manifest.with_tables(grants=x.manifest.grants.orderBy("agent", "ref"))).select(F.col("digest").alias("again"))
-    other = manifest.governance_digest(x.proposed).select(F.col("digest").alias("other"))
-    return one.crossJoin(two).crossJoin(other).select((F.col("digest") == F.col("again")).alias("same"), (F.col("digest") != F.col("other")).alias("differs"), "rows")
+    return manifest.governance_digest(x.manifest)
 
 
 # ---- Manifest diff ------------------------------------------------------------------------
@@ -334,9 +346,13 @@ def _ops(df: DataFrame) -> DataFrame:
     return df.select("op", "key")
 
 
-@query("select null as op, null as key where false")
+def reorganised(x: Lens) -> Graph:
+    return manifest.apply_manifest(x.reorganised, x.graph)
+
+
+@query(REORGANISED_SQL + "select 'deleted' as op, id as key from agents where id not in (select id from agents4) union all select 'created', id from agents4 where id not in (select id from agents)")
 def d1_agents(x: Lens) -> DataFrame:
-    return _ops(diff.agents(x.graph, after(x)))
+    return _ops(diff.agents(x.graph, reorganised(x)))
 
 
 @query(AFTER_SQL + "select 'modified' as op, id as key from policies join policies2 q using (id) where policies.effect <> q.effect")
@@ -364,9 +380,11 @@ def d6_data_access(x: Lens) -> DataFrame:
     return _ops(diff.data_access(x.graph, after(x)))
 
 
-@query("select 'removed' as op, 'resource | ' || uri || ' | ' || policy as key from governed_resource where length(policy) % 7 = 0 union all select 'removed', 'tool | ' || tool_key || ' | ' || policy from governed_tool where length(policy) % 7 = 0")
+@query(
+    REORGANISED_SQL + "select 'removed' as op, target_kind || ' | ' || target || ' | ' || policy as key from (select * from bound except select * from bound4) union all select 'added', target_kind || ' | ' || target || ' | ' || policy from (select * from bound4 except select * from bound)"
+)
 def d7_bindings(x: Lens) -> DataFrame:
-    return _ops(diff.binding_changes(x.graph, after(x)))
+    return _ops(diff.binding_changes(x.graph, reorganised(x)))
 
 
 @query("select case when reason = 'wildcard' then 'removed' else 'reason_updated' end as op, agent || ' | ' || tool_key || ' | ' || coalesce(resource, '*') || ' | ' || policy as key from exceptions where reason = 'wildcard' or resource like 'store:2%'")
@@ -374,10 +392,13 @@ def d8_exceptions(x: Lens) -> DataFrame:
     return _ops(diff.exceptions(x.graph, after(x)))
 
 
-@query(AFTER_SQL + """, b as (select uri from data_access union select uri from governed_resource), a as (select uri from data_access2 union select uri from governed_resource2)
-  select 'pruned' as op, uri as key from resources anti join resources2 using (uri) union all select 'retained_crawled', uri from b anti join a using (uri) semi join provides using (uri)""")
+@query(
+    REORGANISED_SQL
+    + """, b as (select uri from data_access union select uri from governed_resource) select 'pruned' as op, uri as key from resources anti join resources4 using (uri) union all select 'created', uri from resources4 anti join resources using (uri)
+  union all select 'retained_crawled', uri from b anti join named4 using (uri) semi join provides using (uri)"""
+)
 def d9_resources(x: Lens) -> DataFrame:
-    return _ops(diff.resources(x.graph, after(x)))
+    return _ops(diff.resources(x.graph, reorganised(x)))
 
 
 @query(AFTER_SQL + """, a as (select tool_key from can_call2 union select tool_key from data_access2 union select tool_key from governed_tool2)
@@ -386,6 +407,16 @@ def d10_tools(x: Lens) -> DataFrame:
     return _ops(diff.tools(x.graph, after(x)))
 
 
-@query(AFTER_SQL + "select 'grant' as kind, 'revoked' as op, (select count(*) from can_call anti join can_call2 using (agent, tool_key)) as n union all select 'grant', 'added', (select count(*) from can_call2 anti join can_call using (agent, tool_key)) union all select 'policy', 'modified', (select count(*) from policies join policies2 q using (id) where policies.effect <> q.effect)")
+@query(
+    AFTER_SQL
+    + """, gone_ as (select tool_key, mode, uri from data_access anti join data_access2 using (tool_key, mode, uri)), held as (select uri from data_access2 union select uri from governed_resource2), kept as (select tool_key from can_call2 union select tool_key from data_access2 union select tool_key from governed_tool2),
+  rows_ as (select 'grant' as kind, 'revoked' as op from can_call anti join can_call2 using (agent, tool_key) union all select 'grant', 'added' from can_call2 anti join can_call using (agent, tool_key) union all select 'policy', 'modified' from policies join policies2 q using (id) where policies.effect <> q.effect
+  union all select 'granted_by', 'modified' from can_call c join can_call2 d using (agent, tool_key) where c.granted_by is distinct from d.granted_by union all select 'data_access_provenance', 'modified' from data_access c join data_access2 d using (tool_key, mode, uri) where c.evidence is distinct from d.evidence
+  union all select 'data_access', 'removed' from gone_ union all select 'binding', 'removed' from (select uri from governed_resource where length(policy) % 7 = 0 union all select tool_key from governed_tool where length(policy) % 7 = 0)
+  union all select 'exception', case when reason = 'wildcard' then 'removed' else 'reason_updated' end from exceptions where reason = 'wildcard' or resource like 'store:2%'
+  union all select 'resource', 'pruned' from resources anti join resources2 using (uri) union all select 'resource', 'retained_crawled' from (select uri from data_access union select uri from governed_resource) anti join held using (uri) semi join provides using (uri)
+  union all select 'tool', 'pruned' from tools anti join tools2 using (tool_key) union all select 'tool', 'retained_crawled' from authored_keys anti join kept using (tool_key) semi join exposes using (tool_key))
+  select kind, op, count(*) as n from rows_ group by 1, 2"""
+)
 def d11_summary(x: Lens) -> DataFrame:
-    return diff.summary(x.graph, after(x)).filter("kind in ('grant', 'policy')")
+    return diff.summary(x.graph, after(x))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.functions.predicates import no_evidence, sorted_set
@@ -134,11 +134,16 @@ BLOCKING = ("unsafe_violations", "drifted_tools")
 
 def audit_report(graph: Graph, include_grants: bool = False) -> DataFrame:
     """(finding, count, blocking, status): status is fail on violations or drift, warn on any finding, else pass."""
-    counts = [df.agg(F.count("*").alias("count")).select(F.lit(name).alias("finding"), "count", F.lit(name in BLOCKING).alias("_b")) for name, df in findings(graph, include_grants).items()]
-    rows = reduce(DataFrame.unionByName, counts)
-    whole = rows.agg(F.bool_or(F.col("_b") & (F.col("count") > 0)).alias("fail"), F.bool_or(F.col("count") > 0).alias("warn"))
-    status = F.when(F.col("fail"), "fail").when(F.col("warn"), "warn").otherwise("pass")
-    return rows.crossJoin(F.broadcast(whole)).select("finding", "count", (F.col("_b") & (F.col("count") > 0)).alias("blocking"), status.alias("status"))
+    parts = findings(graph, include_grants)
+    # Both kinds of paths are counted in one pass over them.
+    kinds = ("unsafe_violations", "authorized_but_governed")
+    n = {k: F.count_if(F.col("classification") == c).alias(k) for k, c in zip(kinds, ("violation", "authorized_but_governed"), strict=True)}
+    paths = deny.classified_paths(graph).agg(*n.values()).select(F.explode(F.map_from_arrays(F.array(*map(F.lit, kinds)), F.array(*kinds))).alias("finding", "count"))
+    counts = [df.agg(F.count("*").alias("count")).select(F.lit(name).alias("finding"), "count") for name, df in parts.items() if name not in kinds]
+    rows = reduce(DataFrame.unionByName, [paths, *counts]).withColumn("blocking", F.col("finding").isin(*BLOCKING) & (F.col("count") > 0))
+    every = Window.partitionBy()  # one row per finding
+    status = F.when(F.bool_or("blocking").over(every), "fail").when(F.bool_or(F.col("count") > 0).over(every), "warn").otherwise("pass")
+    return rows.select("finding", "count", "blocking", status.alias("status"))
 
 
 def graph_counts(graph: Graph) -> DataFrame:

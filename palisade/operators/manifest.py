@@ -96,6 +96,11 @@ def known_agents(m: Manifest) -> DataFrame:
     return m.agents.select(F.col("id").alias("agent")).union(m.grants.select("agent")).distinct()
 
 
+def duplicate_policies(m: Manifest) -> DataFrame:
+    """(id, n) of policies that are defined more than once."""
+    return m.policies.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
+
+
 @dataclass(frozen=True)
 class Resolved:
     """A manifest against a catalog: tables with tool keys, canonical uris and binding kinds."""
@@ -203,12 +208,11 @@ def drift_notices(r: Resolved, exposes: DataFrame) -> DataFrame:
 def check_manifest(m: Manifest, graph: Graph, strict_drift: bool = False) -> tuple[DataFrame, DataFrame]:
     """(warnings, notices): any warning rejects the whole manifest."""
     r = resolve_manifest(m, graph.tools)
-    twice = m.policies.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
     bad = lambda df, code, what: warning(df.filter("problem is not null"), code, F.col("ref"), _text(f"{what} '%s': %s", "ref", "problem"))
     flagged = exception_flags(m, r).filter("code is not null")
     warnings = [
         field_checks(m),
-        warning(twice, "DUPLICATE_POLICY", F.col("id"), _text("policy '%s' is defined more than once", "id")),
+        warning(duplicate_policies(m), "DUPLICATE_POLICY", F.col("id"), _text("policy '%s' is defined more than once", "id")),
         bad(r.grants, "GRANT_TOOL", "grant of"),
         bad(r.data_access, "ACCESS_TOOL", "data access of"),
         binding_checks(m, r),
@@ -261,17 +265,28 @@ def exception_key(agent: Column, tool_key: Column, resource: Column, policy: Col
     return F.sha2(F.to_json(F.array(agent, tool_key, resource, policy)), 256)
 
 
-def governance_digest(m: Manifest) -> DataFrame:
-    """(digest, rows): order-free SHA-256 over the rows of all tables; list order counts through seq.
+def sorted_digest(hashes: DataFrame) -> DataFrame:
+    """(digest, n) of a table of row digests h: SHA-256 over all of them in order.
 
-    Row digests are added up in four parts, so the state is constant and
-    merges before the shuffle.
+    A tree, so that no task holds them all: digests that begin with the same
+    six hex digits are sorted and hashed, then groups that begin with the same
+    three, then the 4,096 of those.
     """
+
+    def hashed(value: str, order: str) -> Column:
+        rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
+        return F.sha2(F.array_join(F.transform(rows, lambda r: r["v"]), ""), 256)
+
+    fine = hashes.groupBy(F.substring("h", 1, 6).alias("p")).agg(hashed("h", "h").alias("d"), F.count("*").alias("n"))
+    coarse = fine.groupBy(F.substring("p", 1, 3).alias("q")).agg(hashed("d", "p").alias("d"), F.sum("n").alias("n"))
+    return coarse.agg(hashed("d", "q").alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def governance_digest(m: Manifest) -> DataFrame:
+    """(digest, rows): SHA-256 over the sorted digests of the rows of all tables; list order counts through seq."""
     rows = []
     for name in ("agents", "policies", "grants", "data_access", "bindings", "exceptions"):
         df = getattr(m, name)
         text = F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"})
         rows.append(df.select(F.sha2(F.concat(F.lit(name + ":"), text), 256).alias("h")))
-    part = lambda i: F.sum(F.conv(F.substring("h", 15 * i + 1, 15), 16, 10).cast("decimal(38,0)")).cast("string")
-    every = reduce(DataFrame.union, rows)
-    return every.agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), *[part(i) for i in range(4)]), 256).alias("digest"), F.count("*").alias("rows"))
+    return sorted_digest(reduce(DataFrame.union, rows)).withColumnRenamed("n", "rows")

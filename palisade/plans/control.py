@@ -8,12 +8,15 @@ decided_by, fan_out, pos).
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from palisade.operators import selector
 from palisade.operators.scrub import is_credential_identity, is_credential_shaped
@@ -21,6 +24,8 @@ from palisade.sources.model import Graph
 from palisade.sources.snapshots import cut
 
 MOST_EXPOSURES, MOST_PATH = 100, 32
+#: Larger plans are refused. Fixed values of the plan contract; they bound what one plan costs a task.
+MOST_NODES, MOST_EDGES = 4096, 16384
 NODE = T.StructType().add("id", "string").add("kind", "string").add("principals", T.ArrayType(T.StringType())).add("agent_call", "boolean").add("max_invocations", "long").add("max_parallelism", "long")
 EDGE = T.StructType().add("from", "string").add("to", "string").add("kind", "string").add("decided_by", "string").add("max_fan_out", "long")
 PLAN = (
@@ -42,9 +47,10 @@ class Plans:
 
 
 def read_plans(lines: DataFrame) -> tuple[Plans, DataFrame]:
-    """lines(value) of JSON plans -> (tables, refused lines); duplicate keys and missing parts are refused."""
+    """lines(value) of JSON plans -> (tables, refused lines); duplicate keys, missing parts and too many nodes or edges are refused."""
     got = lines.withColumn("p", F.when(F.try_parse_json("value").isNotNull(), F.from_json("value", PLAN)))
-    fine = F.coalesce(F.col("p.run_id").isNotNull() & F.col("p.nodes").isNotNull() & F.col("p.edges").isNotNull() & F.col("p.limits").isNotNull(), F.lit(False))
+    whole = F.col("p.run_id").isNotNull() & F.col("p.limits").isNotNull() & (F.size("p.nodes") <= MOST_NODES) & (F.size("p.edges") <= MOST_EDGES)
+    fine = F.coalesce(whole & F.col("p.nodes").isNotNull() & F.col("p.edges").isNotNull(), F.lit(False))
     ok = got.filter(fine).select("p.*")
     nodes = ok.select("run_id", F.posexplode("nodes").alias("pos", "n")).select("run_id", F.col("n.id").alias("node"), F.col("n.kind").alias("kind"), F.col("n.agent_call").alias("agent_call"), F.col("n.max_invocations").alias("invocations"), F.col("n.max_parallelism").alias("parallelism"), "pos", F.col("n.principals").alias("principals"))
     edges = ok.select("run_id", F.posexplode("edges").alias("pos", "e")).select("run_id", F.col("e.from").alias("source"), F.col("e.to").alias("target"), F.col("e.kind").alias("kind"), F.col("e.decided_by").alias("decided_by"), F.col("e.max_fan_out").alias("fan_out"), "pos")
@@ -132,23 +138,78 @@ def unknown_nodes(p: Plans) -> DataFrame:
     return _finding(ends.join(p.nodes, ["run_id", "node"], "left_anti"), "unknown_node", F.col("node"))
 
 
-def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+Steps = dict[str, set[str]]
+
+
+def _each_plan(edges: DataFrame, asked: DataFrame, walk: Callable[[Steps, list], Iterator[tuple]], schema: str) -> DataFrame:
+    """run_id and the rows of walk(steps, values) for each plan of asked(run_id, values).
+
+    A plan is small by contract, so its edges are collected beside it and many
+    plans share an Arrow batch: one shuffle, whatever the length of paths.
+    """
+    steps = edges.groupBy("run_id").agg(F.collect_set(F.struct("source", "target")).alias("steps"))
+    out = T.StructType.fromDDL(f"run_id string, {schema}")
+    types = [to_arrow_type(f.dataType) for f in out]
+
+    def run(batches):
+        for batch in batches:
+            rows: list[tuple] = []
+            for plan in batch.to_pylist():
+                after: Steps = {}
+                for e in plan["steps"] or ():
+                    after.setdefault(e["source"], set()).add(e["target"])
+                for row in walk(after, plan["values"]):
+                    rows.append((plan["run_id"], *row))
+                    if len(rows) >= 50_000:
+                        yield pack(rows)
+                        rows = []
+            yield pack(rows)
+
+    def pack(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [[]] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=out.fieldNames())
+
+    return asked.select("run_id", "values").join(steps, "run_id", "left").mapInArrow(run, out)
+
+
+def _values(rows: DataFrame, *columns: str) -> DataFrame:
+    """(run_id, values): the distinct values of columns of each plan."""
+    return rows.groupBy("run_id").agg(F.collect_set(F.struct(*columns)).alias("values"))
+
+
+def _layers(after: Steps, seed: str) -> Iterator[list[tuple[str, str]]]:
+    """(node, node before it) by distance from the seed; each layer in the order of its least paths by name."""
+    seen, layer = {seed}, [seed]
+    while layer:
+        new = []
+        for u in layer:
+            for v in sorted(after.get(u, ())):
+                if v not in seen:
+                    seen.add(v)
+                    new.append((v, u))
+        yield new
+        layer = [v for v, _ in new]
+
+
+def reach(edges: DataFrame, seeds: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """(run_id, seed, node, depth): nodes on a path from each seed, at their least depth; seeds at 0.
 
-    A frontier loop over DataFrames: join the edges, drop what was visited,
-    until nothing is new. Rounds are as many as the longest path is long.
+    ends(run_id, node), if given, are the only nodes that are returned.
     """
-    steps = cut(edges.select("run_id", "source", "target").distinct())
-    seen = cut(seeds.select("run_id", F.col("node").alias("seed"), "node", F.lit(0).alias("depth")).distinct())
-    parts, edge, depth = [seen], seen, 0
-    while True:
-        depth += 1
-        near = edge.join(steps, (edge.run_id == steps.run_id) & (edge.node == steps.source)).select(edge.run_id, "seed", F.col("target").alias("node")).distinct()
-        edge = cut(near.join(seen, ["run_id", "seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if edge.isEmpty():
-            return reduce(DataFrame.unionByName, parts)
-        parts.append(edge)
-        seen = seen.unionByName(edge)
+    some = ends is not None
+    asked = seeds.select("run_id", "node", F.lit(False).alias("end"))
+    if some:
+        asked = asked.union(ends.select("run_id", "node", F.lit(True)))
+
+    def walk(after: Steps, values: list) -> Iterator[tuple]:
+        last = {v["node"] for v in values if v["end"]}
+        for seed in (v["node"] for v in values if not v["end"]):
+            if not some or seed in last:
+                yield seed, seed, 0
+            for depth, layer in enumerate(_layers(after, seed), 1):
+                yield from ((seed, v, depth) for v, _ in layer if not some or v in last)
+
+    return _each_plan(edges, _values(asked, "node", "end"), walk, "seed string, node string, depth int")
 
 
 def _single(p: Plans, kind: str) -> DataFrame:
@@ -170,18 +231,27 @@ def no_terminal_path(p: Plans) -> DataFrame:
 
 
 def cycles(p: Plans) -> DataFrame:
-    """Nodes left after peeling those without incoming edges, round by round."""
-    nodes = cut(p.nodes.select("run_id", "node").distinct())
-    edges = cut(p.edges.select("run_id", "source", "target").distinct().join(nodes, (F.col("source") == nodes.node) & (p.edges.run_id == nodes.run_id), "left_semi"))
-    while True:
-        inner = edges.select("run_id", F.col("target").alias("node")).distinct()
-        left = cut(nodes.join(inner, ["run_id", "node"], "left_semi"))
-        free = nodes.join(inner, ["run_id", "node"], "left_anti")
-        if free.isEmpty():
-            return _finding(left, "cycle", F.col("node"))
-        sources = free.withColumnRenamed("node", "source")
-        edges = cut(edges.join(sources, ["run_id", "source"], "left_anti"))
-        nodes = left
+    """Nodes left after peeling those without incoming edges."""
+
+    def walk(after: Steps, values: list) -> Iterator[tuple]:
+        left = {v["node"] for v in values}
+        into = dict.fromkeys(left, 0)
+        for u in left:
+            for v in after.get(u, ()):
+                if v in left:
+                    into[v] += 1
+        free = [v for v, n in into.items() if not n]
+        while free:
+            u = free.pop()
+            left.discard(u)
+            for v in after.get(u, ()):
+                if v in left:
+                    into[v] -= 1
+                    if not into[v]:
+                        free.append(v)
+        return ((v,) for v in left)
+
+    return _finding(_each_plan(p.edges, _values(p.nodes, "node"), walk, "node string"), "cycle", F.col("node"))
 
 
 def unbounded_fanout(p: Plans) -> DataFrame:
@@ -216,30 +286,37 @@ def exposures(p: Plans, callers: DataFrame, graph: Graph, decisions: DataFrame)
     """(run_id, reader, writer, depth, read_tool, read_uri, write_tool, write_uri): reads that can flow into later writes.
 
     callers(run_id, node, principal). Only nodes that read are seeds, and only
-    pairs that end in a writer are joined with the facts.
+    nodes that write are looked for.
     """
     fine = decisions.filter("reason is null").select("run_id", "principal", "tool_key")
     acts = callers.join(fine, ["run_id", "principal"]).join(graph.data_access.select("tool_key", "mode", "uri"), "tool_key").select("run_id", "node", "tool_key", "mode", "uri").distinct()
     reads = acts.filter("mode = 'READS'").select("run_id", F.col("node").alias("reader"), F.col("tool_key").alias("read_tool"), F.col("uri").alias("read_uri"))
     writes = acts.filter("mode = 'WRITES'").select("run_id", F.col("node").alias("writer"), F.col("tool_key").alias("write_tool"), F.col("uri").alias("write_uri"))
-    flows = reach(p.edges, reads.select("run_id", F.col("reader").alias("node"))).filter("depth > 0")
+    flows = reach(p.edges, reads.select("run_id", F.col("reader").alias("node")), writes.select("run_id", F.col("writer").alias("node"))).filter("depth > 0")
     pairs = flows.select("run_id", F.col("seed").alias("reader"), F.col("node").alias("writer"), "depth")
     return pairs.join(writes, ["run_id", "writer"]).join(reads, ["run_id", "reader"]).select("run_id", "reader", "writer", "depth", "read_tool", "read_uri", "write_tool", "write_uri")
 
 
 def witness_paths(p: Plans, pairs: DataFrame) -> DataFrame:
     """(run_id, reader, writer, path): a shortest path of each pair, the least by name, long ones shortened in the middle."""
-    steps = cut(p.edges.select("run_id", "source", "target").distinct())
-    edge = cut(pairs.select("run_id", F.col("reader").alias("seed"), F.col("reader").alias("node"), F.array("reader").alias("path")).distinct())
-    wanted = cut(pairs.select("run_id", F.col("reader").alias("seed"), F.col("writer").alias("node")).distinct())
-    seen, parts = edge.select("run_id", "seed", "node"), []
-    while not edge.isEmpty():
-        near = edge.join(steps, (edge.run_id == steps.run_id) & (edge.node == steps.source)).select(edge.run_id, "seed", F.col("target").alias("node"), F.array_append("path", F.col("target")).alias("path"))
-        edge = cut(near.join(seen, ["run_id", "seed", "node"], "left_anti").groupBy("run_id", "seed", "node").agg(F.min("path").alias("path")))
-        seen = seen.unionByName(edge.select("run_id", "seed", "node"))
-        parts.append(edge.join(wanted, ["run_id", "seed", "node"], "left_semi"))
-    every = reduce(DataFrame.unionByName, parts)
-    return every.select("run_id", F.col("seed").alias("reader"), F.col("node").alias("writer"), compressed(F.col("path")).alias("path"))
+
+    def walk(after: Steps, values: list) -> Iterator[tuple]:
+        wanted: Steps = {}
+        for v in values:
+            wanted.setdefault(v["reader"], set()).add(v["writer"])
+        for reader, writers in wanted.items():
+            before: dict[str, str] = {}
+            for layer in _layers(after, reader):
+                before.update(layer)
+                for writer in (v for v, _ in layer if v in writers):
+                    path, at = [writer], writer
+                    while at != reader:
+                        at = before[at]
+                        path.append(at)
+                    yield reader, writer, path[::-1]
+
+    found = _each_plan(p.edges, _values(pairs, "reader", "writer"), walk, "reader string, writer string, path array<string>")
+    return found.withColumn("path", compressed(F.col("path")))
 
 
 def compressed(path: Column) -> Column:

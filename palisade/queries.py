@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from palisade.functions import predicates as P
 from palisade.operators import audit, blast, deny, resolve, scrub, selector
-from palisade.sources.lens import Lens, over_lens
+from palisade.sources.lens import Lens, StoredLens, over_lens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, lens: bool = True, of: type[Lens] = Lens):
+def query(sql: str | None = None, lens: bool = True, of: type[Lens] = StoredLens):
     """Register a function of a Lens under its name, with its SQL over the lens."""
 
     def add(f):

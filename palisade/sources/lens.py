@@ -6,12 +6,13 @@ customers agents, nations policies; line items give grants and data access.
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cache, cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.sources.model import Graph
+from palisade.sources.snapshots import stored
 
 
 def prov(source: str, confidence: str, evidence) -> F.Column:
@@ -94,6 +95,16 @@ class Lens:
         )
         return base.with_tables(exceptions=self._exceptions(base))
 
+    @cached_property
+    def granted_at(self) -> DataFrame:
+        """(agent, tool_key, created_at): a time for each grant, some without an offset or with seconds in it."""
+        orders, customer = self.table("orders").select("o_orderkey", "o_custkey"), self.table("customer").select("c_custkey", F.col("c_name").alias("agent"))
+        rows = self.lines.filter("l_returnflag <> 'N'").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        seq = F.max("seq").alias("seq")
+        offset = F.when(F.col("seq") % 5 == 0, "").when(F.col("seq") % 5 == 1, "+02:00:30").when(F.col("seq") % 5 == 2, "Z").otherwise("-05:30")
+        at = F.concat(F.lit("2026-01-0"), (F.col("seq") % 9 + 1).cast("string"), F.lit("T10:00:00"), offset)
+        return rows.groupBy("agent", "tool_key").agg(seq).select("agent", "tool_key", at.alias("created_at"))
+
     def _exceptions(self, base: Graph) -> DataFrame:
         """Building-segment agents are excepted per resource, every seventh agent wholly."""
         from palisade.operators.deny import deny_paths
@@ -169,6 +180,21 @@ class Lens:
             exceptions=exc,
         )
 
+    @cached_property
+    def reorganised(self):
+        """Another changed manifest: one segment's agents go, guests are granted without being declared, resources move, bindings go and come."""
+        m = self.manifest
+        c = self.table("customer").select("c_custkey", F.col("c_name").alias("agent"), "c_mktsegment")
+        out = c.filter("c_mktsegment = 'MACHINERY'").select("agent")
+        guests = m.grants.join(c.filter("c_custkey % 10 = 3").select("agent"), "agent", "left_semi").withColumn("agent", F.concat(F.lit("guest of "), "agent"))
+        moved = lambda uri: F.when(uri.like("store:1%"), F.concat(F.lit("vault:"), F.substring(uri, 7, 1 << 20))).otherwise(uri)
+        return m.with_tables(
+            agents=m.agents.join(out.withColumnRenamed("agent", "id"), "id", "left_anti").select("seq", "id"),
+            grants=m.grants.join(out, "agent", "left_anti").select(*m.grants.columns).unionByName(guests),
+            data_access=m.data_access.withColumn("resource", moved(F.col("resource"))),
+            bindings=m.bindings.withColumn("node", moved(F.col("node"))).filter("length(node) % 7 <> 0"),
+        )
+
     @cached_property
     def second_crawl(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(servers, tools, resources) that every second supplier lists later."""
@@ -183,26 +209,45 @@ class Lens:
         return servers, tools, resources
 
 
+class StoredGraph(Graph):
+    """A graph some of whose tables are written to the shared folder when they are first asked for."""
+
+    def __getattribute__(self, name: str):
+        value = super().__getattribute__(name)
+        return value() if callable(value) and name in Graph.__dataclass_fields__ else value
+
+    def with_tables(self, **tables: DataFrame) -> Graph:
+        # Tables nobody has asked for stay unwritten.
+        return StoredGraph(**{name: tables.get(name, self.__dict__[name]) for name in Graph.__dataclass_fields__})
+
+
 class StoredLens(Lens):
-    """The same tables written to the shared folder first, as a published snapshot's would be: long chains of decisions start from stored rows."""
+    """The same tables, where what costs joins is written to the shared folder once instead of being derived by each of its readers."""
+
+    STORED = ("tools", "exceptions", "can_call", "data_access")
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        return stored(super().lines)
 
     @cached_property
     def graph(self) -> Graph:
-        from palisade.sources.snapshots import cut
+        plain = super().graph
+        tables = {name: cache(partial(stored, df)) if name in self.STORED else df for name, df in plain.tables().items()}
+        # Exceptions follow from deny paths, so they are derived from the stored tables.
+        base = StoredGraph(**tables | {"exceptions": plain.exceptions.limit(0)})
+        return base.with_tables(exceptions=cache(lambda: stored(Lens._exceptions(self, base))))
 
-        return Graph(**{name: cut(df) for name, df in super().graph.tables().items()})
+    def _exceptions(self, base: Graph) -> DataFrame:
+        return base.exceptions
 
     @cached_property
     def observed(self) -> DataFrame:
-        from palisade.sources.snapshots import cut
-
-        return cut(super().observed)
+        return stored(super().observed)
 
     @cached_property
     def candidates(self) -> DataFrame:
-        from palisade.sources.snapshots import cut
-
-        return cut(super().candidates)
+        return stored(super().candidates)
 
 
 #: The same tables for DuckDB, as common table expressions.
@@ -280,6 +325,17 @@ exceptions2 as materialized (select agent, tool_key, resource, policy, case when
 resources2 as (select uri from provides union select uri from data_access2 union select uri from governed_resource2),
 tools2 as (select tool_key from exposes union select tool_key from can_call2 union select tool_key from data_access2 union select tool_key from governed_tool2)
 """
+#: The authored part after the reorganised manifest.
+REORGANISED_SQL = """,
+out_ as (select id from agents where c_mktsegment = 'MACHINERY'),
+can_call4 as materialized (select agent, tool_key from can_call where agent not in (select id from out_) union all select 'guest of ' || agent, tool_key from can_call join agents on id = agent where c_custkey % 10 = 3),
+agents4 as (select id from agents where id not in (select id from out_) union select agent from can_call4),
+data_access4 as materialized (select tool_key, mode, case when uri like 'store:1%' then 'vault:' || substr(uri, 7) else uri end as uri from data_access),
+bound4 as materialized (select * from (select 'resource' as target_kind, case when uri like 'store:1%' then 'vault:' || substr(uri, 7) else uri end as target, policy from governed_resource union all select 'tool', tool_key, policy from governed_tool) where length(target) % 7 <> 0),
+bound as materialized (select 'resource' as target_kind, uri as target, policy from governed_resource union all select 'tool', tool_key, policy from governed_tool),
+named4 as (select uri from data_access4 union select target from bound4 where target_kind = 'resource'),
+resources4 as (select uri from (select uri from resources union select uri from named4) where uri in (select uri from provides) or uri in (select uri from named4))
+"""
 CRAWL_SQL = """,
 crawled as (select distinct s_name as server from li where cast(right(s_name, 1) as int) % 2 = 0),
 listed as materialized (select tool_key, tool, s_name as server, case when min(p_size) % 3 = 1 then true end as read_only_hint from li semi join crawled on s_name = server where l_linestatus = 'F' group by 1, 2, 3),

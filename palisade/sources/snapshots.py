@@ -12,14 +12,32 @@ from palisade.sources.model import SCHEMAS, Graph, graph_of
 STATE = "instance_id string, generation long, updated_at timestamp, governance_digest string"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all machines of the cluster share; a local one only where Spark itself runs on one machine."""
+    sc = spark.sparkContext
+    named = sc._jsc.sc().getCheckpointDir()
+    if named.isDefined():
+        return named.get()
+    path = spark.conf.get("spark.checkpoint.dir", "")
+    if not path and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    sc.setCheckpointDir(path or f"file:///tmp/spark-checkpoints-{uuid.uuid4().hex[:8]}")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder, as a new start of its lineage."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or f"file:///tmp/spark-checkpoints-{uuid.uuid4().hex[:8]}")
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, of which later reads take the columns they need."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def graph_state(spark: SparkSession, root: str) -> DataFrame:
     """The current (instance_id, generation, governance_digest): the latest instance's greatest generation; 0 and null where nothing was published."""
     try:

@@ -63,44 +63,53 @@ def chance(*parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """docs plus size, source_size, target, rate and `copies` (how often the mix takes a row).
+NEW = ("size", "source_size", "target", "rate", "copies")
 
-    Each row is taken floor(rate) times, and once more with probability of the
-    fraction, decided by a hash of its doc_id and source. Sources without words
-    have rate 0. Null sources form one source; null texts have size 0; equal
-    rows get equal decisions.
-    """
-    sized = docs.withColumn("size", n_words(F.col("text")))
+
+def _decided(docs: DataFrame) -> DataFrame:
+    """`__row` (all columns of docs), doc_id, and NEW."""
+    sized = packed(docs, "doc_id", "text", "source").withColumn("size", n_words(F.col("text")))
     targets = source_targets(sized.select("source", "size"))
     targets = cut(targets.withColumnRenamed("source", "_s"))
     bound = targets.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("_s"), F.lit(0)) + 40), F.lit(0))).first()[0]
     if bound <= BROADCAST_BYTES:
         targets = F.broadcast(targets)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumn("rate", rate)
-    extra = (chance(F.col("doc_id"), F.col("source")) < F.col("rate") - F.floor("rate")).cast("long")
-    return joined.withColumn("copies", F.floor("rate") + extra)
+    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("rate", rate)
+    own = F.md5(F.coalesce("text", F.lit("")))
+    extra = (chance(F.col("doc_id"), F.col("source"), own) < F.col("rate") - F.floor("rate")).cast("long")
+    return joined.withColumn("copies", F.floor("rate") + extra).select("__row", "doc_id", *NEW)
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """docs plus size, source_size, target, rate and `copies` (how often the mix takes a row).
+
+    Each row is taken floor(rate) times, and once more with probability of the
+    fraction, decided by a hash of its doc_id, source and text. Sources without
+    words have rate 0. Null sources form one source; null texts have size 0;
+    rows with null or repeated doc_ids draw by their texts; rows equal in all
+    three get equal decisions. Columns of docs named like a new one give way.
+    """
+    return _decided(docs).select(*unpacked(docs.drop(*NEW)), *NEW)
 
 
 def mix_summary(docs: DataFrame) -> DataFrame:
     """One row per document: its size, its source's size and target, and the words taken of it."""
-    got = mix(docs.select("doc_id", "text", "source"))
+    got = _decided(docs)
     return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def emit(docs: DataFrame) -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it, with its `copy` number from 1.
 
-    A column of docs that is called copy gives way.
+    A column of docs that is called copy gives way; all others stay.
     """
-    got = mix(packed(docs, "doc_id", "text", "source")).filter("copies > 0")
     copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
-    return got.select(*unpacked(docs.drop("copy")), copy)
+    return _decided(docs).filter("copies > 0").select(*unpacked(docs.drop("copy")), copy)
 
 
 MIX_SQL = r"""
-with s as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
+with s as (select doc_id, source, md5(coalesce(text, '')) as own, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
 p as (select source, sum(size)::hugeint as source_size, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as w from s group by source),
 q as (select *, sum(source_size) over () as total,
              2 * coalesce(sum(source_size) over o, 0) as held,
@@ -113,7 +122,7 @@ g as (select source, source_size::bigint as source_size,
              case when n0 is null or n < n0 then (2 * source_size)::double else (rest0 * w)::double / (2 * free0)::double end as target
       from t left join f on true),
 m as (select s.doc_id, s.size, g.source_size, g.target, case when g.source_size > 0 then g.target / g.source_size::double else 0.0::double end as rate,
-             ('0x' || substr(sha256('mix-1|' || coalesce(s.doc_id::varchar, '?') || '|' || coalesce(s.source, '?')), 1, 13))::bigint::double / 4503599627370496.0::double as u
+             ('0x' || substr(sha256('mix-1|' || coalesce(s.doc_id::varchar, '?') || '|' || coalesce(s.source, '?') || '|' || s.own), 1, 13))::bigint::double / 4503599627370496.0::double as u
       from s join g on s.source is not distinct from g.source)
 select doc_id, size, source_size, target, (size * (floor(rate) + case when u < rate - floor(rate) then 1 else 0 end))::bigint as taken from m
 """

@@ -17,8 +17,9 @@ from re import _parser as rp
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from palisade.llm.spans import text_key
+from palisade.llm.spans import text_key, unpacked
 
 
 @dataclass(frozen=True)
@@ -138,6 +139,10 @@ def _trigrams(query) -> set[str]:
     return set() if query is True else {query} if isinstance(query, str) else set().union(*map(_trigrams, query[1]))
 
 
+SPANS, RUN = "array<struct<start:int,o:int,end:int>>", 64
+#: Tasks that the rows of one text are dealt to.
+SALTS = 8
+
 # ---- Index, candidates, verification -----------------------------------------
 
 
@@ -186,36 +191,44 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
 
     A split gives what lies between the matches, so running lengths give the
     positions. A match whose group is too short is dropped after matching, as
-    it has used up its characters.
+    it has used up its characters. Spans are gathered in runs of RUN, as each
+    append copies its array: the work stays near linear in the matches.
     """
     whole = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
     kept = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group))
     steps = F.arrays_zip(F.split(text, rule.regex, -1).alias("gap"), whole.alias("hit"), kept.alias("part"))
-    span = "array<struct<start:int,o:int,end:int>>"
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(span).alias("out"))
+    none = F.array().cast(SPANS)
+    start = F.struct(F.lit(0).alias("pos"), none.alias("run"), F.array().cast(f"array<{SPANS}>").alias("runs"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["pos"] + F.length(x["gap"])
         end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
         found = F.struct(begin.cast("int").alias("start"), F.lit(order).alias("o"), end.cast("int").alias("end"))
-        add = F.coalesce(F.length(x["part"]) >= rule.min_len, F.lit(False))
-        return F.struct(end.alias("pos"), F.when(add, F.array_append(acc["out"], found)).otherwise(acc["out"]).alias("out"))
+        add, full = F.coalesce(F.length(x["part"]) >= rule.min_len, F.lit(False)), F.size(acc["run"]) >= RUN
+        run = F.when(add, F.array_append(F.when(full, none).otherwise(acc["run"]), found)).otherwise(acc["run"])
+        return F.struct(end.alias("pos"), run.alias("run"), F.when(add & full, F.array_append(acc["runs"], acc["run"])).otherwise(acc["runs"]).alias("runs"))
 
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+    return F.aggregate(steps, start, step, lambda acc: F.flatten(F.array_append(acc["runs"], acc["run"])))
 
 
 def scan_secrets(docs: DataFrame, rules=BASE_RULES + EXTRA_RULES, text: str = "text") -> DataFrame:
     """docs plus `secret_spans`: array of (start, o, end, kind), sorted by start, then rule order.
 
     Null and empty texts get an empty array; repeated rows stay repeated and
-    get the same spans; other columns pass through.
+    get the same spans; other columns pass through, whatever their names, but
+    a column called secret_spans gives way. The rows of one text are dealt to
+    SALTS tasks by their other columns.
     """
     k1, k2 = text_key(F.col(text))
     index = build_index(docs, vocabulary(rules), text)
-    found = candidates(index, rules).withColumnsRenamed({"k1": "_k1", "k2": "_k2", "rules": "_rules"})
-    keyed = docs.withColumns({"_d1": k1, "_d2": k2})
-    joined = keyed.join(found, (F.col("_d1") == F.col("_k1")) & (F.col("_d2") == F.col("_k2")), "left")
-    whole, none = F.coalesce(F.col(text), F.lit("")), F.array().cast("array<struct<start:int,o:int,end:int>>")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    found = candidates(index, rules).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("rules").alias("_rules"), salts)
+    others = [docs[f.name] for f in docs.schema if f.name != text and isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.VariantType)]
+    salt = F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int") if others else F.lit(0)
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs[text].alias("_text"), salt.alias("_at"))
+    k1, k2 = text_key(F.col("_text"))
+    joined = keyed.join(found, (k1 == F.col("_k1")) & (k2 == F.col("_k2")) & (F.col("_at") == F.col("_salt")), "left")
+    whole, none = F.coalesce("_text", F.lit("")), F.array().cast(SPANS)
     parts = []
     for o, r in enumerate(rules):
         maybe = whole.rlike(r.regex)
@@ -223,11 +236,8 @@ def scan_secrets(docs: DataFrame, rules=BASE_RULES + EXTRA_RULES, text: str = "t
             maybe = F.coalesce(F.array_contains("_rules", r.kind), F.lit(False)) & maybe
         parts.append(F.when(maybe, rule_spans(whole, r, o)).otherwise(none))
     kinds = F.array(*[F.lit(r.kind) for r in rules])
-    return (
-        joined.withColumn("_spans", F.array_sort(F.concat(*parts)))
-        .withColumn("secret_spans", F.transform("_spans", lambda s: s.withField("kind", F.element_at(kinds, s["o"] + 1))))
-        .drop("_k1", "_k2", "_d1", "_d2", "_rules", "_spans")
-    )
+    spans = F.transform("_spans", lambda s: s.withField("kind", F.element_at(kinds, s["o"] + 1)))
+    return joined.withColumn("_spans", F.array_sort(F.concat(*parts))).select(*unpacked(docs.drop("secret_spans")), spans.alias("secret_spans"))
 
 
 def written(spans: Column) -> Column:

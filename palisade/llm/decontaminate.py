@@ -15,8 +15,8 @@ from palisade.llm.tokens import Words
 WINDOW = 13
 #: A document is contaminated when hits are at least 1 / SHARE of its words.
 SHARE = 20
-#: The set of windows is broadcast up to this many; beyond it, bits are, and hits are joined by shuffle.
-MAX_BROADCAST = 1_000_000
+#: The set of windows is broadcast up to this many, and up to so many bytes of words; beyond, bits are, and hits are joined by shuffle. The rows are the same.
+MAX_BROADCAST, MAX_BYTES = 1_000_000, 64 << 20
 #: Bits of the broadcast filter that replaces the set beyond that (64 MB), whatever the size of the benchmark.
 FILTER_BITS = 29
 
@@ -102,15 +102,15 @@ def _scan(windows: dict[int, list[tuple[str, int, bytes]]]):
 RESULT = T.StructType().add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string")
 
 
-def _small(docs: DataFrame, windows: DataFrame, max_broadcast: int):
-    """The windows as a broadcast variable, or None if they are too many."""
-    few = windows.limit(max_broadcast + 1).collect()
-    if len(few) > max_broadcast:
+def _small(windows: DataFrame, max_broadcast: int):
+    """The windows as a broadcast variable, or None if they are too many or too large; both are measured first."""
+    n, size = windows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("words") + F.octet_length("item_id") + 60), F.lit(0))).first()
+    if n > max_broadcast or size > MAX_BYTES:
         return None
     by_n: dict[int, list] = {}
-    for r in few:
+    for r in windows.collect():
         by_n.setdefault(r.n, []).append((r.item_id, r.hash, bytes(r.words)))
-    return docs.sparkSession.sparkContext.broadcast(by_n)
+    return windows.sparkSession.sparkContext.broadcast(by_n)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -118,10 +118,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, max_broadcast: int
 
     A window is 13 consecutive words of an item, or all words of a shorter
     one. Null and empty texts have no words and no hits; repeated rows each
-    get their result; an empty benchmark hits nothing.
+    get their result; an empty benchmark hits nothing. Columns of docs named
+    like a new one give way, all others stay.
     """
-    windows = benchmark_windows(benchmark)
-    sent = _small(docs, windows, max_broadcast)
+    docs = docs.drop("contaminated")
+    windows = cut(benchmark_windows(benchmark))
+    sent = _small(windows, max_broadcast)
     out = _by_shuffle(docs, windows) if sent is None else map_texts(docs, lambda: _scan(sent.value), RESULT)
     dirty = (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words"))
     return out.withColumn("contaminated", dirty)
@@ -142,7 +144,7 @@ def _by_shuffle(docs: DataFrame, windows: DataFrame) -> DataFrame:
         bits[r.byte] = r.bit
     sent = docs.sparkSession.sparkContext.broadcast(bits)
     k1, k2 = text_key(F.col("text"))
-    keyed = docs.withColumns({"_k1": k1, "_k2": k2})
+    keyed = packed(docs, "text").withColumns({"_k1": k1, "_k2": k2})
     texts = keyed.select("_k1", "_k2", "text")
     each = T.StructType().add("first", "integer").add("n", "integer").add("hash", "long").add("words", "binary")
 
@@ -172,17 +174,17 @@ def _by_shuffle(docs: DataFrame, windows: DataFrame) -> DataFrame:
     hit = spans.withColumn("_new", F.greatest(F.col("end") - reach, F.lit(0))).groupBy("_k1", "_k2").agg(F.sum("_new").alias("n_hit"))
     items = hits.select("_k1", "_k2", "item_id").distinct().groupBy("_k1", "_k2").agg(F.sort_array(F.collect_list("item_id")).alias("_items"))
     alnum = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    out = keyed.withColumn("n_words", F.coalesce(F.regexp_count(ascii_lower(F.col("text")), F.lit(alnum)), F.lit(0)).cast("long")).drop("text")
-    out = out.join(hit, ["_k1", "_k2"], "left").join(items, ["_k1", "_k2"], "left")
-    none = F.array().cast("array<string>")
-    held = F.coalesce("_items", none)
-    return out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "n_items": F.size(held).cast("long"), "items_sha256": F.sha2(F.array_join(held, ","), 256)}).drop("_k1", "_k2", "_items")
+    n_words = F.coalesce(F.regexp_count(ascii_lower(F.col("text")), F.lit(alnum)), F.lit(0)).cast("long")
+    out = keyed.join(hit, ["_k1", "_k2"], "left").join(items, ["_k1", "_k2"], "left")
+    held = F.coalesce("_items", F.array().cast("array<string>"))
+    made = {"n_words": n_words, "n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "n_items": F.size(held).cast("long"), "items_sha256": F.sha2(F.array_join(held, ","), 256)}
+    return out.select(*unpacked(docs.drop("text", *made)), *[c.alias(name) for name, c in made.items()])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """docs without contaminated documents; kept rows and columns are unchanged."""
-    windows = benchmark_windows(benchmark)
-    sent = _small(docs, windows, max_broadcast)
+    windows = cut(benchmark_windows(benchmark))
+    sent = _small(windows, max_broadcast)
     if sent is None:
         k1, k2 = text_key(F.col("text"))
         marked = docs.select("text", k1.alias("_c1"), k2.alias("_c2"))

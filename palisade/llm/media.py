@@ -234,10 +234,10 @@ def _members():
 
 
 def write_media(docs: DataFrame, path: str) -> None:
-    """Store every row's text as a picture in archives under path; the member name holds doc_id."""
+    """Store every row's text as a picture in archives under path; the member name holds doc_id (`id-` and its text, or `none`)."""
     spark = docs.sparkSession
     spark.dataSource.register(MediaArchive)
-    made = map_texts(docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("name"), "text"), _members, T.StructType().add("media", "binary"))
+    made = map_texts(docs.select(F.coalesce(F.concat(F.lit("id-"), F.col("doc_id").cast("string")), F.lit("none")).alias("name"), "text"), _members, T.StructType().add("media", "binary"))
     made.write.format("media_archive").mode("append").save(path)
 
 
@@ -276,5 +276,5 @@ def media_columns(docs: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
     write_media(docs, path)
     got = media_features(read_media(spark, path))
-    doc_id = F.when(F.col("name") != "null", F.col("name")).cast(docs.schema["doc_id"].dataType)
+    doc_id = F.when(F.col("name") != "none", F.substring("name", 4, 1 << 20)).cast(docs.schema["doc_id"].dataType)
     return got.select(doc_id.alias("doc_id"), *got.columns[1:])

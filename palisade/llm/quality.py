@@ -143,9 +143,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         most = F.lit(min(1.0, 1.3 * each[c] / n[c] + 200 / n[c]))
         part = some.filter(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 20)) < most * (1 << 20)) if n[c] > each[c] else some
         sample.append(part)
-    made = map_texts(sample[0].unionByName(sample[1]).select("doc_id", "y", "text"), _feature_lists, T.StructType().add("f", T.ArrayType(T.IntegerType())))
+    made = map_texts(sample[0].unionByName(sample[1]).select("doc_id", "y", F.xxhash64("text").alias("tie"), "text"), _feature_lists, T.StructType().add("f", T.ArrayType(T.IntegerType())))
     drawn: dict[int, list] = {0: [], 1: []}
-    for r in made.orderBy(F.xxhash64(F.lit("fit"), "doc_id"), "doc_id").toLocalIterator():
+    for r in made.orderBy(F.xxhash64(F.lit("fit"), "doc_id"), "doc_id", "tie").toLocalIterator():
         if len(drawn[r.y]) < each[r.y]:
             drawn[r.y].append(np.array(r.f, dtype=np.int32))
     rows = drawn[0] + drawn[1]
@@ -160,7 +160,8 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Only the text enters a score; null and empty texts have the offset alone.
     Repeated rows get equal scores; an empty labels table gives 0.5. A null
-    doc_id is never learned from and is not held out.
+    doc_id is never learned from and is not held out. Other columns of docs
+    and labels are neither read nor returned.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     setup = lambda: lambda texts: {"score": [model.value.score(t) for t in texts]}

@@ -93,7 +93,7 @@ def identify_languages(docs: DataFrame) -> DataFrame:
     Null texts and texts without a letter are `und` with score 0, as is every
     text if nothing could be learned. `rejected` marks narrow margins; lang_pred
     then still names the closest language. A null doc_id is not learned from
-    and not held out.
+    and not held out. Other columns are neither read nor returned.
     """
     contents = docs.sparkSession.sparkContext.broadcast(learn(docs))
 

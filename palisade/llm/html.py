@@ -1,9 +1,12 @@
 """Main-text extraction from web pages: text blocks labelled by a minimum cut.
 
 A page is cut into text blocks. A classifier's costs tie each block to the
-content or the boilerplate terminal; neighbours in page order and blocks under
-one parent are tied to each other. The minimum cut is the labelling of least
-total cost.
+content or the boilerplate terminal: what its place in the page's structure
+says (one group of features) and evidence learned from all pages (tag, length,
+links, punctuation, position). Neighbours in page order are tied to each other
+the more, the nearer they are in the element tree, and so are blocks of one
+kind under one parent. The minimum cut is the labelling of least total cost:
+ties and evidence outweigh the structure where they agree against it.
 """
 
 from __future__ import annotations
@@ -34,31 +37,34 @@ RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in "script style textar
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 ENDS |= {t: {"p"} for t in "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()}
 
-BOILER_TAGS = frozenset("nav footer aside form menu dialog".split())
+BOILER_TAGS = frozenset("nav footer aside menu dialog".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form note status".split())
+#: Class and id names of parts that are never main text, and of parts that mostly are not.
 BOILER_NAMES = frozenset(
-    "ad ads adv advert advertisement adverts advertising alert banner breadcrumb breadcrumbs bylinks comment comments commentlist consent cookie cookies copyright discussion disqus footer form gdpr header links login masthead menu menubar modal "
-    "nav navbar navigation navi newsletter notice notices notification overlay pager pagination popup promo promoted promotion reactions related reply replies respond responses search share sharing sidebar sidenav signup skip social sponsor sponsored "
-    "subscribe subscription tags teaser toolbar topbar widget widgets".split()
+    "ad ads adv advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright discussion disqus footer form gdpr login masthead menu menubar modal nav navbar navigation navi "
+    "newsletter notice notices overlay pager pagination popup promo promoted promotion share sharing sidebar sidenav signup sponsor sponsored subscribe subscription".split()
 )
+WEAK_NAMES = frozenset("alert bylinks header links notification notifications reactions related reply replies respond responses search skip social tags teaser toolbar topbar widget widgets".split())
+#: A name with one of these beside it describes a layout (has-sidebar), not the element.
+LAYOUT = frozenset("has have with without no show hide is enable enabled disable disabled".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 #: Class names of these describe the whole page or article, so they don't mark it as boilerplate.
 UNNAMED = CONTENT_TAGS | {"html", "body"}
 CONTENT_NAMES = frozenset("article articlebody body content entry main post postbody postcontent story storybody text".split())
 
-#: Costs: a block under a boilerplate element, one under an element that only its names call so (evidence and ties may outweigh it), one under a content element, one under none of these (plus a share for each word, up to 24).
-BOILER_COST, NAMED_COST, CONTENT_COST, OPEN_COST, WORD_COST = 8.0, 3.0, 4.0, 0.3, 0.1
+#: Costs of the structure's features: a block under a boilerplate element, one under an element that only names (or a form) call so, one under a content element, one under none of these (plus a share for each word, up to 24).
+BOILER_COST, NAMED_COST, WEAK_COST, CONTENT_COST, OPEN_COST, WORD_COST = 5.0, 4.2, 2.8, 2.2, 0.3, 0.1
 #: Cost of a block outside both that is all link.
 LINK_COST = 3.0
-#: Weights of the ties between neighbours and between blocks under one parent.
-NEXT, SIBLING = 0.4, 0.6
-#: The learned evidence moves a cost by this much at most.
-EVIDENCE = 2.5
+#: Weights of the ties between neighbours (over 1 + the elements between them) and between blocks of one tag under one parent.
+NEXT, SIBLING = 1.0, 0.45
+#: The learned evidence moves a cost by this much at most, and one cue by this much.
+EVIDENCE, CUE = 2.5, 1.0
 
 
 @dataclass
 class Node:
-    """An open element: its tag, and what it says of the text under it; `named` has the boilerplate names."""
+    """An open element: its tag, and what it says of the text under it; `named` has the names that mark boilerplate."""
 
     tag: str
     number: int
@@ -70,12 +76,12 @@ class Node:
 
 @dataclass
 class Found:
-    """A text block: raw pieces, the number of its parent element, its zone, and letters inside links."""
+    """A text block: raw pieces, the numbers of the block elements around it, its zone (`named`: cost of the names), and letters inside links."""
 
-    parent: int
+    path: tuple[int, ...]
     tag: str
     boiler: bool
-    named: bool
+    named: float
     content: bool
     pieces: list = field(default_factory=list)
     linked: int = 0
@@ -85,8 +91,8 @@ class Found:
 def _zone(tag: str, attrs: str, up: Node) -> tuple[bool, frozenset, bool, bool]:
     """(boilerplate, boilerplate names, content, hidden) of an element under `up`, by its tag, role, class and id.
 
-    An article or main element ends a zone that only names make, unless it has
-    one of these names itself (an article per comment, say).
+    An article or main element ends a zone that only names or a form make,
+    unless it has one of these names itself (an article per comment, say).
     """
     names: set[str] = set()
     hidden = up.hidden
@@ -94,7 +100,9 @@ def _zone(tag: str, attrs: str, up: Node) -> tuple[bool, frozenset, bool, bool]:
         for key, a, b, c, bare in ATTRIBUTE.findall(attrs):
             key, value = key.lower(), a or b or c
             if key in ("class", "id"):
-                names.update(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()))
+                for word in value.split():
+                    parts = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", word).lower()))
+                    names.update(parts if not parts & LAYOUT else ())
             elif key == "role":
                 names.add("role:" + value.strip().lower())
             hidden = hidden or bool(bare) or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", ""))
@@ -104,7 +112,9 @@ def _zone(tag: str, attrs: str, up: Node) -> tuple[bool, frozenset, bool, bool]:
     bad = tag in BOILER_TAGS or (tag == "header" and not up.content) or (bool(roles & BOILER_ROLES) and tag not in CONTENT_TAGS)
     named = frozenset() if whole and not names & up.named else up.named
     if not whole and tag not in UNNAMED:
-        named |= names & BOILER_NAMES
+        named |= names & (BOILER_NAMES | WEAK_NAMES)
+        if tag == "form":
+            named |= {"form"}
     return up.boiler or bad, named, (up.content or good) and not bad and not named, hidden
 
 
@@ -124,7 +134,8 @@ def blocks(page: str) -> list[Found]:
                     continue
                 if current is None:
                     holder = next((n for n in reversed(stack) if n.tag in BREAKS or not n.tag))
-                    current = Found(holder.number, holder.tag, top.boiler, bool(top.named), top.content)
+                    named = NAMED_COST if top.named & BOILER_NAMES else WEAK_COST if top.named else 0.0
+                    current = Found(tuple(n.number for n in stack if n.tag in BREAKS), holder.tag, top.boiler, named, top.content)
                     made.append(current)
                 current.pieces.append(piece)
                 if links:
@@ -242,17 +253,39 @@ def main_text(page: str | None, evidence: dict[str, float]) -> str:
     found = blocks(page or "")
     if not found:
         return ""
+    costs, ties = terms(found, evidence)
+    return " ".join(b.text for b, keep in zip(found, least_cut(costs, ties), strict=True) if keep)
+
+
+def terms(found: list[Found], evidence: dict[str, float]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """The cost of each block (positive: of calling it boilerplate) and the ties (block, block, weight)."""
     costs, ties, last = [], [], {}
     for i, b in enumerate(found):
-        learned = max(-EVIDENCE, min(EVIDENCE, sum(evidence.get(c, 0.0) for c in cues(b, i / len(found)))))
-        zone = -BOILER_COST if b.boiler else -NAMED_COST if b.named else CONTENT_COST if b.content else OPEN_COST + WORD_COST * min(24, b.text.count(" ") + 1) - LINK_COST * min(1.0, b.linked / len(b.text))
-        costs.append(zone + learned)
+        learned = sum(max(-CUE, min(CUE, evidence.get(c, 0.0))) for c in cues(b, i / len(found)))
+        if b.boiler:
+            zone = -BOILER_COST
+        elif b.named:
+            zone = -b.named
+        elif b.content:
+            zone = CONTENT_COST
+        else:
+            zone = OPEN_COST + WORD_COST * min(24, b.text.count(" ") + 1) - LINK_COST * min(1.0, b.linked / len(b.text))
+        costs.append(zone + max(-EVIDENCE, min(EVIDENCE, learned)))
         if i:
-            ties.append((i - 1, i, NEXT))
-        if b.parent in last:
-            ties.append((last[b.parent], i, SIBLING))
-        last[b.parent] = i
-    return " ".join(b.text for b, keep in zip(found, least_cut(costs, ties), strict=True) if keep)
+            ties.append((i - 1, i, NEXT / (1 + _apart(found[i - 1].path, b.path))))
+        kind = (b.path[:-1], b.tag)
+        if kind in last:
+            ties.append((last[kind], i, SIBLING))
+        last[kind] = i
+    return costs, ties
+
+
+def _apart(a: tuple[int, ...], b: tuple[int, ...]) -> int:
+    """Elements to leave and to enter on the way from one block to another."""
+    same = 0
+    while same < min(len(a), len(b)) and a[same] == b[same]:
+        same += 1
+    return len(a) + len(b) - 2 * same
 
 
 def learn_evidence(pages: DataFrame) -> dict[str, float]:
@@ -284,8 +317,9 @@ def learn_evidence(pages: DataFrame) -> dict[str, float]:
 def extract(pages: DataFrame) -> DataFrame:
     """pages without html, plus text and n_chars (code points).
 
-    Null and empty pages give empty text; repeated rows give equal texts.
+    Null and empty pages give empty text; repeated rows give equal texts;
+    columns of pages called text or n_chars give way, all others stay.
     """
     evidence = learn_evidence(pages)
-    made = map_texts(pages, lambda: lambda texts: {"text": [main_text(t, evidence) for t in texts]}, T.StructType().add("text", "string"), text="html")
+    made = map_texts(pages.drop("text", "n_chars"), lambda: lambda texts: {"text": [main_text(t, evidence) for t in texts]}, T.StructType().add("text", "string"), text="html")
     return made.withColumn("n_chars", F.length("text").cast("long"))

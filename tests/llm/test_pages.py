@@ -51,4 +51,4 @@ def test_evidence_outweighs_names_only():
     assert html.main_text(page, {}) == ""
     assert html.main_text(page, {"tag:p": 2.0, "end:True": 2.0}) == ""
     near = "<article><p>One two three.</p><div class=teaser><p>Four five.</p></div><p>Six.</p></article>"
-    assert html.main_text(near, {"tag:p": 2.4}) == "One two three. Four five. Six." and html.main_text(near, {}) == "One two three. Six."
+    assert html.main_text(near, {"tag:p": 2.4, "end:True": 2.4, "links:0": 2.4}) == "One two three. Four five. Six." and html.main_text(near, {}) == "One two three. Six."

@@ -2,13 +2,16 @@
 
 1. Each text becomes a set of five-word shingles. Texts with equal sets form
    one node (exact copies collapse before anything is joined).
-2. MinHash values are banded; nodes that share a band are linked to the band's
-   least node. Components of these star links are candidate clusters: every
-   candidate pair lies inside one of them.
-3. A cluster is split into chunks of bounded size and each pair of chunks goes
-   to one task. There, pairs that share a band are compared MinHash by MinHash
-   and dropped when the posterior probability of reaching the threshold falls
-   below a tolerance; the rest are verified exactly on the shingle sets.
+2. MinHash values are banded; a bucket holds the nodes that share a band. In
+   each bucket, pairs are compared MinHash by MinHash and dropped when the
+   posterior probability of reaching the threshold falls below a tolerance.
+   A bucket returns a star for each set of nodes that what remains connects;
+   pairs that are connected already are not compared. Buckets beyond a bound
+   are split into chunks, and each pair of chunks is compared on its own.
+3. Components of the stars are clusters: every pair that passed lies inside
+   one of them. A cluster is split into chunks of bounded size and each pair of
+   chunks goes to one task. There, the pairs that share a band are compared
+   again and those that pass are verified exactly on the shingle sets.
 4. A task returns, per node, its number of links and its component within the
    chunk pair - never the pairs. Components of those stars are the groups.
 """
@@ -21,6 +24,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,8 +40,10 @@ BANDS, ROWS = 44, 6
 TOLERANCE = 1e-9
 #: MinHash values compared before each look at the posterior.
 STEP = 24
-#: Bounds of a chunk; clusters beyond them are split into more chunks, never cut short.
-CHUNK_SHINGLES, CHUNK_NODES = 600_000, 1_500
+#: Bounds of a chunk; clusters and buckets beyond them are split into more chunks, never cut short.
+CHUNK_SHINGLES, CHUNK_NODES, CHUNK_BUCKET = 600_000, 1_500, 2_000
+#: Rows of buckets that one task compares.
+TASK_ROWS = 40_000
 
 _RNG = np.random.default_rng(20)
 _XOR = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -76,6 +82,11 @@ def _bands(values: np.ndarray) -> np.ndarray:
     return key
 
 
+def _signature(values: np.ndarray) -> bytes:
+    """The low byte of each MinHash value: equal values have equal bytes, others 1 in 256."""
+    return values.astype(np.uint8).tobytes()
+
+
 @cache
 def least_matches(n: int, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> int:
     """Fewest matches among n MinHash values at which P(similarity >= threshold) reaches the tolerance.
@@ -93,16 +104,66 @@ def least_matches(n: int, threshold: float = THRESHOLD, tolerance: float = TOLER
 
 def _signatures():
     def work(texts: list) -> dict[str, list]:
-        made: dict[str, list] = {"node": [], "n_shingles": [], "bands": []}
+        made: dict[str, list] = {"node": [], "n_shingles": [], "bands": [], "signature": []}
         for s in shingle_sets(texts):
+            values = minhashes(s) if len(s) else None
             made["n_shingles"].append(len(s))
             made["node"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            made["bands"].append(_bands(minhashes(s)).view(np.int64).tolist() if len(s) else None)
+            made["bands"].append(_bands(values).view(np.int64).tolist() if len(s) else None)
+            made["signature"].append(_signature(values) if len(s) else None)
         return made
 
     return work
 
 
+def _passing(a: int, near: np.ndarray, signatures: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Those of `near` that may reach the threshold with a, by their sizes and then by MinHash values, a step at a time.
+
+    Chance matches of bytes only let more pairs pass.
+    """
+    near = near[np.minimum(size[near], size[a]) >= THRESHOLD * np.maximum(size[near], size[a]) - 1e-9]
+    met = np.zeros(len(near), dtype=np.int64)
+    for i in range(0, signatures.shape[1], STEP):
+        if not len(near):
+            break
+        met += (signatures[near, i : i + STEP] == signatures[a, i : i + STEP]).sum(axis=1)
+        alive = met >= least_matches(min(i + STEP, signatures.shape[1]))
+        near, met = near[alive], met[alive]
+    return near
+
+
+def _stars(left: np.ndarray, right: np.ndarray, same: bool, signatures: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
+    """(node, root) of the nodes that passing pairs of left x right connect; the nodes' numbers are below len(size)."""
+    label = np.arange(len(size))
+    for k, a in enumerate(left):
+        others = right[k + 1 :] if same else right
+        met = _passing(int(a), others[label[others] != label[a]], signatures, size)
+        if len(met):
+            joined = np.unique(np.append(label[met], label[a]))
+            label[np.isin(label, joined)] = joined[0]
+    return [(i, int(label[i])) for i in np.flatnonzero(label != np.arange(len(size)))]
+
+
+def _compare_buckets(table: pa.Table) -> pa.Table:
+    """Stars (a, b) of all buckets, or pairs of chunks of buckets, in a table of (band, i, j, chunk, node, signature, n_shingles)."""
+    key = [table.column(c).to_numpy() for c in ("j", "i", "band")]
+    order = np.lexsort(key)
+    nodes = table.column("node").to_pylist()
+    every = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint8).reshape(len(nodes), -1)
+    sizes, chunk = table.column("n_shingles").to_numpy(), table.column("chunk").to_numpy()
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in key], axis=0)
+    begin = np.append(np.flatnonzero(new), len(order))
+    out: set[tuple[bytes, bytes]] = set()
+    for x, y in zip(begin[:-1], begin[1:], strict=True):
+        rows = order[x:y]
+        i, j = key[1][rows[0]], key[0][rows[0]]
+        left, right = np.flatnonzero(chunk[rows] == i), np.flatnonzero(chunk[rows] == j)
+        out.update((nodes[rows[a]], nodes[rows[b]]) for a, b in _stars(left, right, i == j, every[rows], sizes[rows]))
+    stars = sorted(out)
+    return pa.table({"a": pa.array([s[0] for s in stars], pa.binary()), "b": pa.array([s[1] for s in stars], pa.binary())})
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node in the edges (a, b): label is the least node of its component.
 
@@ -129,11 +190,22 @@ def components(edges: DataFrame) -> DataFrame:
         left = cut(moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct())
 
 
+def _chunked(rows: DataFrame) -> DataFrame:
+    """rows(node, c, ...) with `chunk`, once for each pair of chunks (i, j) that the row takes part in."""
+    placed = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda o: F.struct(F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("j")))
+    return placed.select("*", F.inline(pairs)).drop("c")
+
+
 def _candidate_clusters(nodes: DataFrame) -> DataFrame:
-    """(node, label): nodes that share a band with another one, and their cluster."""
+    """(node, label): nodes of pairs that share a band and pass the comparison, and their cluster."""
     rows = nodes.select("node", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    return components(rows.join(shared, "band").select(F.col("node").alias("a"), "b"))
+    shared = rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    buckets = cut(rows.join(shared, "band").select("band", "node", F.ceil(F.col("n") / CHUNK_BUCKET).cast("int").alias("c")))
+    tasks = 1 + (buckets.agg(F.sum("c")).first()[0] or 0) // TASK_ROWS
+    dealt = _chunked(buckets.join(nodes.select("node", "signature", "n_shingles"), "node"))
+    task = F.pmod(F.xxhash64("band", "i", "j"), F.lit(tasks)).alias("task")
+    return components(dealt.groupBy(task).applyInArrow(_compare_buckets, "a binary, b binary"))
 
 
 class _Forest:
@@ -154,28 +226,31 @@ class _Forest:
             self.up[max(ra, rb)] = min(ra, rb)
 
 
-def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, list[int]]:
-    """Links per node among left x right (each pair once if they are the same chunk), and a forest of them."""
-    n = len(sets)
-    values = np.stack([minhashes(s) for s in sets])
-    bands = np.stack([_bands(v) for v in values])
+def _links(sets: list[np.ndarray], signatures: np.ndarray, bands: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, list[int], int]:
+    """Links per node among left x right (each pair once if they are the same chunk), a forest of them, and the number of pairs compared."""
+    n, width = bands.shape
     size = np.array([len(s) for s in sets])
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
     begin = np.concatenate([[0], np.cumsum(size)])
     member = np.zeros(ids.max() + 1, dtype=bool)
-    count, forest = np.zeros(n, dtype=np.int64), _Forest(n)
+    # Nodes by band: `holders[start[g] : start[g + 1]]` share band g.
+    group = np.unique(bands.ravel(), return_inverse=True)[1].reshape(n, width)
+    holders = np.argsort(group.ravel(), kind="stable") // width
+    start = np.concatenate([[0], np.cumsum(np.bincount(group.ravel()))])
+    wanted = np.zeros(n, dtype=bool)
+    wanted[right] = True
+    count, forest, compared = np.zeros(n, dtype=np.int64), _Forest(n), 0
     for k, a in enumerate(left):
+        if same:
+            wanted[a] = False
         near = right[k + 1 :] if same else right
-        # Sizes alone bound the similarity.
-        near = near[(np.minimum(size[near], size[a]) >= THRESHOLD * np.maximum(size[near], size[a]) - 1e-9)]
-        near = near[(bands[near] == bands[a]).any(axis=1)] if len(near) else near
-        met = np.zeros(len(near), dtype=np.int64)
-        for i in range(0, values.shape[1], STEP):
-            if not len(near):
-                break
-            met += (values[near, i : i + STEP] == values[a, i : i + STEP]).sum(axis=1)
-            alive = met >= least_matches(min(i + STEP, values.shape[1]))
-            near, met = near[alive], met[alive]
+        if (start[group[a] + 1] - start[group[a]]).sum() < len(near):
+            near = np.unique(np.concatenate([holders[start[g] : start[g + 1]] for g in group[a]]))
+            near = near[wanted[near]]
+        else:
+            near = near[(bands[near] == bands[a]).any(axis=1)]
+        compared += len(near)
+        near = _passing(int(a), near, signatures, size)
         if not len(near):
             continue
         member[ids[begin[a] : begin[a + 1]]] = True
@@ -185,7 +260,7 @@ def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, same: bo
         count[a] += len(true)
         count[true] += 1
         forest.join(int(a), true.tolist())
-    return count, [forest.root(i) for i in range(n)]
+    return count, [forest.root(i) for i in range(n)], compared
 
 
 def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -193,8 +268,9 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("node", ignore_index=True)
     i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
     sets = [np.frombuffer(s, dtype=np.uint64) for s in pdf["shingles"]]
+    signatures = np.frombuffer(b"".join(pdf["signature"]), dtype=np.uint8).reshape(len(pdf), -1)
     chunk = pdf["chunk"].to_numpy()
-    count, root = _links(sets, np.flatnonzero(chunk == i), np.flatnonzero(chunk == j), i == j)
+    count, root, _ = _links(sets, signatures, np.stack(pdf["bands"].to_list()), np.flatnonzero(chunk == i), np.flatnonzero(chunk == j), i == j)
     return pd.DataFrame({"node": pdf["node"], "links": count, "root": pdf["node"].iloc[root].to_numpy()})
 
 
@@ -205,23 +281,21 @@ def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     (the class's least row), n_links; rows order by doc_id, null last, then text.
     """
     k1, k2 = text_key(F.col("text"))
-    fields = T.StructType().add("node", "binary").add("n_shingles", "integer").add("bands", T.ArrayType(T.LongType()))
+    fields = T.StructType().add("node", "binary").add("n_shingles", "integer").add("bands", T.ArrayType(T.LongType())).add("signature", "binary")
     feats = cut(map_texts(docs.select("doc_id", k1.alias("k1"), k2.alias("k2"), "text"), _signatures, fields))
     row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2")
-    nodes = feats.filter("node is not null").groupBy("node").agg(F.min(row).alias("copy"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    nodes = feats.filter("node is not null").groupBy("node").agg(F.min(row).alias("copy"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     nodes = cut(nodes)
     clusters = _candidate_clusters(nodes)
-    members = cut(clusters.join(nodes.select("node", "n_shingles", "copy"), "node"))
+    members = cut(clusters.join(nodes, "node"))
     size = members.groupBy("label").agg(F.sum("n_shingles").alias("s"), F.count("*").alias("n"))
     chunks = size.select("label", F.greatest(F.ceil(F.col("s") / CHUNK_SHINGLES), F.ceil(F.col("n") / CHUNK_NODES)).cast("int").alias("c"))
-    placed = members.join(chunks, "label").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
     # One text per node, then one copy of its set for each pair of chunks it takes part in.
-    wanted = placed.select("node", "label", "chunk", "c", F.col("copy.doc_id").alias("_id"), F.col("copy.k1").alias("_k1"), F.col("copy.k2").alias("_k2"))
-    with_text = _rows_of(docs.select("doc_id", "text"), wanted).select("node", "label", "chunk", "c", "text")
+    own = ["node", "label", "c", "bands", "signature"]
+    wanted = members.join(chunks, "label").select(*own, F.col("copy.doc_id").alias("_id"), F.col("copy.k1").alias("_k1"), F.col("copy.k2").alias("_k2"))
+    with_text = _rows_of(docs.select("doc_id", "text"), wanted).select(*own, "text")
     sets = map_texts(with_text, lambda: lambda t: {"shingles": [s.tobytes() for s in shingle_sets(t)]}, T.StructType().add("shingles", "binary"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda o: F.struct(F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("j")))
-    dealt = sets.select("node", "label", "chunk", "shingles", F.inline(pairs))
-    found = cut(dealt.groupBy("label", "i", "j").applyInPandas(_compare, "node binary, links long, root binary"))
+    found = cut(_chunked(sets).groupBy("label", "i", "j").applyInPandas(_compare, "node binary, links long, root binary"))
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = nodes.select("node", "copy").join(groups, "node", "left").join(links, "node", "left").withColumn("label", F.coalesce("label", "node"))

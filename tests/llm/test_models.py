@@ -98,6 +98,8 @@ def test_language_identification(spark, sf):
 
 def test_near_duplicates(spark, monkeypatch):
     monkeypatch.setattr(neardup, "CHUNK_NODES", 7)  # many chunks per cluster
+    monkeypatch.setattr(neardup, "CHUNK_BUCKET", 5)
+    monkeypatch.setattr(neardup, "TASK_ROWS", 100)
     rng = random.Random(4)
     base = [f"w{rng.randrange(500)}" for _ in range(200)]
     texts = [" ".join(base)] * 3 + [" ".join(base).upper()]
@@ -128,3 +130,48 @@ def test_near_duplicates(spark, monkeypatch):
 
 def test_bayes_thresholds():
     assert neardup.least_matches(24) < 0.8 * 24 and neardup.least_matches(240) > 0.5 * 240
+
+
+def all_pairs(texts):
+    """(least index of each text's class, links to other distinct sets) by comparing all pairs of sets."""
+    sets = [frozenset(s.tolist()) for s in neardup.shingle_sets(texts)]
+    distinct = sorted({s for s in sets if s}, key=lambda s: (len(s), min(s)))
+    links = {s: set() for s in distinct}
+    for i, a in enumerate(distinct):
+        for b in distinct[i + 1 :]:
+            if len(a) < 0.8 * len(b) - 1e-9:
+                break
+            if len(a & b) >= 0.8 * len(a | b) - 1e-9:
+                links[a].add(b), links[b].add(a)
+    least = {}
+    for i, s in enumerate(sets):
+        if s and s not in least:
+            todo = [s]
+            while todo:
+                t = todo.pop()
+                if t not in least:
+                    least[t] = i
+                    todo += links[t]
+    return [least.get(s, i) for i, s in enumerate(sets)], [len(links.get(s, ())) for s in sets]
+
+
+def test_near_duplicates_of_a_whole_table(spark, sf):
+    rows = docs_of(spark, sf).orderBy("doc_id").collect()
+    least, links = all_pairs([r.text for r in rows])
+    got = {r.doc_id: r for r in neardup.near_duplicates(docs_of(spark, sf)).collect()}
+    assert [(got[r.doc_id].class_id, got[r.doc_id].n_links) for r in rows] == [(rows[i].doc_id, n) for i, n in zip(least, links, strict=True)]
+    assert sum(n > 0 for n in links) > 3
+
+
+def test_a_chain_is_compared_in_near_linear_time():
+    words = [f"w{i}" for i in range(9_000)]
+    texts = [" ".join(words[4 * i : 4 * i + 50]) for i in range(2_000)]
+    sets = neardup.shingle_sets(texts)
+    values = [neardup.minhashes(s) for s in sets]
+    bands, every = np.stack([neardup._bands(v) for v in values]), np.arange(len(sets))
+    signatures = np.stack([np.frombuffer(neardup._signature(v), dtype=np.uint8) for v in values])
+    count, root, compared = neardup._links(sets, signatures, bands, every, every, True)
+    assert count.tolist() == [1, *[2] * 1998, 1] and set(root) == {0}
+    assert compared < 20 * len(sets)
+    stars = neardup._stars(every, every, True, signatures, np.array([len(s) for s in sets]))
+    assert len(stars) == len(sets) - 1 and {r for _, r in stars} == {0}

@@ -38,7 +38,7 @@ PLAN_BYTES = 8_000_000
 
 END, BEGIN = np.uint64(0x5151515151515151), np.uint64(0x2323232323232323)
 ASK = "shard int, block binary, words binary, counts binary, contexts binary, totals binary, runs binary, next binary, pairs binary"
-ANSWER = "block binary, shard int, counts binary, codes binary, book binary, n long, v long"
+ANSWER = "block binary, shard int, counts binary, codes binary, low double, high double, n long, v long"
 
 
 def learns(doc_id: Column) -> Column:
@@ -183,20 +183,22 @@ def _serve(key, table):
     cuts = np.concatenate([[0], np.cumsum([len(x) for x in col["next"]])])
     succ, count = np.concatenate(col["next"]), np.concatenate(col["pairs"])
     del col, both
-    learned = count > 0
-    p, s, c = parent[learned], succ[learned], count[learned]
-    order = np.lexsort((s, p))
-    p, s, c = p[order], s[order], c[order]
+    # Each distinct pair once, with the counts of all blocks added up.
+    order = np.lexsort((succ, parent))
+    p, s = parent[order], succ[order]
     new = np.ones(len(p), dtype=bool)
     new[1:] = (p[1:] != p[:-1]) | (s[1:] != s[:-1])
     first = np.flatnonzero(new)
-    c = np.add.reduceat(c, first) if len(first) else c
+    c = np.add.reduceat(count[order], first) if len(first) else count
+    of_pair = np.cumsum(new) - 1
     p, s = p[first], s[first]
+    learned = c > 0
     with tempfile.TemporaryDirectory() as folder:
-        held, runs = np.unique(p, return_counts=True)
-        trie = Trie(Path(folder), contexts[held], runs, s, np.log10(c / (ctx_total[p] + MU)))
-        codes = trie.lookup(contexts[parent], succ) if len(succ) else np.zeros(0, dtype=np.uint8)
-        book = trie.book.tobytes()
+        held, runs = np.unique(p[learned], return_counts=True)
+        trie = Trie(Path(folder), contexts[held], runs, s[learned], np.log10(c[learned] / (ctx_total[p[learned]] + MU)))
+        codes = np.empty(len(order), dtype=np.uint8)
+        codes[order] = trie.lookup(contexts[p], s)[of_pair]
+        low, high = trie.low, trie.high
         del trie
     n_blocks, rest = len(n_words), [0] * (len(n_words) - 1)
     return pa.table(
@@ -205,7 +207,8 @@ def _serve(key, table):
             "shard": pa.array([key[0].as_py()] * n_blocks, pa.int32()),
             "counts": pa.array([total[place[at[i] : at[i + 1]]].view(np.uint8).reshape(-1, 8).T.tobytes() for i in range(n_blocks)], pa.binary()),
             "codes": pa.array([codes[cuts[i] : cuts[i + 1]].tobytes() for i in range(n_blocks)], pa.binary()),
-            "book": pa.array([book] * n_blocks, pa.binary()),
+            "low": pa.array([low] * n_blocks, pa.float64()),
+            "high": pa.array([high] * n_blocks, pa.float64()),
             "n": pa.array([int(total.sum()), *rest], pa.int64()),
             "v": pa.array([int((total > 0).sum()), *rest], pa.int64()),
         }
@@ -216,10 +219,9 @@ def _score(block: Block, answers: dict[int, tuple], shards: int, hot: dict[int,
     """Scores of a block's documents from its answers."""
     count, seen = np.zeros(len(block.words), dtype=np.int64), np.zeros(len(block.first))
     for s, ws, _, ps, _ in block.parts(shards, hot):
-        counts, codes, book = answers[s]
+        counts, codes, low, high = answers[s]
         count[ws] = np.ascontiguousarray(np.frombuffer(counts, dtype=np.uint8).reshape(8, -1).T).view(np.int64).ravel()
-        values = np.concatenate([[0.0], 10.0 ** np.frombuffer(book, dtype=np.float32).astype(np.float64)])
-        seen[ps] = values[np.frombuffer(codes, dtype=np.uint8)]
+        seen[ps] = Trie.probabilities(np.frombuffer(codes, dtype=np.uint8), low, high)
     alone = (count + 0.5) / (n + 0.5 * (v + 1))
     context = count.astype(np.float64)
     context[block.words == BEGIN] = count[block.words == END].sum()  # as many beginnings as ends
@@ -278,7 +280,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     types = [to_arrow_type(f.dataType) for f in out]
 
     def finish(left, right):
-        replies = {s: (c, k, b) for s, c, k, b in zip(*(right.column(x).to_pylist() for x in ("shard", "counts", "codes", "book")), strict=True)}
+        replies = {s: rest for s, *rest in zip(*(right.column(x).to_pylist() for x in ("shard", "counts", "codes", "low", "high")), strict=True)}
         made: list[list] = [[] for _ in types]
         for row in left.to_pylist():
             if not replies:

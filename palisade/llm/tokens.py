@@ -11,6 +11,7 @@ SPACED = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 32 or 9 <= c <= 13 else c
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(1 << 12, _MUL, dtype=np.uint64))
+_FURTHER = np.cumprod(np.concatenate([[np.uint64(1)], np.full((1 << 12) - 1, _POWERS[-1], dtype=np.uint64)]), dtype=np.uint64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -50,6 +51,8 @@ class Words:
         at[self.start[0] :] -= begin
         at[: self.start[0]] = 0
         value = (raw.astype(np.uint64) + np.uint64(1)) * _POWERS[at & (len(_POWERS) - 1)]
+        if size.max() > len(_POWERS):
+            value *= _FURTHER[(at >> 12) & (len(_FURTHER) - 1)]
         value[raw == 32] = 0
         return mix64(np.add.reduceat(value, self.start) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 

@@ -9,7 +9,8 @@ from collections import Counter
 import numpy as np
 import pytest
 from palisade.llm import langid, lm, neardup, quality
-from palisade.llm.trie import EliasFano
+from palisade.llm.tokens import Words
+from palisade.llm.trie import EliasFano, Trie
 
 
 def docs_of(spark, sf, n=None):
@@ -82,6 +83,34 @@ def test_elias_fano(tmp_path, values):
     targets = np.array(values[:50] + [3, 10**15 + 1], dtype=np.uint64)
     for t, at in zip(targets.tolist(), ef.find(targets).tolist(), strict=True):
         assert (at >= 0 and values[at] == t) if t in values else at == -1
+    places = np.arange(len(values))
+    assert ef.access(places).tolist() == values
+    if values:
+        half = len(values) // 2
+        found = ef.find(targets, half, np.full(len(targets), len(values)))
+        assert all((at >= half and values[at] == t) if t in values[half:] else at == -1 for t, at in zip(targets.tolist(), found.tolist(), strict=True))
+        assert isinstance(ef.words.base, np.memmap) and isinstance(ef.rows, np.memmap)
+
+
+def test_trie(tmp_path):
+    rng = random.Random(2)
+    pairs = sorted({(rng.randrange(1 << 60), rng.randrange(1 << 48) << 16) for _ in range(500)} | {(7, rng.randrange(1 << 48) << 16) for _ in range(900)} | {(9, 0)})
+    contexts, runs = np.unique(np.array([p[0] for p in pairs], dtype=np.uint64), return_counts=True)
+    words, logs = np.array([p[1] for p in pairs], dtype=np.uint64), np.array([-rng.random() * 6 for _ in pairs])
+    trie = Trie(tmp_path, contexts, runs, words, logs)
+    got = Trie.probabilities(trie.lookup(np.repeat(contexts, runs), words), trie.low, trie.high)
+    assert np.abs(np.log10(got) - logs).max() <= 6 / 254 / 2 + 1e-9
+    assert not trie.lookup(np.array([7, 8, 9], dtype=np.uint64), np.array([words[0] + np.uint64(1), 0, words[-1]], dtype=np.uint64)).any()
+    # Bits a pair: successors and codes stay compact.
+    assert sum(f.stat().st_size for f in tmp_path.iterdir() if f.stem in ("successors", "codes")) < 4 * len(pairs)
+    empty = np.zeros(0, dtype=np.uint64)
+    (tmp_path / "e").mkdir()
+    assert Trie(tmp_path / "e", empty, np.zeros(0, dtype=np.int64), empty, np.zeros(0)).lookup(contexts[:3], words[:3]).tolist() == [0, 0, 0]
+
+
+def test_long_words_hash_apart():
+    a = "x" * 4096 + "a" + "y" * 4095 + "b"
+    assert Words([a]).hash[0] != Words([a.replace("a", "c").replace("b", "a").replace("c", "b")]).hash[0] and Words(["a" + "x" * 4095 + "b"]).hash[0] != Words(["b" + "x" * 4095 + "a"]).hash[0]
 
 
 def test_language_identification(spark, sf):

@@ -43,7 +43,7 @@ STEP = 24
 #: Bounds of a chunk; clusters and buckets beyond them are split into more chunks, never cut short.
 CHUNK_SHINGLES, CHUNK_NODES, CHUNK_BUCKET = 600_000, 1_500, 2_000
 #: Rows of buckets that one task compares.
-TASK_ROWS = 40_000
+TASK_ROWS = 10_000
 
 _RNG = np.random.default_rng(20)
 _XOR = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -200,7 +200,9 @@ def _chunked(rows: DataFrame) -> DataFrame:
 def _candidate_clusters(nodes: DataFrame) -> DataFrame:
     """(node, label): nodes of pairs that share a band and pass the comparison, and their cluster."""
     rows = nodes.select("node", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    held = rows.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+    # Near copies share many bands: of buckets that hold the same nodes one is enough.
+    shared = held.filter("n > 1").groupBy("n", "x", "lo", "hi").agg(F.min("band").alias("band")).select("band", "n")
     buckets = cut(rows.join(shared, "band").select("band", "node", F.ceil(F.col("n") / CHUNK_BUCKET).cast("int").alias("c")))
     tasks = 1 + (buckets.agg(F.sum("c")).first()[0] or 0) // TASK_ROWS
     dealt = _chunked(buckets.join(nodes.select("node", "signature", "n_shingles"), "node"))

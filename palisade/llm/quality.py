@@ -112,6 +112,10 @@ class Model:
         margin = float(self.weights[f].astype(np.float64) @ s) / max(float(np.sqrt(s @ s)), 1e-12)
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.steep * margin))))
 
+    def parts(self) -> tuple:
+        """The constructor's arguments: arrays and numbers, which a broadcast carries to workers without this package."""
+        return self.weights, self.scale, self.steep, self.constant
+
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on the labelled documents that may be learned from.
@@ -163,8 +167,12 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     doc_id is never learned from and is not held out. Other columns of docs
     and labels are neither read nor returned.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    setup = lambda: lambda texts: {"score": [model.value.score(t) for t in texts]}
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels).parts())
+
+    def setup():
+        model = Model(*sent.value)
+        return lambda texts: {"score": [model.score(t) for t in texts]}
+
     made = map_texts(docs.select("doc_id", "text"), setup, T.StructType().add("score", "double"))
     held = F.coalesce(~learns(F.col("doc_id")), F.lit(False))
     return made.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -172,5 +180,10 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier accepts (score >= 0.5); columns unchanged."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    return filter_texts(docs, lambda: lambda texts: [model.value.score(t) >= 0.5 for t in texts])
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels).parts())
+
+    def setup():
+        model = Model(*sent.value)
+        return lambda texts: [model.score(t) >= 0.5 for t in texts]
+
+    return filter_texts(docs, setup)

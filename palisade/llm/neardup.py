@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -87,7 +86,6 @@ def _signature(values: np.ndarray) -> bytes:
     return values.astype(np.uint8).tobytes()
 
 
-@cache
 def least_matches(n: int, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> int:
     """Fewest matches among n MinHash values at which P(similarity >= threshold) reaches the tolerance.
 
@@ -102,6 +100,10 @@ def least_matches(n: int, threshold: float = THRESHOLD, tolerance: float = TOLER
     return n
 
 
+#: Fewest matches after each step. A plain table: a cached function would reach workers by its name only.
+LEAST = {n: least_matches(n) for n in (min(i + STEP, BANDS * ROWS) for i in range(0, BANDS * ROWS, STEP))}
+
+
 def _signatures():
     def work(texts: list) -> dict[str, list]:
         made: dict[str, list] = {"node": [], "n_shingles": [], "bands": [], "signature": []}
@@ -127,7 +129,7 @@ def _passing(a: int, near: np.ndarray, signatures: np.ndarray, size: np.ndarray)
         if not len(near):
             break
         met += (signatures[near, i : i + STEP] == signatures[a, i : i + STEP]).sum(axis=1)
-        alive = met >= least_matches(min(i + STEP, signatures.shape[1]))
+        alive = met >= LEAST[min(i + STEP, signatures.shape[1])]
         near, met = near[alive], met[alive]
     return near
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import decontaminate, html, langid, lines, lm, media, mixing, neardup, quality, secrets
+from palisade.llm import conversations, decontaminate, html, langid, lines, lm, manifest_tree, media, mixing, neardup, quality, secrets, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,10 +53,24 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_summary(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op3_lm_scoring, op4_line_dedup, op5_media_columns, op6_language_id, op7_html_extraction, op8_decontaminate, op9_ngram_jaccard, op10_mix_sources)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest_tree.manifest_summary(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_summary(table(spark, sf_dir, "conversations"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_summary(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op3_lm_scoring, op4_line_dedup, op5_media_columns, op6_language_id, op7_html_extraction, op8_decontaminate, op9_ngram_jaccard, op10_mix_sources, op11_merkle_manifest, op12_conversation_repair, op13_token_counts)}
 ORACLE_SQL = {
     "op1_secret_scan": secrets.SECRETS_SQL,
     "op4_line_dedup": lines.LINES_SQL,
     "op8_decontaminate": decontaminate.CONTAMINATION_SQL,
     "op10_mix_sources": mixing.MIX_SQL,
+    "op11_merkle_manifest": manifest_tree.MANIFEST_SQL,
+    "op12_conversation_repair": conversations.CONVERSATIONS_SQL,
 }

@@ -117,3 +117,12 @@ def slices(sizes: list[int], most: int) -> Iterator[slice]:
         total += n
     if begin < len(sizes):
         yield slice(begin, len(sizes))
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB expression: crc32 of an ASCII text, with crc_table() in reach as `crc`."""
+    return f"xor(4294967295::bigint, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({text}, ''), lambda c: ascii(c)::bigint)), lambda c, b: xor(c >> 8, crc.t[((xor(c, b) & 255) + 1)::int])))"
+
+
+#: A one-row table of the polynomial's remainders, made from its rule.
+CRC_TABLE_SQL = "crc as (select list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda x, y: case when x % 2 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end) order by n) as t from range(256) r(n))"

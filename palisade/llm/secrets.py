@@ -139,7 +139,7 @@ def _trigrams(query) -> set[str]:
     return set() if query is True else {query} if isinstance(query, str) else set().union(*map(_trigrams, query[1]))
 
 
-SPANS, RUN = "array<struct<start:int,o:int,end:int>>", 64
+SPANS, CHUNK = "array<struct<start:int,o:int,end:int>>", 64
 #: Tasks that the rows of one text are dealt to.
 SALTS = 8
 
@@ -186,29 +186,52 @@ def candidates(index: DataFrame, rules) -> DataFrame:
     return met.filter(F.size("rules") > 0)
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(sizes: Column, levels: int = 2) -> Column:
+    """For each item of a non-empty array, the sum of the items before it.
+
+    Sums of chunks of CHUNK items are summed up the same way and added to what
+    runs inside a chunk, so the work is linear up to CHUNK**levels items and no
+    array grows in an accumulator.
+    """
+    total = lambda items: F.aggregate(items, F.lit(0), lambda a, x: a + x)
+    if levels == 0:
+        return F.transform(sizes, lambda _, i: total(F.slice(sizes, 1, i)))
+
+    def of_chunks(chunks: Column) -> Column:
+        sums = bound(F.transform(chunks, total), lambda s: running(s, levels - 1))
+        return F.flatten(F.zip_with(chunks, sums, lambda c, o: F.transform(c, lambda _, i: o + total(F.slice(c, 1, i)))))
+
+    begins = F.sequence(F.lit(0), F.size(sizes) - 1, F.lit(CHUNK))
+    return bound(F.transform(begins, lambda k: F.slice(sizes, k + 1, F.lit(CHUNK))), of_chunks)
+
+
 def rule_spans(text: Column, rule: Rule, order: int) -> Column:
     """Array of (start, order, end) in code points: leftmost, non-overlapping matches of a rule.
 
     A split gives what lies between the matches, so running lengths give the
     positions. A match whose group is too short is dropped after matching, as
-    it has used up its characters. Spans are gathered in runs of RUN, as each
-    append copies its array: the work stays near linear in the matches.
+    it has used up its characters. Time is linear in the matches.
     """
-    whole = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
-    kept = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group))
-    steps = F.arrays_zip(F.split(text, rule.regex, -1).alias("gap"), whole.alias("hit"), kept.alias("part"))
-    none = F.array().cast(SPANS)
-    start = F.struct(F.lit(0).alias("pos"), none.alias("run"), F.array().cast(f"array<{SPANS}>").alias("runs"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["pos"] + F.length(x["gap"])
-        end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
-        found = F.struct(begin.cast("int").alias("start"), F.lit(order).alias("o"), end.cast("int").alias("end"))
-        add, full = F.coalesce(F.length(x["part"]) >= rule.min_len, F.lit(False)), F.size(acc["run"]) >= RUN
-        run = F.when(add, F.array_append(F.when(full, none).otherwise(acc["run"]), found)).otherwise(acc["run"])
-        return F.struct(end.alias("pos"), run.alias("run"), F.when(add & full, F.array_append(acc["runs"], acc["run"])).otherwise(acc["runs"]).alias("runs"))
-
-    return F.aggregate(steps, start, step, lambda acc: F.flatten(F.array_append(acc["runs"], acc["run"])))
+    lengths = lambda items: F.transform(items, F.length)
+    hits = lengths(F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0)))
+    parts = lengths(F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group)))
+    gaps = lengths(F.split(text, rule.regex, -1))
+    found = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), parts.alias("part"))
+
+    def span(x: Column, begin: Column) -> Column:
+        start = (begin + x["gap"]).cast("int")
+        return F.when(x["part"] >= rule.min_len, F.struct(start.alias("start"), F.lit(order).alias("o"), (start + x["hit"]).alias("end")))
+
+    def placed(steps: Column) -> Column:
+        sizes = F.transform(steps, lambda x: x["gap"] + F.coalesce(x["hit"], F.lit(0)))
+        return F.array_compact(F.zip_with(steps, bound(sizes, lambda s: running(s)), span))
+
+    return bound(found, placed)
 
 
 def scan_secrets(docs: DataFrame, rules=BASE_RULES + EXTRA_RULES, text: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 """Clashing column names, null and repeated ids, very long texts, bounds of broadcasts."""
 
 import hashlib
+import re
 import time
 
 import pytest
@@ -26,7 +27,7 @@ def test_secret_scan_keeps_clashing_columns(spark):
 
 def test_secret_scan_is_near_linear_in_matches(spark):
     secrets.scan_secrets(spark.createDataFrame([("ab12cd34ab12cd34 " * 200,)], "text string")).collect()
-    texts = ["ab12cd34ab12cd34 " * n for n in (10_000, 40_000)]
+    texts = ["ab12cd34ab12cd34 " * n for n in (10_000, 40_000, 160_000)]
     times = []
     for t in texts:
         d = spark.createDataFrame([(t,)], "text string")
@@ -34,6 +35,14 @@ def test_secret_scan_is_near_linear_in_matches(spark):
     spans = secrets.scan_secrets(spark.createDataFrame([(texts[0],)], "text string")).first().secret_spans
     assert [(s.start, s.end) for s in spans] == [(17 * i, 17 * i + 16) for i in range(10_000)]
     assert times[1] <= 6 * times[0] + 2
+    assert times[2] <= 20 * times[0] + 2
+
+
+@pytest.mark.parametrize("n", [1, 64, 65, 4097])
+def test_secret_spans_across_chunks(spark, n):
+    text = "".join(f"{'é' * (i % 3)}|{'0123456789abcdef' * (1 + i % 2)};" for i in range(n))
+    spans = secrets.scan_secrets(spark.createDataFrame([(text,)], "text string")).first().secret_spans
+    assert [(s.start, s.end) for s in spans] == [m.span() for m in re.finditer("[0-9a-f]{16,}", text)]
 
 
 def test_line_dedup_is_linear_in_lines(spark):

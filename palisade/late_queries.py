@@ -308,13 +308,104 @@ _FORWARD = _REACH.format(name="fw", seed="start", seeds="", frm="source", to="ta
 _BACKWARD = _REACH.format(name="bw", seed="end", seeds="where k % 12 <> 0", frm="target", to="source")
 
 
-@plan_query(" select count(*) as plans, (select count(*) from pn) as nodes, (select count(*) from pe) as edges, 1::bigint as refused from pl")
+#: Ways to damage a plan: what is found in its text, what takes its place ($1 is what stays), and the problem told (None: still fine).
+_N1 = r'("id":"n1","kind":"agent","principals":)(\[[^\]]*\])'
+_DAMAGE = [
+    ("$", "", None),
+    ('"maximum_agent_calls":8', '"maximum_agent_calls":"8"', "limits.maximum_agent_calls: must be an integer"),
+    ('"maximum_agent_calls":8', '"maximum_agent_calls":null', "limits.maximum_agent_calls: must not be null"),
+    ('"maximum_agent_calls":8', '"maximum_agent_calls":true', "limits.maximum_agent_calls: must be an integer"),
+    ('"maximum_agent_calls":8', '"maximum_agent_calls":8.5', "limits.maximum_agent_calls: must be an integer"),
+    ('"maximum_agent_calls":8', '"maximum_agent_calls":8.0', None),
+    ('"maximum_agent_calls":8', '"maximum_agent_calls":0', "limits.maximum_agent_calls: must be at least 1"),
+    ('"maximum_agent_calls":8,', "", "limits.maximum_agent_calls: is missing"),
+    ('"maximum_cycles":0', '"maximum_cycles":1', "limits.maximum_cycles: must be one of the known values"),
+    ('"maximum_cycles":0', '"maximum_cycles":false', "limits.maximum_cycles: must be an integer"),
+    ('"limits":[{][^}]*[}]', '"limits":{}', "limits.maximum_agent_calls: is missing"),
+    ('"limits":[{][^}]*[}]', '"limits":[]', "limits: must be an object"),
+    ('"limits":[{][^}]*[}]', '"limits":null', "limits: must not be null"),
+    ('"schema_version":1', '"schema_version":2', "schema_version: must be one of the known values"),
+    ('"schema_version":1', '"schema_version":true', "schema_version: must be an integer"),
+    ('"schema_version":1', '"schema_version":1.0,"note":{"any":[1,null]}', None),
+    ('"kind":"any.control-plan"', '"kind":"any.plan"', "kind: has another form"),
+    ('"kind":"any.control-plan"', '"kind":"any.control-plan","kind":"any.control-plan"', "not JSON"),
+    ('"version":"1"', '"version":""', "producer.version: has a length out of bounds"),
+    ('"name":"maker"', '"name":"Bearer=abc"', None),
+    ('"name":"maker"', '"name":"token=abcdef"', "producer.name: must not hold a credential"),
+    ('"run_id":"', '"run_id":"a b', "run_id: has another form"),
+    ('"run_id":"[0-9]+"', '"run_id":7', "run_id: must be text"),
+    ('"principals":.*,"nodes"', '"principals":[],"nodes"', "principals: has too few items"),
+    ('"candidate_tools":\\[[^\\]]*\\]', '"candidate_tools":[]', "principals.0.candidate_tools: has too few items"),
+    ('"candidate_tools":\\["', '"candidate_tools":["a","', "principals.0.candidate_tools: must be server::tool keys"),
+    ('"candidate_tools":\\[', '"candidate_tools":["a::b","a::b",', "principals.0.candidate_tools: names a tool twice"),
+    ('"candidate_tools":\\[', '"candidate_tools":[null,', "principals.0.candidate_tools.0: must be text"),
+    ('"kind":"start"', '"kind":"begin"', "nodes.0.kind: must be one of the known values"),
+    ('"kind":"start"', '"kind":"agent"', "nodes.0: kind and agent_call disagree"),
+    ('"kind":"start"', '"kind":"start","max_invocations":2', "nodes.0: has bounds but calls no agent"),
+    ('"kind":"start"', '"kind":"start","max_invocations":null', "nodes.0.max_invocations: must not be null"),
+    ('"kind":"start"', '"kind":"validator"', "nodes.0: validators, and only they, have a scope"),
+    ('"kind":"start"', '"kind":"validator","validator_scope":"workspace_result"', None),
+    ('"kind":"start"', '"kind":"router","validator_scope":"workspace_result"', "nodes.0: validators, and only they, have a scope"),
+    ('"id":"start",', "", "nodes.0.id: is missing"),
+    ('"id":"start"', '"id":"st art"', "nodes.0.id: has another form"),
+    ('"id":"start"', '"id":["start"]', "nodes.0.id: must be text"),
+    ('"id":"start"', '"id":"n1"', "names a node twice"),
+    ('"agent_call":false', '"agent_call":"false"', "nodes.0.agent_call: must be true or false"),
+    ('"agent_call":false', '"agent_call":0', "nodes.0.agent_call: must be true or false"),
+    (_N1, "$1null", "nodes.1.principals: must not be null"),
+    (_N1, "$1[]", "nodes.1: calls an agent without a principal"),
+    (_N1, '$1["nobody"]', "a node names an undeclared principal"),
+    (_N1, '$1["nobody","nobody"]', "nodes.1: names a principal twice"),
+    (_N1, '$1{"a":1}', "nodes.1.principals: must be a list"),
+    (r'("id":"n1".*?),"timeout_seconds":9', "$1", "nodes.1: calls an agent without all bounds"),
+    (r'("id":"n1".*?"max_parallelism":)[0-9]+', "$177", "nodes.1: runs more at once than in all"),
+    (r'("id":"n1".*?"max_invocations":)[0-9]+', "$1-1", "nodes.1.max_invocations: must be at least 1"),
+    ('"from":"start"', '"from":""', "edges.0.from: has a length out of bounds"),
+    ('"from":"start",', "", "edges.0.from: is missing"),
+    ('"to":"n1","kind":"fanout"', '"to":"n1","kind":"jump"', "edges.0.kind: must be one of the known values"),
+    ('"decided_by":"(?:code|model)"', '"decided_by":"dice"', "edges.0.decided_by: must be one of the known values"),
+    ("^", "[", "not JSON"),
+    ("^.*$", "[1]", "must be an object"),
+    ("^.*$", "NaN", "not JSON"),
+]
+
+
+def _typed_plans(x: PlanLens) -> DataFrame:
+    """(k, value): each order as a plan that the contract allows, then damaged by its key."""
+    p, k = x.plans, F.col("run_id").cast("long")
+    node = F.struct("pos", F.struct(F.col("node").alias("id"), "kind", F.when(F.col("agent_call"), F.array("who")).otherwise(F.array().cast("array<string>")).alias("principals"), "agent_call", (F.col("invocations") + 1).alias("max_invocations"), F.least(F.col("parallelism") + 1, F.col("invocations") + 1).alias("max_parallelism"), F.when(F.col("agent_call"), 9).alias("timeout_seconds")).alias("x"))
+    kind = F.when(F.col("kind") == "next", "always").when(F.col("kind") == "retry", "fallback").otherwise(F.col("kind"))
+    edge = F.struct("pos", F.struct(F.col("source").alias("from"), F.col("target").alias("to"), kind.alias("kind"), "decided_by", F.col("fan_out").alias("max_fan_out")).alias("x"))
+    who = p.principals.groupBy("run_id", F.col("principal").alias("who")).agg(F.sort_array(F.collect_set(F.regexp_replace("tool", r"\s", "_"))).alias("tools"))
+    named = p.nodes.join(who.select("run_id", "who"), "run_id")
+    listed = lambda rows, one, name: rows.groupBy("run_id").agg(F.transform(F.sort_array(F.collect_list(one)), lambda e: e["x"]).alias(name))
+    whole = listed(named, node, "nodes").join(listed(p.edges, edge, "edges"), "run_id").join(who, "run_id")
+    one = F.lit(1)
+    limits = F.struct(F.lit(8).alias("maximum_agent_calls"), one.alias("maximum_parallelism"), F.lit(0).alias("maximum_cycles"))
+    value = F.to_json(F.struct(one.alias("schema_version"), F.lit("any.control-plan").alias("kind"), "run_id", F.struct(F.lit("maker").alias("name"), F.lit("1").alias("version")).alias("producer"), F.array(F.struct(F.col("who").alias("id"), F.col("tools").alias("candidate_tools"))).alias("principals"), "nodes", "edges", limits.alias("limits")))
+    # One shared expression finds a place and puts text there; which, an array of both lists says.
+    way = (k % len(_DAMAGE) + 1).cast("int")
+    pick = lambda i: F.element_at(F.array(*[F.lit(d[i]) for d in _DAMAGE]), way)
+    return whole.select(k.alias("k"), "run_id", value.alias("value"), pick(0).alias("find"), pick(1).alias("put")).withColumn("value", F.regexp_replace("value", F.col("find"), F.col("put")))
+
+
+_TOLD = ", ".join("null" if d[2] is None else "'" + d[2] + "'" for d in _DAMAGE)
+
+
+@plan_query(f""", twice as (select distinct run_id from (select run_id from pn group by run_id, node having count(*) > 1)),
+  firsts as (select distinct run_id from pn where node = 'n1'),
+  told as (select k, run_id, case when ([{_TOLD}][k % {len(_DAMAGE)} + 1] like 'nodes.1%' or [{_TOLD}][k % {len(_DAMAGE)} + 1] in ('names a node twice', 'a node names an undeclared principal')) and run_id not in (from firsts) then null else [{_TOLD}][k % {len(_DAMAGE)} + 1] end as problem from pl join orders on k = o_orderkey),
+  q as (select k, case when coalesce(problem, 'a node names') like 'a node names%' and run_id in (from twice) then 'names a node twice' else problem end as problem from told)
+  select k, problem, null::bigint as nodes, null::bigint as edges, null::bigint as calls, null::bigint as max_calls from q where problem is not null
+  union all select k, null, n, e, c, 8 from q join (select run_id, count(*) as n, sum(invocations + 1)::bigint as c from pn group by 1) a on a.run_id = k::varchar join (select run_id, count(*) as e from pe group by 1) b on b.run_id = k::varchar where problem is null""")
 def s4_plan_intake(x: PlanLens) -> DataFrame:
-    p = x.plans
-    whole = x.documents.select("value")
-    got, refused = control.read_plans(whole.union(x.spark.range(1).select(F.lit('{"run_id": "a", "run_id": "b"}'))))
-    n = [df.agg(F.count("*").alias(name)) for df, name in ((got.plans, "plans"), (got.nodes, "nodes"), (got.edges, "edges"), (refused, "refused"))]
-    return n[0].crossJoin(n[1]).crossJoin(n[2]).crossJoin(n[3])
+    """Every order as a plan, damaged in one of the ways of _DAMAGE: what is refused, why and where, and what the others hold."""
+    got, refused = control.read_plans(_typed_plans(x).select("k", "value"))
+    sums = got.nodes.groupBy("run_id").agg(F.count("*").alias("nodes"), F.sum("invocations").alias("calls"))
+    fine = got.plans.join(sums, "run_id").join(got.edges.groupBy("run_id").agg(F.count("*").alias("edges")), "run_id")
+    none = F.lit(None).cast("long")
+    fine = fine.select(F.col("run_id").cast("long").alias("k"), F.lit(None).cast("string").alias("problem"), "nodes", "edges", "calls", F.col("max_calls"))
+    return refused.select("k", F.regexp_replace("problem", "^: ", "").alias("problem"), none.alias("nodes"), none.alias("edges"), none.alias("calls"), none.alias("max_calls")).unionByName(fine)
 
 
 @plan_query(" select run_id, 'duplicate_node' as code, count(*) as n from (select run_id, node from pn group by 1, 2 having count(*) > 1) group by 1")

@@ -21,20 +21,114 @@ from pyspark.sql.pandas.types import to_arrow_type
 from palisade.operators import selector
 from palisade.operators.scrub import is_credential_identity, is_credential_shaped
 from palisade.sources.model import Graph
+from palisade.sources.schema import Fields, Flag, Items, Text, Whole, as_list, checked, repeats, texts
 from palisade.sources.snapshots import cut
 
 MOST_EXPOSURES, MOST_PATH = 100, 32
 #: Larger plans are refused. Fixed values of the plan contract; they bound what one plan costs a task.
 MOST_NODES, MOST_EDGES = 4096, 16384
-NODE = T.StructType().add("id", "string").add("kind", "string").add("principals", T.ArrayType(T.StringType())).add("agent_call", "boolean").add("max_invocations", "long").add("max_parallelism", "long")
-EDGE = T.StructType().add("from", "string").add("to", "string").add("kind", "string").add("decided_by", "string").add("max_fan_out", "long")
+#: The kind that a plan document names; what stands before the dot is its producer's.
+PLAN_KIND = r"^[^\s.]+\.control-plan\z"
+MOST_BYTES = 1 << 20
+NODE_KINDS = ("start", "agent", "router", "fanout", "join", "validator", "end")
+EDGE_KINDS = ("always", "success", "failure", "fallback", "fanout", "join")
+QUALIFIED = r"^[^:\s]+::[^:\s]+\z"
+
+_CREDENTIAL = (is_credential_identity, "must not hold a credential")
+_ID = Text(1, 256, r"^\S+\z", checks=(_CREDENTIAL,))
+_PRODUCER = Text(1, 128, r"^\S+\z", checks=(_CREDENTIAL,))
+
+
+def _of(m: Column, name: str, kind: str) -> Column:
+    """A field of an object, null where it is absent."""
+    return F.try_variant_get(F.try_element_at(m, F.lit(name)), "$", kind)
+
+
+def _has(m: Column, name: str) -> Column:
+    return F.map_contains_key(m, name)
+
+
+BOUNDS = ("max_invocations", "max_parallelism", "timeout_seconds")
+
+
+def _all_of(m: Column, names: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a & b, [_has(m, n) for n in names])
+
+
+def _any_of(m: Column, names: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [_has(m, n) for n in names])
+
+
+def _calls(m: Column) -> Column:
+    return _of(m, "agent_call", "boolean")
+
+
+def _members(m: Column) -> Column:
+    return texts(as_list(F.try_element_at(m, F.lit("principals"))))
+
+
+_NODE = Fields(
+    {
+        "id": _ID, "kind": Text(values=NODE_KINDS), "principals": Items(Text(checks=(_CREDENTIAL,)), most=256), "agent_call": Flag(), **{b: Whole(1) for b in BOUNDS}, "validator_scope": Text(values=("workspace_result",)),
+    },
+    required=("id", "kind", "principals", "agent_call"),
+    checks=(
+        (lambda m: (_of(m, "kind", "string") == "agent") != _calls(m), "kind and agent_call disagree"),
+        (lambda m: repeats(_members(m)), "names a principal twice"),
+        (lambda m: _calls(m) & (F.size(_members(m)) == 0), "calls an agent without a principal"),
+        (lambda m: _calls(m) & ~_all_of(m, BOUNDS), "calls an agent without all bounds"),
+        (lambda m: _calls(m) & (_of(m, "max_parallelism", "long") > _of(m, "max_invocations", "long")), "runs more at once than in all"),
+        (lambda m: ~_calls(m) & _any_of(m, BOUNDS), "has bounds but calls no agent"),
+        (lambda m: (_of(m, "kind", "string") == "validator") != _has(m, "validator_scope"), "validators, and only they, have a scope"),
+    ),
+)
+_EDGE = Fields(
+    {"from": _ID, "to": _ID, "kind": Text(values=EDGE_KINDS), "decided_by": Text(values=("code", "model", "human")), "max_fan_out": Whole(1)},
+    required=("from", "to", "kind", "decided_by"),
+    checks=((lambda m: (_of(m, "kind", "string") != "fanout") & _has(m, "max_fan_out"), "bounds the fan-out of a plain edge"),),
+)
+_WHO = Fields(
+    {
+        "id": _ID,
+        "candidate_tools": Items(
+            Text(), 1, 4096,
+            checks=(
+                (lambda xs: ~F.forall(texts(xs), lambda t: t.rlike(QUALIFIED)), "must be server::tool keys"),
+                (lambda xs: F.exists(texts(xs), is_credential_identity), "must not hold a credential"),
+                (lambda xs: repeats(texts(xs)), "names a tool twice"),
+            ),
+        ),
+    },
+    required=("id", "candidate_tools"),
+)
+
+
+def _ids(m: Column, name: str) -> Column:
+    return F.transform(as_list(F.try_element_at(m, F.lit(name))), lambda x: F.try_variant_get(x, "$.id", "string"))
+
+
+def _undeclared(m: Column) -> Column:
+    used = F.flatten(F.transform(as_list(F.try_element_at(m, F.lit("nodes"))), lambda x: F.try_variant_get(x, "$.principals", "array<string>")))
+    return F.size(F.array_except(used, _ids(m, "principals"))) > 0
+
+
+#: The plan contract of major version 1; further fields are ignored.
+PLAN_RULE = Fields(
+    {
+        "schema_version": Whole(values=(1,)), "kind": Text(pattern=PLAN_KIND), "run_id": _ID, "producer": Fields({"name": _PRODUCER, "version": _PRODUCER}, required=("name", "version")),
+        "principals": Items(_WHO, 1, 256), "nodes": Items(_NODE, 1, MOST_NODES), "edges": Items(_EDGE, 0, MOST_EDGES),
+        "limits": Fields({"maximum_agent_calls": Whole(1), "maximum_parallelism": Whole(1), "maximum_cycles": Whole(values=(0,))}, required=("maximum_agent_calls", "maximum_parallelism", "maximum_cycles")),
+    },
+    required=("schema_version", "kind", "run_id", "producer", "principals", "nodes", "edges", "limits"),
+    checks=(
+        (lambda m: repeats(_ids(m, "principals")), "names a principal twice"),
+        (lambda m: repeats(_ids(m, "nodes")), "names a node twice"),
+        (_undeclared, "a node names an undeclared principal"),
+    ),
+)
 PLAN = (
-    T.StructType()
-    .add("run_id", "string")
-    .add("principals", T.ArrayType(T.StructType().add("id", "string").add("candidate_tools", T.ArrayType(T.StringType()))))
-    .add("nodes", T.ArrayType(NODE))
-    .add("edges", T.ArrayType(EDGE))
-    .add("limits", T.StructType().add("maximum_agent_calls", "long").add("maximum_parallelism", "long"))
+    "struct<run_id:string,principals:array<struct<id:string,candidate_tools:array<string>>>,nodes:array<struct<id:string,kind:string,principals:array<string>,agent_call:boolean,max_invocations:bigint,max_parallelism:bigint>>,"
+    "edges:array<struct<from:string,to:string,kind:string,decided_by:string,max_fan_out:bigint>>,limits:struct<maximum_agent_calls:bigint,maximum_parallelism:bigint>>"
 )
 
 
@@ -47,16 +141,19 @@ class Plans:
 
 
 def read_plans(lines: DataFrame) -> tuple[Plans, DataFrame]:
-    """lines(value) of JSON plans -> (tables, refused lines); duplicate keys, missing parts and too many nodes or edges are refused."""
-    got = lines.withColumn("p", F.when(F.try_parse_json("value").isNotNull(), F.from_json("value", PLAN)))
-    whole = F.col("p.run_id").isNotNull() & F.col("p.limits").isNotNull() & (F.size("p.nodes") <= MOST_NODES) & (F.size("p.edges") <= MOST_EDGES)
-    fine = F.coalesce(whole & F.col("p.nodes").isNotNull() & F.col("p.edges").isNotNull(), F.lit(False))
-    ok = got.filter(fine).select("p.*")
+    """lines(value, ...) of JSON plans -> (tables, refused): plans under PLAN_RULE, and lines' columns plus `problem` of the others.
+
+    Types are compared as written: "8" is no number, true neither, 8.0 is 8. A
+    run_id that several plans have is left to the caller; null lines, plans
+    over MOST_BYTES and names that stand twice in one object are refused.
+    """
+    got = cut(checked(lines, PLAN_RULE, MOST_BYTES).drop("doc"))
+    ok = got.filter("problem is null").select(F.try_variant_get(F.try_parse_json("value"), "$", PLAN).alias("p")).select("p.*")
     nodes = ok.select("run_id", F.posexplode("nodes").alias("pos", "n")).select("run_id", F.col("n.id").alias("node"), F.col("n.kind").alias("kind"), F.col("n.agent_call").alias("agent_call"), F.col("n.max_invocations").alias("invocations"), F.col("n.max_parallelism").alias("parallelism"), "pos", F.col("n.principals").alias("principals"))
     edges = ok.select("run_id", F.posexplode("edges").alias("pos", "e")).select("run_id", F.col("e.from").alias("source"), F.col("e.to").alias("target"), F.col("e.kind").alias("kind"), F.col("e.decided_by").alias("decided_by"), F.col("e.max_fan_out").alias("fan_out"), "pos")
     who = ok.select("run_id", F.explode("principals").alias("p")).select("run_id", F.col("p.id").alias("principal"), F.explode("p.candidate_tools").alias("tool"))
     plans = ok.select("run_id", F.col("limits.maximum_agent_calls").alias("max_calls"), F.col("limits.maximum_parallelism").alias("max_parallel"))
-    return Plans(plans, who, nodes, edges), got.filter(~fine).select("value")
+    return Plans(plans, who, nodes, edges), got.filter("problem is not null")
 
 
 def _finding(rows: DataFrame, code: str, subject: Column) -> DataFrame:

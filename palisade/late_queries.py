@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.more_queries import SORTED_DIGEST
@@ -23,6 +23,21 @@ def _re2(pattern: str) -> str:
 
 _SHAPED = " or ".join(f"regexp_matches(text, {_re2(p)})" for p in scrub.REFUSED)
 
+def _cycled(values: list, k):
+    """The value of a list that a number picks, in turn."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (k % len(values) + 1).cast("int"))
+
+
+def _damaged(value, ways: list, k):
+    """A text with what a way finds replaced; ways: (found, put in place, problem told or None)."""
+    return F.regexp_replace(value, _cycled([w[0] for w in ways], k), _cycled([w[1] for w in ways], k))
+
+
+def _told(ways: list, k: str) -> str:
+    """The problem told of a way, in SQL."""
+    return "[" + ", ".join("null" if w[2] is None else "'" + w[2].replace("'", "''") + "'" for w in ways) + f"][{k} % {len(ways)} + 1]"
+
+
 # ---- Decision tables ---------------------------------------------------------------
 
 _STRICT = "list_filter(reasons, lambda x: list_contains(['TOOL_NOT_FOUND', 'AMBIGUOUS_TOOL', 'NOT_GRANTED', 'DENY_VIOLATION', 'DENY_GOVERNED', 'DRIFTED', 'UNMAPPED'], x))[1]"
@@ -162,11 +177,41 @@ def _observations(x: Lens) -> DataFrame:
     return rows.select("agent", F.col("tool_key").alias("ref"), "tool_key", F.when(F.size(reasons) > 0, "rejected").otherwise("eligible").alias("decision"), "calls", F.least("would_block_calls", "calls").alias("would_block_calls"), reasons.alias("reasons"), F.lit(True).alias("reasons_complete"))
 
 
-@query(_ROWS + " select agent, ref, decision, calls, would_block_calls, array_to_string(reasons, ',') as reasons from obs")
+#: What is wrong with every twelfth export: the line (n rows stand on lines 2 to n + 1) and the problem.
+_EXPORT_FAULTS = [
+    None, ("n + 2", "repeats an agent and ref"), ("2", "decision: must be one of the known values"), ("n + 2", "agent: is missing"), ("1", "carries more than the envelope"), ("1", "envelope: must be an object"),
+    ("n + 1", "not JSON"), ("2", "calls: must be an integer"), ("2", "blocks more calls than it counts"), ("2", "has an unknown reason"), None, None,
+]
+_EXPORT_CASES = " ".join(f"when {i} then {{}}" for i, f in enumerate(_EXPORT_FAULTS) if f)
+
+
+@query(
+    _ROWS
+    + f""", ex as (select *, cast(right(agent, 9) as int) % 40 as e, row_number() over (partition by cast(right(agent, 9) as int) % 40 order by agent, ref) + 1 as line from obs),
+  n as (select e, count(*) as n from ex group by 1)
+  select e as export, agent, ref, decision, calls, would_block_calls, array_to_string(reasons, ',') as reasons, null::bigint as line, null as problem from ex where e % 12 in (0, 10, 11)
+  union all select e, null, null, null, null, null, null, case e % 12 {_EXPORT_CASES.format(*[f[0] for f in _EXPORT_FAULTS if f])} end, case e % 12 {_EXPORT_CASES.format(*[repr(f[1]) for f in _EXPORT_FAULTS if f])} end from n where e % 12 not in (0, 10, 11)"""
+)
 def s3_window_intake(x: Lens) -> DataFrame:
-    lines = _observations(x).select(F.to_json(F.struct("agent", "tool_key", "decision", "calls", "would_block_calls", F.transform("reasons", F.lower).alias("reject_reasons"))).alias("value"))
-    rows, _ = propose.read_window(lines.union(x.spark.range(1).select(F.lit('{"envelope": {"profile": "strict"}}'))))
-    return rows.select("agent", "ref", "decision", "calls", "would_block_calls", F.array_join("reasons", ",").alias("reasons"))
+    """Forty exports, most of them with one fault: which are refused at which line, and the rows of the others."""
+    e, c = F.right("agent", F.lit(9)).cast("int") % 40, F.col
+    value = F.to_json(F.struct("agent", "tool_key", "decision", "calls", "would_block_calls", F.transform("reasons", F.lower).alias("reject_reasons")))
+    rows = _observations(x).select(e.alias("export"), "agent", "ref", value.alias("value"))
+    rows = rows.withColumn("line", F.row_number().over(Window.partitionBy("export").orderBy("agent", "ref")) + 1)
+    ends = rows.groupBy("export").agg(F.count("*").alias("n"), F.min_by("value", "line").alias("first"))
+    fault, at_2 = c("export") % 12, c("line") == 2
+    put = F.when(at_2 & (fault == 2), F.regexp_replace("value", '"decision":"[a-z]+"', '"decision":"maybe"')).when(at_2 & (fault == 7), F.regexp_replace("value", '"calls":', '"calls":" 7","old":'))
+    put = put.when(at_2 & (fault == 8), F.regexp_replace("value", '"calls":[0-9]+,"would_block_calls":[0-9]+', '"calls":0,"would_block_calls":5')).when(at_2 & (fault == 9), F.regexp_replace("value", r'"reject_reasons":\[[^\]]*\]', '"reject_reasons":["nonsense"]'))
+    body = rows.join(ends, "export").withColumn("value", put.when((fault == 6) & (c("line") == c("n") + 1), "{").otherwise(c("value"))).select("export", "line", "value")
+    head = F.when(fault == 4, '{"envelope": {"profile": "strict"}, "agent": "a"}').when(fault == 5, '{"envelope": "strict"}').when(fault == 10, " ").otherwise('{"envelope": {"profile": "strict"}}')
+    heads = ends.select("export", F.when(fault == 3, c("n") + 2).otherwise(1).alias("line"), head.alias("value"))
+    more = ends.filter(fault == 1).select("export", (c("n") + 2).alias("line"), c("first").alias("value"))
+    blank = ends.filter(fault == 11).select("export", F.lit(0).alias("line"), F.lit("").alias("value"))
+    got = propose.read_exports(body.unionByName(heads).unionByName(more).unionByName(blank).withColumn("line", c("line").cast("long")))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    fine = got.rows.select("export", "agent", "ref", "decision", "calls", "would_block_calls", F.array_join("reasons", ",").alias("reasons"), none("long", "line"), none("string", "problem"))
+    texts = [none("string", n) for n in ("agent", "ref", "decision")]
+    return fine.unionByName(got.refused.select("export", *texts, none("long", "calls"), none("long", "would_block_calls"), none("string", "reasons"), "line", "problem"))
 
 
 @query("select event_id as id, case event_id % 5 when 0 then 'digest of another manifest' when 1 then 'another generation' when 2 then 'unknown profile' when 3 then 'window ends before it starts' else 'another instance' end as problem from events", lens=False)
@@ -383,18 +428,15 @@ def _typed_plans(x: PlanLens) -> DataFrame:
     one = F.lit(1)
     limits = F.struct(F.lit(8).alias("maximum_agent_calls"), one.alias("maximum_parallelism"), F.lit(0).alias("maximum_cycles"))
     value = F.to_json(F.struct(one.alias("schema_version"), F.lit("any.control-plan").alias("kind"), "run_id", F.struct(F.lit("maker").alias("name"), F.lit("1").alias("version")).alias("producer"), F.array(F.struct(F.col("who").alias("id"), F.col("tools").alias("candidate_tools"))).alias("principals"), "nodes", "edges", limits.alias("limits")))
-    # One shared expression finds a place and puts text there; which, an array of both lists says.
-    way = (k % len(_DAMAGE) + 1).cast("int")
-    pick = lambda i: F.element_at(F.array(*[F.lit(d[i]) for d in _DAMAGE]), way)
-    return whole.select(k.alias("k"), "run_id", value.alias("value"), pick(0).alias("find"), pick(1).alias("put")).withColumn("value", F.regexp_replace("value", F.col("find"), F.col("put")))
+    return whole.select(k.alias("k"), "run_id", _damaged(value, _DAMAGE, k).alias("value"))
 
 
-_TOLD = ", ".join("null" if d[2] is None else "'" + d[2] + "'" for d in _DAMAGE)
+_TOLD = _told(_DAMAGE, "k")
 
 
 @plan_query(f""", twice as (select distinct run_id from (select run_id from pn group by run_id, node having count(*) > 1)),
   firsts as (select distinct run_id from pn where node = 'n1'),
-  told as (select k, run_id, case when ([{_TOLD}][k % {len(_DAMAGE)} + 1] like 'nodes.1%' or [{_TOLD}][k % {len(_DAMAGE)} + 1] in ('names a node twice', 'a node names an undeclared principal')) and run_id not in (from firsts) then null else [{_TOLD}][k % {len(_DAMAGE)} + 1] end as problem from pl join orders on k = o_orderkey),
+  told as (select k, run_id, case when ({_TOLD} like 'nodes.1%' or {_TOLD} in ('names a node twice', 'a node names an undeclared principal')) and run_id not in (from firsts) then null else {_TOLD} end as problem from pl join orders on k = o_orderkey),
   q as (select k, case when coalesce(problem, 'a node names') like 'a node names%' and run_id in (from twice) then 'names a node twice' else problem end as problem from told)
   select k, problem, null::bigint as nodes, null::bigint as edges, null::bigint as calls, null::bigint as max_calls from q where problem is not null
   union all select k, null, n, e, c, 8 from q join (select run_id, count(*) as n, sum(invocations + 1)::bigint as c from pn group by 1) a on a.run_id = k::varchar join (select run_id, count(*) as e from pe group by 1) b on b.run_id = k::varchar where problem is null""")
@@ -405,7 +447,7 @@ def s4_plan_intake(x: PlanLens) -> DataFrame:
     fine = got.plans.join(sums, "run_id").join(got.edges.groupBy("run_id").agg(F.count("*").alias("edges")), "run_id")
     none = F.lit(None).cast("long")
     fine = fine.select(F.col("run_id").cast("long").alias("k"), F.lit(None).cast("string").alias("problem"), "nodes", "edges", "calls", F.col("max_calls"))
-    return refused.select("k", F.regexp_replace("problem", "^: ", "").alias("problem"), none.alias("nodes"), none.alias("edges"), none.alias("calls"), none.alias("max_calls")).unionByName(fine)
+    return refused.select("k", "problem", none.alias("nodes"), none.alias("edges"), none.alias("calls"), none.alias("max_calls")).unionByName(fine)
 
 
 @plan_query(" select run_id, 'duplicate_node' as code, count(*) as n from (select run_id, node from pn group by 1, 2 having count(*) > 1) group by 1")
@@ -689,28 +731,128 @@ def s13_artifact_sink(x: Lens) -> DataFrame:
     return fine.unionByName(refused.select("agent", "tool_key", "problem", F.lit(None).cast("string").alias("digest"), F.lit(False).alias("intact")))
 
 
-@query("select server, tool_key, 'crawled from ' || server as evidence from exposes")
+#: Ways to damage what a server says of itself.
+_FIRST = r'"tools":\[[{]"name":"[^"]*"'
+_CRAWLS = [
+    ("$", "", None),
+    (r'("tools":\[[{]"name":")', "$1a::", "tools.0.name: must not hold '::'"),
+    (_FIRST, '"tools":[{"name":null', "tools.0.name: must not be null"),
+    (_FIRST, '"tools":[{"title":"x"', "tools.0.name: is missing"),
+    (_FIRST, '"tools":[{"name":7', "tools.0.name: must be text"),
+    (_FIRST, '"tools":[{"name":""', "tools.0.name: has a length out of bounds"),
+    ('"tools":', '"tools":null,"old":', "tools: must not be null"),
+    (r'"tools":\[', '"tools":["x",', "tools.0: must be an object"),
+    (r'"tools":\[[{]', '"tools":[{"open_world_hint":"yes",', "tools.0.open_world_hint: must be true or false"),
+    ('"transport":"stdio"', '"transport":"carrier"', "transport: must be one of the known values"),
+    ('"server_name":"', '"server_name":"a::', "server_name: must not hold '::'"),
+    ("[}]$", ',"resources":[{"uri":"store:x"},{"name":"y"}]}', "resources.1.uri: is missing"),
+    ("[}]$", ',"resources":[{"uri":null}]}', "resources.0.uri: must not be null"),
+    ("[}]$", "", "not JSON"),
+    ("[}]$", ',"note":[1]}', None),
+    ('"transport":"stdio",', "", None),
+]
+
+
+@query(
+    f"""select server, tool_key, 'crawled from ' || server as evidence, 'stdio' as transport, null as problem from exposes where {_told(_CRAWLS, "cast(right(server, 9) as int)")} is null
+  union all select distinct server, null, null, null, {_told(_CRAWLS, "cast(right(server, 9) as int)")} from exposes where {_told(_CRAWLS, "cast(right(server, 9) as int)")} is not null"""
+)
 def s1_crawl_intake(x: Lens) -> DataFrame:
+    """What every server says of itself, damaged by the server's number: the edges of the crawls taken, and where the others are refused."""
     from palisade.sources import intake
 
     rows = x.graph.tools.join(x.graph.exposes.select(F.col("tool_key").alias("key")), "key", "left_semi").withColumn("endpoint", F.col("server"))
-    docs = rows.groupBy("server").agg(F.collect_list(F.struct("name", "description", "input_schema", "read_only_hint", "destructive_hint", "idempotent_hint", "open_world_hint")).alias("tools")).select(F.to_json(F.struct(F.col("server").alias("server_name"), F.lit("2").alias("server_version"), F.lit("stdio").alias("transport"), F.col("server").alias("endpoint"), "tools")).alias("value"))
-    return intake.read_crawls(docs)["exposes"].select("server", "tool_key", "prov.evidence")
+    docs = rows.groupBy("server").agg(F.sort_array(F.collect_list(F.struct("name", "description", "input_schema", "read_only_hint", "destructive_hint", "idempotent_hint"))).alias("tools"))
+    value = F.to_json(F.struct(F.col("server").alias("server_name"), F.lit("2").alias("server_version"), F.lit("stdio").alias("transport"), F.col("server").alias("endpoint"), "tools"))
+    got = intake.read_crawls(docs.select("server", _damaged(value, _CRAWLS, F.right("server", F.lit(9)).cast("int")).alias("value")))
+    edges = got["exposes"].join(got["servers"].select(F.col("name").alias("server"), "transport"), "server").select("server", "tool_key", "prov.evidence", "transport", F.lit(None).cast("string").alias("problem"))
+    none = lambda name: F.lit(None).cast("string").alias(name)
+    return edges.unionByName(got["refused"].select("server", none("tool_key"), none("evidence"), none("transport"), "problem"))
+
+
+#: Ways to damage a copy of a manifest.
+_MANIFESTS = [
+    (r'("grants":\[[{])"agent":', '$1"who":', "grants.0.agent: is missing"),
+    (r'"agents":\["[^"]*"\]', '"agents":[7]', "agents.0: must be text"),
+    ("^[{]", '{"extra":1,', "has an unknown field"),
+    ("^[{]", '{"policies":[{"id":"p","effect":"MAYBE"}],', "policies.0.effect: must be one of the known values"),
+    ("^[{]", '{"governed_by":{"x":["p",7]},', "governed_by.0.1: must be an object"),
+    ("^[{]", '{"governed_by":{"x":[{"policy":"p","note":1}]},', "governed_by.0.0: has an unknown field"),
+    ("^[{]", '{"governed_by":{"x":[{"policy":"p","provenance":{"source":"rumour"}}]},', "governed_by.0.0.provenance.source: must be one of the known values"),
+    ("^[{]", '{"governed_tools":{"a::b":"p"},', "governed_tools.0: must be a list"),
+    ("^[{]", '{"data_access":null,', "data_access: must not be null"),
+    (r'"grants":\[', '"grants":[{"agent":"a","tool":"t","granted_by":"token=abc"},', "grants.0.granted_by: must not hold a credential"),
+]
 
 
-@query("select agent, tool_key as ref, granted_by, evidence from can_call")
+@query(
+    f"""select 'agent' as part, id as a, null as b, null as c, null as d from agents
+  union all select 'policy', id, effect, scope, null from policies
+  union all select 'grant', agent, tool_key, granted_by, evidence from can_call
+  union all select 'access', tool_key, mode, uri, evidence from data_access
+  union all select 'governed_resources', uri, policy, case when length(policy) % 2 = 0 then 'bare' else 'object' end, case when length(policy) % 2 = 1 then evidence end from governed_resource
+  union all select 'governed_tools', tool_key, policy, case when length(policy) % 2 = 0 then 'bare' else 'object' end, null from governed_tool
+  union all select 'exception', agent, tool_key, policy, coalesce(resource, '-') || ' ' || reason from exceptions
+  union all select 'refused', id, {_told(_MANIFESTS, "c_custkey")}, null, null from agents where id in (select agent from can_call)"""
+)
 def s2_manifest_intake(x: Lens) -> DataFrame:
-    rows = x.manifest.grants
-    docs = rows.groupBy("agent").agg(F.collect_list(F.struct("agent", F.col("ref").alias("tool"), "granted_by", F.col("prov").alias("provenance"))).alias("grants")).select(F.from_json(F.to_json(F.struct("grants")), manifest.MANIFEST_SCHEMA).alias("m")).select("m.*")
-    return manifest.flatten(docs).grants.select("agent", "ref", "granted_by", "prov.evidence")
+    """All six tables as JSON manifests, bindings of half the policies as bare ids, beside a damaged copy of each agent's manifest."""
+    m, c = x.manifest, F.col
+    evidence = F.struct("prov.source", "prov.confidence", "prov.evidence").alias("provenance")
+    grants = m.grants.groupBy("agent").agg(F.collect_list(F.struct("agent", c("ref").alias("tool"), "granted_by", evidence)).alias("grants"))
+    exc = m.exceptions.groupBy("agent").agg(F.collect_list(F.struct("agent", c("ref").alias("tool"), "policy", "resource", "reason")).alias("expected_exceptions"))
+    agents = m.agents.select(c("id").alias("agent")).join(grants, "agent", "left").join(exc, "agent", "left")
+    agents = agents.select("agent", F.to_json(F.struct(F.array("agent").alias("agents"), "grants", "expected_exceptions")).alias("value"), c("grants").isNotNull().alias("granted"))
+    policies = m.policies.select(F.to_json(F.struct(F.array(F.struct("id", "effect", "scope", "description")).alias("policies"))).alias("value"))
+    access = m.data_access.groupBy("ref").agg(F.collect_list(F.struct(c("ref").alias("tool"), "resource", "mode", evidence)).alias("data_access")).select(F.to_json(F.struct("data_access")).alias("value"))
+    quoted = lambda t: F.concat(F.lit('"'), t, F.lit('"'))
+    item = F.when(F.length("policy") % 2 == 0, quoted(c("policy"))).otherwise(F.to_json(F.struct("policy", evidence)))
+    bound = m.bindings.groupBy("field", "node").agg(F.array_join(F.collect_list(item), ",").alias("items"))
+    bound = bound.select(F.concat(F.lit("{"), quoted(c("field")), F.lit(":{"), quoted(c("node")), F.lit(":["), "items", F.lit("]}}")).alias("value"))
+    copies = agents.filter("granted").select("agent", _damaged(c("value"), _MANIFESTS, F.right("agent", F.lit(9)).cast("int")).alias("value"))
+    none = F.lit(None).cast("string").alias("agent")
+    got, refused = manifest.read_manifests(reduce(DataFrame.unionByName, [agents.select("agent", "value"), *[df.select(none, "value") for df in (policies, access, bound)], copies]))
+    kind = F.when(F.length("policy") % 2 == 0, "bare").otherwise("object")
+    listed = [
+        got.agents.select(F.lit("agent"), "id", F.lit(None), F.lit(None), F.lit(None)),
+        got.policies.select(F.lit("policy"), "id", "effect", "scope", F.lit(None)),
+        got.grants.select(F.lit("grant"), "agent", "ref", "granted_by", "prov.evidence"),
+        got.data_access.select(F.lit("access"), "ref", "mode", "resource", "prov.evidence"),
+        got.bindings.select("field", "node", "policy", kind, "prov.evidence"),
+        got.exceptions.select(F.lit("exception"), "agent", "ref", "policy", F.concat_ws(" ", F.coalesce("resource", F.lit("-")), "reason")),
+        refused.select(F.lit("refused"), "agent", "problem", F.lit(None), F.lit(None)),
+    ]
+    return reduce(DataFrame.union, [df.toDF("part", "a", "b", "c", "d").select(*[c(n).cast("string").alias(n) for n in ("part", "a", "b", "c", "d")]) for df in listed])
+
+
+#: Ways to damage a fleet file.
+_FLEETS = [
+    ("$", "", None),
+    ('"cwd":"/srv"', '"cwd":" "', "servers.0.cwd: has another form"),
+    ('"transport":"stdio"', '"transport":"sse"', "servers.0: has a cwd but no stdio transport"),
+    ('"transport":"stdio",', "", None),
+    ('"name":"', '"name":"a::', "servers.0.name: must not hold '::'"),
+    ('"name":"[^"]*"', '"name":false', "servers.0.name: must be text"),
+    ('"servers"', '"server"', "servers: is missing"),
+    ("^.*$", '{"servers":null}', "servers: must not be null"),
+    ("^.*$", '{"servers":{}}', "servers: must be a list"),
+    ("^.*$", '{"servers":[7]}', "servers.0: must be an object"),
+    ('"cwd"', '"user":"x","cwd"', "servers.0: has an unknown field"),
+    ('"cwd"', '"env":{"A":1},"cwd"', "servers.0.env.0: must be text"),
+    ('"cwd"', '"args":["a",null],"cwd"', "servers.0.args.1: must be text"),
+    ("^.*$", "", "not JSON"),
+]
 
 
-@query("select s_name as name, 'stdio' as transport from supplier", lens=False)
+@query(f"select s_suppkey as k, case when {_told(_FLEETS, 's_suppkey')} is null then s_name end as name, case when {_told(_FLEETS, 's_suppkey')} is null then 'stdio' end as transport, {_told(_FLEETS, 's_suppkey')} as problem from supplier", lens=False)
 def s16_fleet_intake(x: Lens) -> DataFrame:
     from palisade.sources import intake
 
-    docs = x.table("supplier").select(F.to_json(F.struct(F.array(F.struct(F.col("s_name").alias("name"), F.lit("stdio").alias("transport"), F.lit("/srv/x").alias("command"))).alias("servers"))).alias("value"))
-    return intake.read_fleets(docs)[0].select("name", "transport")
+    spec = F.struct(F.col("s_name").alias("name"), F.lit("stdio").alias("transport"), F.lit("/srv/x").alias("command"), F.lit("/srv").alias("cwd"))
+    specs, refused = intake.read_fleets(x.table("supplier").select("s_suppkey", _damaged(F.to_json(F.struct(F.array(spec).alias("servers"))), _FLEETS, F.col("s_suppkey")).alias("value")))
+    named = specs.join(x.table("supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("k")), "name")
+    none = lambda name: F.lit(None).cast("string").alias(name)
+    return named.select("k", "name", "transport", none("problem")).unionByName(refused.select(F.col("s_suppkey").alias("k"), none("name"), none("transport"), "problem"))
 
 
 # ---- Text columns ----------------------------------------------------------------------------------

@@ -27,9 +27,17 @@ def k2_upsert_tools(x: Lens) -> DataFrame:
     return crawl.upsert_tools(x.graph.tools, x.second_crawl[1]).select("key", "name", "server", "read_only_hint", "destructive_hint")
 
 
-@query("select uri from resources")
+@query(
+    """, shown as (select s_name as server, uri, min(p_partkey) as part, cast(right(s_name, 4) as int) % 17 as crawl from (select li.*, l_partkey as p_partkey from li) where p_size > 20 group by 1, 2, 4),
+  placed as (select *, 'of ' || server as said from shown),
+  told as (select uri, arg_max(said, (crawl, part, said)) as said from placed group by 1)
+  select uri, said as name, 'listed' as description from told union all select uri, null, null from resources anti join told using (uri)"""
+)
 def k3_upsert_resources(x: Lens) -> DataFrame:
-    return crawl.upsert_resources(x.graph.resources, x.second_crawl[2].drop("server")).select("uri")
+    """Seventeen crawls list resources that many servers share: the last crawl's fields stay, of the last position there."""
+    part = x.lines.filter("p_size > 20").groupBy(F.col("s_name").alias("server"), "uri").agg(F.min("l_partkey").alias("seq"))
+    listed = part.select("uri", F.concat(F.lit("of "), F.col("server")).alias("name"), F.lit(None).cast("string").alias("mime_type"), F.lit("listed").alias("description"), (F.right("server", F.lit(4)).cast("int") % 17).alias("crawl"), "seq")
+    return crawl.upsert_resources(x.graph.resources, listed).select("uri", "name", "description")
 
 
 @query(CRAWL_SQL + "select server, tool_key, evidence from exposes anti join crawled using (server) union all select server, tool_key, 'crawled from ' || server from listed")
@@ -118,9 +126,18 @@ def k14_tool_key(x: Lens) -> DataFrame:
     return fine.unionByName(refused.withColumn("tool_key", F.lit(None).cast("string")))
 
 
-@query(r"select page_id, lower(regexp_extract(url, '^([A-Za-z]+://)[^/?#]*', 1)) || lower(regexp_extract(url, '^[A-Za-z]+://(?:[^/?#]*@)?([^/?#@]+)', 1)) as label from pages", lens=False)
+@query(
+    r"""select 'page' as what, page_id as id, lower(regexp_extract(url, '^([A-Za-z]+://)[^/?#]*', 1)) || lower(regexp_extract(url, '^[A-Za-z]+://(?:[^/?#]*@)?([^/?#@]+)', 1)) as label from pages
+  union all select 'part', p_partkey, case p_partkey % 4 when 0 then 'run-' || p_partkey when 1 then 'my tool ' || p_partkey when 2 then 'x' || p_partkey || '.exe' end from part""",
+    lens=False,
+)
 def k15_endpoint_label(x: Lens) -> DataFrame:
-    return x.table("pages").select("page_id", crawl.endpoint_label(F.lit("http"), F.col("url")).alias("label"))
+    """Of web endpoints scheme, host and port; of commands (bare, quoted with spaces, of another system, blank) the executable's base name."""
+    k = F.col("p_partkey").cast("string")
+    command = F.concat(F.lit("/usr/bin/run-"), k, F.lit(" --token abc /etc/x"))
+    command = F.when(F.col("p_partkey") % 4 == 1, F.concat(F.lit('  "/opt/a b/my tool '), k, F.lit('" -v'))).when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("'C:\\dir one\\x"), k, F.lit(".exe' serve"))).when(F.col("p_partkey") % 4 == 3, "  ").otherwise(command)
+    pages = x.table("pages").select(F.lit("page").alias("what"), F.col("page_id").alias("id"), crawl.endpoint_label(F.lit("http"), F.col("url")).alias("label"))
+    return pages.unionByName(x.table("part").select(F.lit("part").alias("what"), F.col("p_partkey").alias("id"), crawl.endpoint_label(F.lit("stdio"), command).alias("label")))
 
 
 # ---- Manifest checks and application --------------------------------------------------

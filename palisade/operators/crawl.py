@@ -16,10 +16,20 @@ from palisade.sources.model import HINTS, PROV, Graph
 MAX_RECORDS, MAX_BYTES = 10_000, 4 << 20
 
 
-def last_of(rows: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
-    """The row of greatest seq per key."""
-    place = Window.partitionBy(*keys).orderBy(F.col(seq).desc())
-    return rows.withColumn("_n", F.row_number().over(place)).filter("_n = 1").drop("_n")
+def last_of(rows: DataFrame, keys: list[str], order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """The last row per key in an order; rows equal in it go by their other values, so reruns agree.
+
+    A maximum, which tasks form of their own rows first: a key with many rows
+    moves as one row a task.
+    """
+    rest = [c for c in rows.columns if c not in keys and c not in order]
+    best = rows.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_r"))
+    return best.select(*[F.col(c) if c in keys else F.col("_r").getField(c).alias(c) for c in rows.columns])
+
+
+def in_order(rows: DataFrame) -> tuple[str, ...]:
+    """The columns that order what crawls list: the crawl, if it is there, then the position."""
+    return tuple(c for c in ("crawl", "seq") if c in rows.columns)
 
 
 def replace_rows(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -35,12 +45,12 @@ def upsert_servers(servers: DataFrame, crawled: DataFrame) -> DataFrame:
 
 def upsert_tools(tools: DataFrame, listed: DataFrame) -> DataFrame:
     """Insert or replace by key; hints are set as listed, so a dropped hint becomes null; the last duplicate wins."""
-    return replace_rows(tools, last_of(listed, ["key"]), ["key"])
+    return replace_rows(tools, last_of(listed, ["key"], in_order(listed)), ["key"])
 
 
 def upsert_resources(resources: DataFrame, listed: DataFrame) -> DataFrame:
-    """Insert or replace by canonical uri; a shared resource takes the last server's fields."""
-    return replace_rows(resources, last_of(listed.withColumn("uri", canonical_uri(F.col("uri"))), ["uri"]), ["uri"])
+    """Insert or replace by canonical uri; a shared resource takes the fields of the last crawl that lists it, there of the last position."""
+    return replace_rows(resources, last_of(listed.withColumn("uri", canonical_uri(F.col("uri"))), ["uri"], in_order(listed)), ["uri"])
 
 
 def drop_stale_edges(edges: DataFrame, crawled: DataFrame, listed: DataFrame, to: str) -> DataFrame:
@@ -83,7 +93,8 @@ def apply_crawl(graph: Graph, servers: DataFrame, tools: DataFrame, resources: D
     """The graph after a crawl of some servers.
 
     servers(name, version, transport, endpoint), tools(the tool columns, seq),
-    resources(server, the resource columns, seq). Other servers stay as they are.
+    resources(server, the resource columns, seq); tools and resources may have
+    `crawl`, the order of the crawls. Other servers stay as they are.
     """
     listed = tools.select(F.col("key").alias("tool_key"), "server")
     shown = resources.withColumn("uri", canonical_uri(F.col("uri")))

@@ -13,13 +13,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from palisade.functions.predicates import is_resource_ref
 from palisade.operators.crawl import last_of
 from palisade.operators.resolve import canonical_uri, unique_resolution
 from palisade.operators.scrub import is_credential_identity
 from palisade.sources.model import PROV, Graph
+from palisade.sources.schema import Either, Fields, Items, Mapping, Text, checked
+from palisade.sources.snapshots import cut
 
 WARNING = "code string, subject string, message string"
 #: Closed value sets. Fixed values of the manifest contract.
@@ -42,38 +43,64 @@ class Manifest:
 
 
 def default_prov(prov: Column) -> Column:
-    """Missing provenance is operator_asserted, high, without evidence."""
-    plain = F.struct(F.lit("operator_asserted").alias("source"), F.lit("high").alias("confidence"), F.lit(None).cast("string").alias("evidence")).cast(PROV)
-    return F.coalesce(prov, plain)
-
-
-BINDING = T.ArrayType(T.StructType().add("policy", "string").add("prov", PROV))
-#: One row per manifest; bare policy ids are written as {"policy": id}.
-MANIFEST_SCHEMA = (
-    T.StructType()
-    .add("agents", T.ArrayType(T.StructType().add("id", "string")))
-    .add("policies", T.ArrayType(T.StructType().add("id", "string").add("effect", "string").add("scope", "string").add("description", "string")))
-    .add("grants", T.ArrayType(T.StructType().add("agent", "string").add("tool", "string").add("granted_by", "string").add("provenance", PROV)))
-    .add("data_access", T.ArrayType(T.StructType().add("tool", "string").add("resource", "string").add("mode", "string").add("provenance", PROV)))
-    .add("governed_by", T.MapType(T.StringType(), BINDING))
-    .add("governed_tools", T.MapType(T.StringType(), BINDING))
-    .add("governed_resources", T.MapType(T.StringType(), BINDING))
-    .add("expected_exceptions", T.ArrayType(T.StructType().add("agent", "string").add("tool", "string").add("policy", "string").add("resource", "string").add("reason", "string")))
+    """Missing provenance is operator_asserted, high, without evidence; so is what a given one leaves out."""
+    part = lambda name, plain: F.coalesce(prov.getField(name), F.lit(plain)).alias(name)
+    return F.struct(part("source", "operator_asserted"), part("confidence", "high"), prov.getField("evidence").alias("evidence")).cast(PROV)
+
+
+_CLEAN = Text(checks=((is_credential_identity, "must not hold a credential"),))
+_PROVENANCE = Fields({"source": Text(values=SOURCES), "confidence": Text(values=CONFIDENCES), "evidence": Text()}, nullable=("evidence",), closed=True)
+_BINDING = Fields({"policy": _CLEAN, "provenance": _PROVENANCE}, required=("policy",), nullable=("provenance",), closed=True)
+#: A list under a free name; each item is a bare policy id or an object with provenance.
+_BOUND = Mapping(Items(Either(_CLEAN, _BINDING)))
+_BOUND_TOOLS = Mapping(_BOUND.of, names=((is_credential_identity, "has a name that must not hold a credential"),))
+MANIFEST_RULE = Fields(
+    {
+        "agents": Items(_CLEAN),
+        "policies": Items(Fields({"id": _CLEAN, "effect": Text(values=EFFECTS), "scope": Text(), "description": Text()}, required=("id", "effect"), nullable=("scope", "description"), closed=True)),
+        "grants": Items(Fields({"agent": _CLEAN, "tool": _CLEAN, "granted_by": _CLEAN, "provenance": _PROVENANCE}, required=("agent", "tool"), nullable=("granted_by", "provenance"), closed=True)),
+        "data_access": Items(Fields({"tool": _CLEAN, "resource": Text(), "mode": Text(values=MODES), "provenance": _PROVENANCE}, required=("tool", "resource", "mode"), nullable=("provenance",), closed=True)),
+        "governed_by": _BOUND,
+        "governed_tools": _BOUND_TOOLS,
+        "governed_resources": _BOUND,
+        "expected_exceptions": Items(Fields({"agent": _CLEAN, "tool": _CLEAN, "policy": _CLEAN, "resource": Text(), "reason": Text()}, required=("agent", "tool", "policy"), nullable=("resource", "reason"), closed=True)),
+    },
+    closed=True,
 )
-
-
-def flatten(documents: DataFrame) -> Manifest:
-    """Rows of parsed manifest documents (MANIFEST_SCHEMA), with seq as the position in each list."""
+_PROV = "provenance:struct<source:string,confidence:string,evidence:string>"
+_LISTS = {
+    "agents": "array<string>",
+    "policies": "array<struct<id:string,effect:string,scope:string,description:string>>",
+    "grants": f"array<struct<agent:string,tool:string,granted_by:string,{_PROV}>>",
+    "data_access": f"array<struct<tool:string,resource:string,mode:string,{_PROV}>>",
+    **dict.fromkeys(FIELDS, "map<string,array<variant>>"),
+    "expected_exceptions": "array<struct<agent:string,tool:string,policy:string,resource:string,reason:string>>",
+}
+
+
+def read_manifests(lines: DataFrame) -> tuple[Manifest, DataFrame]:
+    """lines(value, ...) of manifests as JSON -> (Manifest, refused lines with `problem`); seq is the position in each list.
+
+    A bound policy is a bare id or an object. Unknown fields, wrong types,
+    values outside the closed sets and credentials in names refuse the whole
+    manifest; the problem tells the place, an entry of free name by number.
+    """
+    got = cut(checked(lines, MANIFEST_RULE).drop("doc"))
+    doc = F.try_parse_json("value")
+    parsed = got.filter("problem is null").select(*[F.try_variant_get(doc, f"$.{name}", kind).alias(name) for name, kind in _LISTS.items()])
 
     def rows(column: str) -> DataFrame:
-        return documents.select(F.posexplode(F.col(column)).alias("seq", "r")).select(F.col("seq").cast("long").alias("seq"), "r.*")
+        return parsed.select(F.posexplode(F.col(column)).alias("seq", "r")).select(F.col("seq").cast("long").alias("seq"), "r.*" if column != "agents" else F.col("r").alias("id"))
 
     bindings = []
     for f in FIELDS:
-        each = documents.select(F.explode(F.map_entries(f)).alias("e")).select(F.lit(f).alias("field"), F.col("e.key").alias("node"), F.posexplode("e.value").alias("seq", "b"))
-        bindings.append(each.select("field", "node", F.col("seq").cast("long").alias("seq"), F.col("b.policy").alias("policy"), default_prov(F.col("b.prov")).alias("prov")))
+        each = parsed.select(F.explode(F.map_entries(f)).alias("e")).select(F.lit(f).alias("field"), F.col("e.key").alias("node"), F.posexplode("e.value").alias("seq", "b"))
+        bare = F.when(F.schema_of_variant("b") == "STRING", F.try_variant_get("b", "$", "string"))
+        policy = F.coalesce(bare, F.try_variant_get("b", "$.policy", "string"))
+        prov = F.try_variant_get("b", "$.provenance", _PROV.split(":", 1)[1])
+        bindings.append(each.select("field", "node", F.col("seq").cast("long").alias("seq"), policy.alias("policy"), default_prov(prov).alias("prov")))
     grants, access, exc = rows("grants"), rows("data_access"), rows("expected_exceptions")
-    return Manifest(
+    made = Manifest(
         agents=rows("agents"),
         policies=rows("policies"),
         grants=grants.select("seq", "agent", F.col("tool").alias("ref"), "granted_by", default_prov(F.col("provenance")).alias("prov")),
@@ -81,6 +108,7 @@ def flatten(documents: DataFrame) -> Manifest:
         bindings=reduce(DataFrame.unionByName, bindings),
         exceptions=exc.select("seq", "agent", F.col("tool").alias("ref"), "policy", "resource", "reason"),
     )
+    return made, got.filter("problem is not null")
 
 
 def warning(rows: DataFrame, code: str, subject: Column, message: Column) -> DataFrame:

@@ -69,9 +69,9 @@ def canonical_uri(uri: Column) -> Column:
 
     A value that is not of the form scheme:rest stays as it is.
     """
-    shape = r"^([A-Za-z][A-Za-z0-9+.-]*):(.*)$"
+    shape = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*):(.*)\z"
     scheme, rest = F.lower(F.regexp_extract(uri, shape, 1)), F.regexp_extract(uri, shape, 2)
-    web = r"(?s)^//([^/?#]*@)?([^/?#@:]+|\[[^\]]*\])(?::([0-9]*))?(/[^?#]*)?([?#].*)?$"
+    web = r"(?s)^//([^/?#]*@)?([^/?#@:]+|\[[^\]]*\])(?::([0-9]*))?(/[^?#]*)?([?#].*)?\z"
     user, host, port, path, tail = (F.regexp_extract(rest, web, i) for i in range(1, 6))
     implied = F.coalesce(*[F.when(scheme == s, F.lit(p)) for s, p in DEFAULT_PORTS.items()], F.lit(""))
     shown_port = F.when((port == "") | (port == implied), "").otherwise(F.concat(F.lit(":"), port))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palisade.operators import selector
+from palisade.operators.scan import numbered, with_previous
 from palisade.operators.scrub import is_credential_shaped
 from palisade.sources.model import Graph
 
@@ -40,17 +41,16 @@ def candidate_id(namespace: str, version: int, kind: str) -> Column:
 
 
 def sequence_gaps(events: DataFrame) -> DataFrame:
-    """(report, seq): events out of the sequence 1..n of their report."""
-    place = F.row_number().over(Window.partitionBy("report").orderBy("seq"))
-    return events.withColumn("_n", place).filter(F.col("seq") != F.col("_n")).select("report", "seq")
+    """(report, seq): events out of the sequence 1..n of their report, however long that is."""
+    return numbered(events.select("report", "seq"), ["report"], ["seq"], "_n").filter(F.col("seq") != F.col("_n")).select("report", "seq")
 
 
 def chain_breaks(events: DataFrame, candidates: DataFrame) -> DataFrame:
     """(report, seq, problem): unknown candidates, and events whose from_disposition is not the one before (first: open)."""
-    before = F.lag("disposition", 1, "open").over(Window.partitionBy("report", "candidate").orderBy("seq"))
+    slim = events.select("report", "candidate", "seq", "disposition", "from_disposition")
     known = candidates.select("report", "candidate", F.lit(True).alias("_k")).distinct()
-    got = events.withColumn("_before", before).join(known, ["report", "candidate"], "left")
-    problem = F.when(F.col("_k").isNull(), "unknown candidate").when(~F.col("from_disposition").eqNullSafe(F.col("_before")), "broken chain")
+    got = with_previous(slim, ["report", "candidate"], ["seq"], "disposition", "_before").join(known, ["report", "candidate"], "left")
+    problem = F.when(F.col("_k").isNull(), "unknown candidate").when(~F.col("from_disposition").eqNullSafe(F.coalesce("_before", F.lit("open"))), "broken chain")
     return got.select("report", "seq", problem.alias("problem")).filter("problem is not null")
 
 
@@ -65,11 +65,11 @@ def append_events(old: DataFrame, new: DataFrame) -> DataFrame:
     """new(report, candidate, disposition, at, ...) with the next sequence numbers and current from_disposition."""
     most = old.groupBy("report").agg(F.max("seq").alias("_m"))
     last = old.groupBy("report", "candidate").agg(F.max_by("disposition", "seq").alias("_d"))
-    order = [F.col("at"), F.col("candidate")]
-    seq = F.coalesce("_m", F.lit(0)) + F.row_number().over(Window.partitionBy("report").orderBy(*order))
-    before = F.lag("disposition").over(Window.partitionBy("report", "candidate").orderBy(*order))
-    got = new.join(most, "report", "left").join(last, ["report", "candidate"], "left")
-    return got.withColumns({"seq": seq, "from_disposition": F.coalesce(before, "_d", F.lit("open"))}).drop("_m", "_d")
+    placed = with_previous(new, ["report", "candidate"], ["at"], "disposition", "_before")
+    placed = numbered(placed, ["report"], ["at", "candidate"], "_n")
+    got = placed.join(most, "report", "left").join(last, ["report", "candidate"], "left")
+    seq = F.coalesce("_m", F.lit(0)) + F.col("_n")
+    return got.select(*new.columns, seq.alias("seq"), F.coalesce("_before", "_d", F.lit("open")).alias("from_disposition"))
 
 
 def field_problems(events: DataFrame) -> DataFrame:

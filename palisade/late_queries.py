@@ -14,6 +14,7 @@ from palisade.plans import control
 from palisade.queries import query
 from palisade.sources import artifacts, snapshots
 from palisade.sources.lens import AFTER_SQL, Lens, StoredLens
+from palisade.sources.snapshots import stored
 
 
 def _re2(pattern: str) -> str:
@@ -296,6 +297,12 @@ def p11_output_check(x: Lens) -> DataFrame:
 class PlanLens(StoredLens):
     @cached_property
     def plans(self) -> control.Plans:
+        """The plan tables, each written to the shared folder once, as several steps of a query read them."""
+        p = self._plans
+        return control.Plans(stored(p.plans), stored(p.principals), stored(p.nodes), stored(p.edges))
+
+    @property
+    def _plans(self) -> control.Plans:
         supplier = self.table("supplier").select("s_suppkey", "s_name")
         li = self.table("lineitem").join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         li = li.select("l_orderkey", "l_linenumber", "l_quantity", F.concat("s_name", F.lit("::part-"), F.col("l_partkey").cast("string")).alias("tool_key"))
@@ -542,9 +549,9 @@ _FLOWS = _ASKED + """, acts as materialized (select distinct n.run_id, n.node, a
   flows as materialized (select d.run_id, d.seed as reader, d.node as writer, d.depth, r.tool_key as read_tool, r.uri as read_uri, w.tool_key as write_tool, w.uri as write_uri from dist d join acts r on r.run_id = d.run_id and r.node = d.seed and r.mode = 'READS' join acts w on w.run_id = d.run_id and w.node = d.node and w.mode = 'WRITES')"""
 
 
-def _flows(x: PlanLens) -> DataFrame:
+def _flows(x: PlanLens, paths: bool = False) -> DataFrame:
     agents = x.plans.nodes.filter("kind = 'agent'").select("run_id", "node").join(x.plans.principals.select("run_id", "principal").distinct(), "run_id")
-    return control.exposures(x.plans, agents, x.graph, control.principal_decisions(x.plans, x.graph))
+    return control.exposures(x.plans, agents, x.graph, control.principal_decisions(x.plans, x.graph), paths)
 
 
 @plan_query(_FLOWS + " select run_id, reader, writer, depth, read_tool, read_uri, write_tool, write_uri from flows")
@@ -554,7 +561,7 @@ def c12_exposures(x: PlanLens) -> DataFrame:
 
 @plan_query(_FLOWS + " select distinct run_id, reader, writer, depth + 1 as hops from flows")
 def c13_witness_path(x: PlanLens) -> DataFrame:
-    return control.witness_paths(x.plans, _flows(x)).select("run_id", "reader", "writer", F.size("path").alias("hops"))
+    return _flows(x, paths=True).select("run_id", "reader", "writer", F.size("path").alias("hops")).distinct()
 
 
 @plan_query(_FLOWS + " select run_id, count(*) as pairs, least(count(*), 2) as shown, count(*) > 2 as truncated from flows group by 1")

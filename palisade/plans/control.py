@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from palisade.operators import selector
 from palisade.operators.scrub import is_credential_identity, is_credential_shaped
 from palisade.sources.model import Graph
 from palisade.sources.schema import Fields, Flag, Items, Text, Whole, as_list, checked, repeats, texts
-from palisade.sources.snapshots import cut
+from palisade.sources.snapshots import cut, stored
 
 MOST_EXPOSURES, MOST_PATH = 100, 32
 #: Larger plans are refused. Fixed values of the plan contract; they bound what one plan costs a task.
@@ -288,25 +289,141 @@ def _layers(after: Steps, seed: str) -> Iterator[list[tuple[str, str]]]:
         layer = [v for v, _ in new]
 
 
-def reach(edges: DataFrame, seeds: DataFrame, ends: DataFrame | None = None) -> DataFrame:
-    """(run_id, seed, node, depth): nodes on a path from each seed, at their least depth; seeds at 0.
-
-    ends(run_id, node), if given, are the only nodes that are returned.
-    """
-    some = ends is not None
-    asked = seeds.select("run_id", "node", F.lit(False).alias("end"))
-    if some:
-        asked = asked.union(ends.select("run_id", "node", F.lit(True)))
+def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(run_id, seed, node, depth): nodes on a path from each seed, at their least depth; seeds at 0."""
 
     def walk(after: Steps, values: list) -> Iterator[tuple]:
-        last = {v["node"] for v in values if v["end"]}
-        for seed in (v["node"] for v in values if not v["end"]):
-            if not some or seed in last:
-                yield seed, seed, 0
+        for seed in (v["node"] for v in values):
+            yield seed, seed, 0
             for depth, layer in enumerate(_layers(after, seed), 1):
-                yield from ((seed, v, depth) for v, _ in layer if not some or v in last)
+                yield from ((seed, v, depth) for v, _ in layer)
+
+    return _each_plan(edges, _values(seeds, "node"), walk, "seed string, node string, depth int")
+
+
+FAR = np.iinfo(np.uint16).max
+
+
+class Distances:
+    """How far every node of a plan is from each of some targets, by bit sets of targets.
+
+    Strongly connected components reach the same targets, so one closure over
+    the components in their order tells which nodes matter at all; only these
+    are walked. A round moves every node's set of newly met targets one edge
+    back, all targets at once.
+    """
 
-    return _each_plan(edges, _values(asked, "node", "end"), walk, "seed string, node string, depth int")
+    def __init__(self, after: Steps, targets: list[str]):
+        names = sorted({*after, *targets, *(v for vs in after.values() for v in vs)})
+        self.names, self.targets = names, {t: i for i, t in enumerate(targets)}
+        self.number = number = {v: i for i, v in enumerate(names)}
+        self.next = [sorted(number[v] for v in after.get(u, ())) for u in names]  # numbers sort like names
+        n, words = len(names), (len(targets) + 63) // 64
+        self.far = np.full((n, len(targets)), FAR, dtype=np.uint16)
+        bits = np.zeros((n, words), dtype=np.uint64)
+        for t, i in self.targets.items():
+            bits[number[t], i // 64] |= np.uint64(1 << (i % 64))
+            self.far[number[t], i] = 0
+        matters = self._closure(bits)
+        edges = [(u, v) for u in range(n) if matters[u] for v in self.next[u] if matters[v]]
+        if not edges:
+            return
+        ends = np.array([v for _, v in edges])
+        heads, begins = np.unique([u for u, _ in edges], return_index=True)
+        seen, fresh, depth = bits.copy(), bits, 0
+        while fresh.any():
+            depth += 1
+            met = np.zeros_like(bits)
+            met[heads] = np.bitwise_or.reduceat(fresh[ends], begins, axis=0)
+            fresh = met & ~seen
+            seen |= fresh
+            rows = np.flatnonzero(fresh.any(axis=1))
+            hit = np.unpackbits(fresh[rows].view(np.uint8), axis=1, bitorder="little")[:, : len(targets)].astype(bool)
+            at, which = np.nonzero(hit)
+            self.far[rows[at], which] = depth
+
+    def _closure(self, own: np.ndarray) -> list[bool]:
+        """Whether any target lies on or ahead of each node, by components in reverse order."""
+        part = components(self.next)
+        ahead = [own[0] * 0 if len(own) else None] * (max(part, default=-1) + 1)
+        members: list[list[int]] = [[] for _ in ahead]
+        for v, c in enumerate(part):
+            members[c].append(v)
+        for c, nodes in enumerate(members):  # what a component leads to has smaller numbers
+            total = np.bitwise_or.reduce(own[nodes], axis=0)
+            for v in nodes:
+                for w in self.next[v]:
+                    if part[w] != c:
+                        total = total | ahead[part[w]]
+            ahead[c] = total
+        return [bool(ahead[c].any()) for c in part]
+
+    def path(self, source: str, target: str) -> list[str]:
+        """A shortest path, the least by name: of the nodes one step nearer, the first by name each time."""
+        t, at = self.targets[target], self.number[source]
+        out = [source]
+        for left in range(int(self.far[at, t]) - 1, -1, -1):
+            at = next(v for v in self.next[at] if self.far[v, t] == left)
+            out.append(self.names[at])
+        return out
+
+
+def components(after: list[list[int]]) -> list[int]:
+    """The number of each node's strongly connected component; a component leads only to itself and smaller numbers."""
+    order, low, part = [-1] * len(after), [0] * len(after), [-1] * len(after)
+    count = found = 0
+    held: list[int] = []
+    for root in range(len(after)):
+        if order[root] >= 0:
+            continue
+        calls = [(root, 0)]
+        while calls:
+            v, i = calls.pop()
+            if i == 0:
+                order[v] = low[v] = count
+                count += 1
+                held.append(v)
+            elif part[after[v][i - 1]] < 0:
+                low[v] = min(low[v], low[after[v][i - 1]])
+            while i < len(after[v]):
+                w = after[v][i]
+                i += 1
+                if order[w] < 0:
+                    calls.append((v, i))
+                    calls.append((w, 0))
+                    break
+                if part[w] < 0:
+                    low[v] = min(low[v], order[w])
+            else:
+                if low[v] == order[v]:
+                    while part[v] < 0:
+                        part[held.pop()] = found
+                    found += 1
+    return part
+
+
+def flows(edges: DataFrame, readers: DataFrame, writers: DataFrame, paths: bool = False) -> DataFrame:
+    """(run_id, reader, writer, depth) of (run_id, node) tables: writers that a path leads to from another node, a reader; with `path` if asked.
+
+    One walk gives both. A path is a shortest one, the least by name.
+    """
+    asked = readers.select("run_id", "node", F.lit(False).alias("end")).union(writers.select("run_id", "node", F.lit(True)))
+
+    def walk(after: Steps, values: list) -> Iterator[tuple]:
+        targets = sorted(v["node"] for v in values if v["end"])
+        seeds = sorted(v["node"] for v in values if not v["end"])
+        if not targets or not seeds:
+            return
+        known = Distances(after, targets)
+        for seed in seeds:
+            if seed not in known.number:
+                continue
+            far = known.far[known.number[seed]]
+            for i in np.flatnonzero((far < FAR) & (far > 0)):
+                row = (seed, targets[i], int(far[i]))
+                yield (*row, known.path(seed, targets[i])) if paths else row
+
+    return _each_plan(edges, _values(asked, "node", "end"), walk, "reader string, writer string, depth int" + (", path array<string>" if paths else ""))
 
 
 def _single(p: Plans, kind: str) -> DataFrame:
@@ -379,38 +496,36 @@ def principal_decisions(p: Plans, graph: Graph, profile: str = "strict") -> Data
     return both.select("run_id", F.col("agent").alias("principal"), F.col("ref").alias("tool"), "tool_key", reason.alias("reason"))
 
 
-def exposures(p: Plans, callers: DataFrame, graph: Graph, decisions: DataFrame) -> DataFrame:
-    """(run_id, reader, writer, depth, read_tool, read_uri, write_tool, write_uri): reads that can flow into later writes.
-
-    callers(run_id, node, principal). Only nodes that read are seeds, and only
-    nodes that write are looked for.
-    """
+def _acts(callers: DataFrame, graph: Graph, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(reads, writes) that the callers' eligible tools make."""
     fine = decisions.filter("reason is null").select("run_id", "principal", "tool_key")
     acts = callers.join(fine, ["run_id", "principal"]).join(graph.data_access.select("tool_key", "mode", "uri"), "tool_key").select("run_id", "node", "tool_key", "mode", "uri").distinct()
+    acts = stored(acts)
     reads = acts.filter("mode = 'READS'").select("run_id", F.col("node").alias("reader"), F.col("tool_key").alias("read_tool"), F.col("uri").alias("read_uri"))
-    writes = acts.filter("mode = 'WRITES'").select("run_id", F.col("node").alias("writer"), F.col("tool_key").alias("write_tool"), F.col("uri").alias("write_uri"))
-    flows = reach(p.edges, reads.select("run_id", F.col("reader").alias("node")), writes.select("run_id", F.col("writer").alias("node"))).filter("depth > 0")
-    pairs = flows.select("run_id", F.col("seed").alias("reader"), F.col("node").alias("writer"), "depth")
-    return pairs.join(writes, ["run_id", "writer"]).join(reads, ["run_id", "reader"]).select("run_id", "reader", "writer", "depth", "read_tool", "read_uri", "write_tool", "write_uri")
+    return reads, acts.filter("mode = 'WRITES'").select("run_id", F.col("node").alias("writer"), F.col("tool_key").alias("write_tool"), F.col("uri").alias("write_uri"))
+
+
+def exposures(p: Plans, callers: DataFrame, graph: Graph, decisions: DataFrame, paths: bool = False) -> DataFrame:
+    """(run_id, reader, writer, depth, read_tool, read_uri, write_tool, write_uri): reads that can flow into later writes; with the witness path if asked.
+
+    callers(run_id, node, principal). Only nodes that read are sources, and
+    only nodes that write are looked for.
+    """
+    reads, writes = _acts(callers, graph, decisions)
+    pairs = flows(p.edges, reads.select("run_id", F.col("reader").alias("node")), writes.select("run_id", F.col("writer").alias("node")), paths)
+    shown = pairs.withColumn("path", compressed(F.col("path"))) if paths else pairs
+    return shown.join(writes, ["run_id", "writer"]).join(reads, ["run_id", "reader"]).select("run_id", "reader", "writer", "depth", "read_tool", "read_uri", "write_tool", "write_uri", *(["path"] if paths else []))
 
 
 def witness_paths(p: Plans, pairs: DataFrame) -> DataFrame:
-    """(run_id, reader, writer, path): a shortest path of each pair, the least by name, long ones shortened in the middle."""
+    """(run_id, reader, writer, path): a shortest path of each asked pair, the least by name, long ones shortened in the middle."""
 
     def walk(after: Steps, values: list) -> Iterator[tuple]:
-        wanted: Steps = {}
+        known = Distances(after, sorted({v["writer"] for v in values}))
         for v in values:
-            wanted.setdefault(v["reader"], set()).add(v["writer"])
-        for reader, writers in wanted.items():
-            before: dict[str, str] = {}
-            for layer in _layers(after, reader):
-                before.update(layer)
-                for writer in (v for v, _ in layer if v in writers):
-                    path, at = [writer], writer
-                    while at != reader:
-                        at = before[at]
-                        path.append(at)
-                    yield reader, writer, path[::-1]
+            reader, writer = v["reader"], v["writer"]
+            if reader in known.number and 0 < known.far[known.number[reader], known.targets[writer]] < FAR:
+                yield reader, writer, known.path(reader, writer)
 
     found = _each_plan(p.edges, _values(pairs, "reader", "writer"), walk, "reader string, writer string, path array<string>")
     return found.withColumn("path", compressed(F.col("path")))

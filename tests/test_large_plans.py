@@ -27,11 +27,50 @@ def test_a_chain_of_the_most_nodes(spark):
     assert time.time() - began < 60
 
 
+def written(k: int) -> str:
+    nodes = [{"id": f"n{i}", "kind": "router", "principals": ["p"], "agent_call": False} for i in range(k)]
+    limits = {"maximum_agent_calls": 1, "maximum_parallelism": 1, "maximum_cycles": 0}
+    return json.dumps({"schema_version": 1, "kind": "any.control-plan", "run_id": str(k), "producer": {"name": "x", "version": "1"}, "principals": [{"id": "p", "candidate_tools": ["a::b"]}], "nodes": nodes, "edges": [], "limits": limits})
+
+
 def test_plans_beyond_the_bounds_are_refused(spark):
-    doc = lambda k: json.dumps({"run_id": str(k), "nodes": [{"id": f"n{i}"} for i in range(k)], "edges": [], "limits": {}})
-    rows = spark.createDataFrame([(doc(k),) for k in (3, control.MOST_NODES, control.MOST_NODES + 1)], "value string")
+    rows = spark.createDataFrame([(written(k), k) for k in (3, control.MOST_NODES, control.MOST_NODES + 1)] + [("x" * (control.MOST_BYTES + 1), 0), (None, -1)], "value string, at long")
     got, refused = control.read_plans(rows)
-    assert {r.run_id for r in got.plans.collect()} == {"3", str(control.MOST_NODES)} and refused.count() == 1
+    assert {r.run_id for r in got.plans.collect()} == {"3", str(control.MOST_NODES)} and got.nodes.count() == 3 + control.MOST_NODES
+    assert {r["at"]: r.problem for r in refused.collect()} == {control.MOST_NODES + 1: "nodes: has too many items", 0: "too long", -1: "not JSON"}
+
+
+def test_a_dense_plan_of_the_largest_size(spark):
+    rng = random.Random(5)
+    names = [f"n{i:04}" for i in range(control.MOST_NODES)]
+    edges = [(rng.choice(names), rng.choice(names)) for _ in range(control.MOST_EDGES)]
+    p = plan(spark, edges, names)
+    some = lambda: spark.createDataFrame([("r", v) for v in rng.sample(names, 1000)], "run_id string, node string")
+    readers, writers = some(), some()
+    began = time.time()
+    got = control.flows(p.edges, readers, writers).groupBy("reader").count().collect()
+    assert time.time() - began < 60 and sum(r["count"] for r in got) > 500_000
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_distances_and_paths_against_plain_search(seed):
+    rng = random.Random(seed)
+    names = [f"n{i}" for i in range(25)]
+    after: dict = {}
+    for _ in range(rng.choice([10, 30, 60])):
+        after.setdefault(rng.choice(names), set()).add(rng.choice(names))
+    targets = sorted(rng.sample(names, 8))
+    known = control.Distances(after, targets)
+    for s in known.names:
+        best, layer = {s: [s]}, [[s]]
+        while layer:
+            layer = sorted([*path, v] for path in layer for v in after.get(path[-1], ()) if v not in best)
+            for path in layer:
+                best.setdefault(path[-1], path)
+            layer = [p for p in layer if best[p[-1]] is p]
+        for t in targets:
+            far = known.far[known.number[s], known.targets[t]]
+            assert (far == control.FAR) == (t not in best) and (t not in best or known.path(s, t) == best[t])
 
 
 def test_ranking_over_ranges(spark):

@@ -879,7 +879,15 @@ def x3_display_resource(x: Lens) -> DataFrame:
     return x.table("pages").select("page_id", scrub.display_resource(F.col("url")).alias("shown"))
 
 
-_REDACTED = reduce(lambda t, rule: f"regexp_replace({t}, {_re2(rule[0])}, '{rule[1].replace('$1', chr(92) + '1')}', 'g')", scrub.redactions(), "text")
+def _hidden_sql(text: str, names: tuple[str, ...]) -> str:
+    """What SQL can say of a value: replace it by its form, one group of names at a time."""
+    sign, ends = "[\\x27\\x22]?\\s*[:=]\\s*", "(?:[\\x27\\x22\\[{{](?:.|\\n)*|[^\\s,}}\\]]+)".replace("{{", "{").replace("}}", "}")
+    return f"regexp_replace({text}, '(?i)({'|'.join(names)}){sign}{ends}', '\\1={scrub.HIDDEN}', 'g')"
+
+
+_HEADER_SQL = f"regexp_replace(text, '(?i)authorization[\\x27\\x22]?\\s*[:=]\\s*\\S(?:.|\\n)*', 'Authorization={scrub.HIDDEN}')"
+_BEARER_SQL = f"regexp_replace({_HEADER_SQL}, '(?i)\\b(bearer)\\s+[A-Za-z0-9._~+/=-]+', '\\1 {scrub.HIDDEN}', 'g')"
+_REDACTED = reduce(_hidden_sql, scrub.ASSIGNED, _BEARER_SQL)
 
 
 @query(f"select doc_id, {_REDACTED} as text from documents", lens=False)

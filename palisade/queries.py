@@ -345,8 +345,8 @@ def f8_eligible_tools(x: Lens) -> DataFrame:
 
 @query(
     f""", e as (select distinct agent, candidate as ref, tool_key, case when reason is null then 'eligible' else 'rejected' end as decision, risk_score, found, ambiguous, permitted, is_drifted, is_unmapped, has_unbacked_edges, (classification is not null)::int as denied, read_only_hint, destructive_hint from {_ELIGIBLE})
-  select agent, ref, tool_key, decision, risk_score, case when not found then 'no tool named ''' || ref || ''' in the graph' when ambiguous then 'bare name matches multiple servers: ' || (select array_to_string(keys, ', ') from resolved r where r.ref = e.ref) || ' - pass the server-qualified key; never auto-selected'
-    when permitted then 'agent has CAN_CALL grant' else 'agent has no CAN_CALL grant' end as first_sentence from e"""
+  select agent, ref, tool_key, decision, risk_score, case when not found then 'The graph has no tool called ''' || ref || '''.' when ambiguous then 'Several tools have this name: ' || (select array_to_string(keys, ', ') from resolved r where r.ref = e.ref) || '. None is chosen; name one as server::tool.'
+    when permitted then 'The agent holds a grant for this tool.' else 'The agent holds no grant for this tool.' end as first_sentence from e"""
 )
 def f9_selection_explain(x: Lens) -> DataFrame:
     got = selector.selection_explain(x.graph, x.candidates)

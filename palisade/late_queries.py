@@ -151,10 +151,79 @@ def b13_state_checks(x: Lens) -> DataFrame:
     return rows.select("state", F.explode(decisions.state_checks()).alias("problem"))
 
 
-@query(_TWO + ", r as (select * from impact_ where pos % 5 <> 0) select agent, ref, 'missing' as problem from (select distinct agent, ref from candidates) anti join (select distinct agent, ref from r) using (agent, ref)")
+#: Ways to damage a reviewed comparison.
+_IMPACTS = [
+    ("$", "", None),
+    ('"schema_version":1', '"schema_version":true', "schema_version: must be an integer"),
+    ('"mode":"advisory"', '"mode":"binding"', "mode: must be one of the known values"),
+    ('"mode":"advisory"', '"mode":"advisory","mode":"advisory"', "not JSON"),
+    ('"generation":7', '"generation":NaN', "not JSON"),
+    ('"generation":7', '"generation":-1', "graph_state.generation: must be at least 0"),
+    ('"complete":true', '"complete":1', "complete: must be true or false"),
+    ('"complete":true', '"complete":false', "is not complete"),
+    ('00:00Z"', '00:00"', "created_at: has another form"),
+    ('"catalog_digest":"[0-9a-f]', '"catalog_digest":"', "catalog_digest: has another form"),
+    (r'"candidates":\["', '"candidates":["~~~","', "names candidates out of order or twice"),
+    (r'"candidates":\[[^\]]*\]', '"candidates":[]', "candidates: has too few items"),
+    (r'"candidates":\[[^\]]*\]', '"candidates":["x"]', "has other rows than candidates"),
+    (r'"rows":\[', '"rows":[{"candidate":"x"},', "rows.0.before: is missing"),
+    ('"notices"', '"more":1,"notices"', "has an unknown field"),
+    ('"agent_found":true', '"agent_found":null', "rows.0.before.agent_found: must not be null"),
+    ('"evidence":', '"evidence":null,"old":', "rows.0.before.evidence: must not be null"),
+    ('"risk_score":[^,]*', '"risk_score":1.5', "rows.0.before.risk_score: is out of bounds"),
+    ('"change":"[a-z_]+"', '"change":"sideways"', "rows.0.change: must be one of the known values"),
+    ('"details_changed":', '"details_changed":null,"old":', "rows.0.details_changed: must not be null"),
+    ('"agent":"', '"agent":" ', "agent: has another form"),
+    ('"regression_ready":', '"regression_ready":"yes","old":', "regression_ready: must be true or false"),
+    ('"profile":"strict"', '"profile":"strict","catalog_digest":"x"', "not JSON"),
+]
+
+
+def _reviewed(x: Lens) -> DataFrame:
+    """(agent, value): each agent's candidates decided before and after the proposed manifest, as an artifact damaged by the agent's number."""
+    some = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    told = F.struct("decision", "reason", "tool_key", F.lit(True).alias("agent_found"), "risk_score", F.array().cast("array<struct<a:int>>").alias("evidence"), some("boolean", "is_drifted"), some("boolean", "is_unmapped"), some("boolean", "has_unbacked_edges"))
+    old = decisions.decided(x.graph, x.candidates).select("agent", "pos", "ref", told.alias("before"))
+    new = decisions.hypothetical(x.proposed, x.graph, x.candidates).select("agent", "pos", "ref", told.alias("after"))
+    both = old.join(new, ["agent", "pos", "ref"])
+    change = decisions.change_of(F.col("before.decision"), F.col("after.decision"))
+    row = F.struct(F.col("ref").alias("candidate"), "before", "after", change.alias("change"), (F.to_json("before") != F.to_json("after")).alias("details_changed"))
+    rows = both.groupBy("agent", "ref").agg(F.max(F.struct("pos", row.alias("x"))).alias("m")).groupBy("agent").agg(F.array_sort(F.collect_list(F.struct("ref", "m.x"))).alias("rows"))
+    digest = lambda c, name: F.sha2(F.lit(c), 256).alias(name)
+    state = F.struct(F.lit("one").alias("instance_id"), F.lit(7).alias("generation")).alias("graph_state")
+    ready = F.forall("rows", lambda r: r["x"]["change"] != "unresolved").alias("regression_ready")
+    value = F.to_json(
+        F.struct(
+            F.lit(1).alias("schema_version"), F.lit("any.policy-impact").alias("kind"), F.lit("advisory").alias("mode"), F.lit("2026-01-01T00:00:00Z").alias("created_at"), state, digest("a", "baseline_governance_digest"), digest("b", "proposed_governance_digest"), digest("c", "catalog_digest"),
+            "agent", F.lit("strict").alias("profile"), F.col("rows.ref").alias("candidates"), F.lit(True).alias("complete"), F.transform("rows", lambda r: r["x"]).alias("rows"), ready, F.array().cast("array<string>").alias("notices"),
+        ),
+        {"ignoreNullFields": "false"},
+    )
+    return rows.select("agent", _damaged(value, _IMPACTS, F.right("agent", F.lit(9)).cast("int")).alias("value"))
+
+
+@query(
+    _TWO
+    + f""", r as (select * from impact_ where pos % 5 <> 0), told as (select distinct agent, {_told(_IMPACTS, "cast(right(agent, 9) as int)")} as problem from candidates)
+  select 'expected' as part, agent, ref, null as change, 'missing' as problem from (select distinct agent, ref from candidates) anti join (select distinct agent, ref from r) using (agent, ref)
+  union all select 'refused', agent, null, null, problem from told where problem is not null
+  union all select 'row', agent, ref, arg_max(change, pos), null from impact_ where agent in (select agent from told where problem is null) group by agent, ref
+  union all select 'report', agent, null, bool_and(change <> 'unresolved')::varchar, null from impact_ where agent in (select agent from told where problem is null) group by agent"""
+)
 def s7_expectation_intake(x: Lens) -> DataFrame:
-    rows = snapshots.cut(_impact(x).filter("pos % 5 <> 0"))
-    return decisions.expectation_problems(rows, x.candidates).filter("problem = 'missing'")
+    """Reviewed comparisons written as artifacts and read back: which are refused and where, the rows of the others, and expectations that are missing."""
+    path = f"{snapshots.shared_dir(x.spark)}/impacts-{uuid.uuid4().hex}"
+    _reviewed(x).write.parquet(path)
+    reports, rows, refused = decisions.read_impacts(x.spark.read.parquet(path))
+    none = lambda name: F.lit(None).cast("string").alias(name)
+    expected = snapshots.cut(_impact(x).filter("pos % 5 <> 0"))
+    missing = decisions.expectation_problems(expected, x.candidates).filter("problem = 'missing'").select(F.lit("expected").alias("part"), "agent", "ref", none("change"), "problem")
+    parts = [
+        refused.select(F.lit("refused").alias("part"), "agent", none("ref"), none("change"), "problem"),
+        rows.select(F.lit("row").alias("part"), "agent", "ref", "change", none("problem")),
+        reports.select(F.lit("report").alias("part"), "agent", none("ref"), F.col("regression_ready").cast("string").alias("change"), none("problem")),
+    ]
+    return reduce(DataFrame.unionByName, parts, missing)
 
 
 @query("select tool_key as key, tool as name, server, read_only_hint, destructive_hint from tools where exposed")

@@ -15,6 +15,7 @@ import html as entities
 import re
 from collections import deque
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from palisade.llm.spans import map_texts
 
 #: Markup, comments and text; a stray "<" counts as text.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.S)
+ATTRIBUTE = re.compile(r"(?<![^\s\"'])([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 
 BREAKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,6 +36,7 @@ UNREAD = frozenset("script style noscript template textarea title iframe svg sel
 RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in "script style textarea title iframe noscript".split()}
 #: An opening tag of these ends an open one of the second set.
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
+ENDABLE = frozenset("p li dt dd tr td th".split())
 ENDS |= {t: {"p"} for t in "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()}
 
 BOILER_TAGS = frozenset("nav footer aside menu dialog".split())
@@ -45,6 +47,13 @@ BOILER_NAMES = frozenset(
     "newsletter notice notices overlay pager pagination popup promo promoted promotion share sharing sidebar sidenav signup sponsor sponsored subscribe subscription".split()
 )
 WEAK_NAMES = frozenset("alert bylinks header links notification notifications reactions related reply replies respond responses search skip social tags teaser toolbar topbar widget widgets".split())
+#: Names of the first set that mean the same whatever stands beside them.
+PLAIN_NAMES = frozenset("advertisement advertising breadcrumb breadcrumbs commentlist consent cookie cookies disqus gdpr masthead navbar navigation newsletter pagination popup sidebar sidenav".split())
+#: Parts of a class or id that leave the meaning of the parts beside them; with any other part beside it (notice-of-meeting, related-work) a name marks nothing.
+NEUTRAL = frozenset(
+    "area bar block bottom box button buttons center cell clear col column container content desktop element entry fixed float global group head header holder icon inline inner item items label large left level line list main mobile "
+    "module new outer page panel placeholder position post primary region right root row secondary section side site size slot small sticky strip sub table text thread title top unit view wrap wrapper zone".split()
+)
 #: A name with one of these beside it describes a layout (has-sidebar), not the element.
 LAYOUT = frozenset("has have with without no show hide is enable enabled disable disabled".split())
 CONTENT_TAGS = frozenset(("article", "main"))
@@ -62,12 +71,20 @@ NEXT, SIBLING = 1.0, 0.45
 EVIDENCE, CUE = 2.5, 1.0
 
 
+class Place(NamedTuple):
+    """A block element's place in the tree: the one around it, its depth, its number."""
+
+    up: Place | None
+    depth: int
+    number: int
+
+
 @dataclass
 class Node:
-    """An open element: its tag, and what it says of the text under it; `named` has the names that mark boilerplate."""
+    """An open element: its tag, its place (that of the nearest block element), and what it says of the text under it; `named` has the names that mark boilerplate."""
 
     tag: str
-    number: int
+    place: Place
     boiler: bool
     named: frozenset
     content: bool
@@ -76,18 +93,29 @@ class Node:
 
 @dataclass
 class Found:
-    """A text block: raw pieces, the numbers of the block elements around it, its zone (`named`: cost of the names), and letters inside links."""
+    """A text block: raw pieces, its element's place, its zone (`named`: cost of the names), letters inside links, and letters inside inline elements that names mark, by their cost."""
 
-    path: tuple[int, ...]
+    place: Place
     tag: str
     boiler: bool
     named: float
     content: bool
     pieces: list = field(default_factory=list)
     linked: int = 0
+    told: dict = field(default_factory=dict)
     text: str = ""
 
 
+def _parts(word: str) -> set[str]:
+    """The parts of a class or id that tell what it marks, if they all do or are neutral; numbers are neutral."""
+    parts = {p for p in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", word).lower()) if p}
+    if parts & LAYOUT:
+        return set()
+    if parts & (BOILER_NAMES | WEAK_NAMES) and not parts & PLAIN_NAMES and not parts <= BOILER_NAMES | WEAK_NAMES | NEUTRAL | CONTENT_NAMES:
+        return parts & CONTENT_NAMES
+    return parts
+
+
 def _zone(tag: str, attrs: str, up: Node) -> tuple[bool, frozenset, bool, bool]:
     """(boilerplate, boilerplate names, content, hidden) of an element under `up`, by its tag, role, class and id.
 
@@ -97,15 +125,14 @@ def _zone(tag: str, attrs: str, up: Node) -> tuple[bool, frozenset, bool, bool]:
     names: set[str] = set()
     hidden = up.hidden
     if attrs:
-        for key, a, b, c, bare in ATTRIBUTE.findall(attrs):
+        for key, a, b, c in ATTRIBUTE.findall(attrs):
             key, value = key.lower(), a or b or c
             if key in ("class", "id"):
                 for word in value.split():
-                    parts = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", word).lower()))
-                    names.update(parts if not parts & LAYOUT else ())
+                    names |= _parts(word)
             elif key == "role":
                 names.add("role:" + value.strip().lower())
-            hidden = hidden or bool(bare) or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", ""))
+            hidden = hidden or key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and "display:none" in value.replace(" ", "").lower())
     roles = {n[5:] for n in names if n.startswith("role:")}
     whole = tag in CONTENT_TAGS or bool(roles & {"main", "article"})
     good = whole or bool(names & CONTENT_NAMES)
@@ -118,10 +145,30 @@ def _zone(tag: str, attrs: str, up: Node) -> tuple[bool, frozenset, bool, bool]:
     return up.boiler or bad, named, (up.content or good) and not bad and not named, hidden
 
 
+def _name_cost(named: frozenset) -> float:
+    return NAMED_COST if named & BOILER_NAMES else WEAK_COST if named else 0.0
+
+
 def blocks(page: str) -> list[Found]:
-    """Text blocks of a page in page order; scripts, styles, comments and hidden parts are left out."""
-    stack = [Node("", 0, False, frozenset(), False, False)]
-    made, current, count, skip, links, at = [], None, 0, "", 0, 0
+    """Text blocks of a page in page order; scripts, styles, comments and hidden parts are left out.
+
+    Only block elements divide text. An inline element that names mark counts
+    for a block if most of the block's text lies in such elements. Time is
+    linear in the page, however deep its elements lie in each other.
+    """
+    top = Place(None, 0, 0)
+    stack = [Node("", top, False, frozenset(), False, False)]
+    outer = [0]  # where in the stack block elements are
+    opened: dict[str, int] = {}
+    made, current, count, skip, at = [], None, 0, "", 0
+
+    def shut(depth: int) -> None:
+        for n in stack[depth:]:
+            opened[n.tag] -= 1
+        del stack[depth:]
+        while outer[-1] >= depth:
+            outer.pop()
+
     while at < len(page):
         m = TOKEN.match(page, at)
         at = m.end()
@@ -129,17 +176,19 @@ def blocks(page: str) -> list[Found]:
         if tag is None:
             piece = m.group()
             if not skip and piece[0] != "<" or piece == "<" and not skip:
-                top = stack[-1]
-                if top.hidden or (current is None and piece.isspace()):
+                here = stack[-1]
+                if here.hidden or (current is None and piece.isspace()):
                     continue
+                holder = stack[outer[-1]]
                 if current is None:
-                    holder = next((n for n in reversed(stack) if n.tag in BREAKS or not n.tag))
-                    named = NAMED_COST if top.named & BOILER_NAMES else WEAK_COST if top.named else 0.0
-                    current = Found(tuple(n.number for n in stack if n.tag in BREAKS), holder.tag, top.boiler, named, top.content)
+                    current = Found(holder.place, holder.tag, here.boiler, _name_cost(holder.named), holder.content or here.content)
                     made.append(current)
                 current.pieces.append(piece)
-                if links:
+                if opened.get("a"):
                     current.linked += len(piece)
+                if here.named != holder.named:
+                    cost = _name_cost(here.named)
+                    current.told[cost] = current.told.get(cost, 0) + len(piece)
             continue
         tag = tag.lower()
         if tag in RAW and not closing and not attrs.rstrip().endswith("/"):
@@ -155,30 +204,36 @@ def blocks(page: str) -> list[Found]:
         elif tag == "br" and current is not None:
             current.pieces.append(" ")
         if closing:
-            if any(n.tag == tag for n in stack):
-                while (gone := stack.pop()).tag != tag:
-                    links -= gone.tag == "a"
-                links -= tag == "a"
+            if opened.get(tag):
+                depth = len(stack) - 1
+                while stack[depth].tag != tag:
+                    depth -= 1
+                shut(depth)
             continue
         if tag in UNREAD:
             if not attrs.rstrip().endswith("/"):
                 skip = tag
             continue
         for out in ENDS.get(tag, ()):
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == out or stack[i].tag in BREAKS - {"p", "li", "dt", "dd", "tr", "td", "th"}), 0)
-            if depth and stack[depth].tag == out:
-                links -= sum(n.tag == "a" for n in stack[depth:])
-                del stack[depth:]
+            if opened.get(out):
+                depth = next(d for d in reversed(outer) if stack[d].tag == out or stack[d].tag not in ENDABLE)
+                if stack[depth].tag == out:
+                    shut(depth)
         if tag in VOID or attrs.rstrip().endswith("/"):
             continue
         count += 1
-        boiler, named, content, hidden = _zone(tag, attrs, stack[-1])
-        if (boiler, bool(named), content) != (stack[-1].boiler, bool(stack[-1].named), stack[-1].content):
-            current = None
-        stack.append(Node(tag, count, boiler, named, content, hidden))
-        links += tag == "a"
+        up = stack[-1]
+        boiler, named, content, hidden = _zone(tag, attrs, up)
+        if tag in BREAKS:
+            outer.append(len(stack))
+        stack.append(Node(tag, Place(up.place, up.place.depth + 1, count) if tag in BREAKS else up.place, boiler, named, content, hidden))
+        opened[tag] = opened.get(tag, 0) + 1
     for b in made:
         b.text = " ".join(entities.unescape("".join(b.pieces)).split())
+        marked = sum(b.told.values())
+        if marked and 2 * marked > sum(map(len, b.pieces)):
+            b.named = max(b.named, *b.told)
+            b.content = False
     return [b for b in made if b.text]
 
 
@@ -272,20 +327,23 @@ def terms(found: list[Found], evidence: dict[str, float]) -> tuple[list[float],
             zone = OPEN_COST + WORD_COST * min(24, b.text.count(" ") + 1) - LINK_COST * min(1.0, b.linked / len(b.text))
         costs.append(zone + max(-EVIDENCE, min(EVIDENCE, learned)))
         if i:
-            ties.append((i - 1, i, NEXT / (1 + _apart(found[i - 1].path, b.path))))
-        kind = (b.path[:-1], b.tag)
+            ties.append((i - 1, i, NEXT / (1 + _apart(found[i - 1].place, b.place))))
+        kind = (b.place.up.number if b.place.up else 0, b.tag)
         if kind in last:
             ties.append((last[kind], i, SIBLING))
         last[kind] = i
     return costs, ties
 
 
-def _apart(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    """Elements to leave and to enter on the way from one block to another."""
-    same = 0
-    while same < min(len(a), len(b)) and a[same] == b[same]:
-        same += 1
-    return len(a) + len(b) - 2 * same
+def _apart(a: Place, b: Place) -> int:
+    """Elements to leave and to enter on the way from one block to another; between neighbours, all of them are linear in the page."""
+    steps = 0
+    while a.number != b.number:
+        if a.depth >= b.depth:
+            a, steps = a.up, steps + 1
+        else:
+            b, steps = b.up, steps + 1
+    return steps
 
 
 def learn_evidence(pages: DataFrame) -> dict[str, float]:

@@ -7,6 +7,7 @@ import io
 import json
 import struct
 import tarfile
+import time
 import uuid
 import zlib
 from dataclasses import dataclass
@@ -46,12 +47,15 @@ class Archives(WriterCommitMessage):
 class ArchiveWriter(DataSourceArrowWriter):
     """Writes rows (name, media) as tar archives, each with an index of its members.
 
-    Only archives of tasks that committed enter the manifest, so repeated and
-    lost attempts leave nothing that is read.
+    A job's archives bear its id, and its commit adds a list of those that
+    committed tasks wrote: what is read is all lists' archives, so jobs append
+    to each other, and repeated, lost and failed attempts leave nothing that is
+    read. Their files go when the job ends, or by sweep() if the driver is lost.
+    An overwriting job takes earlier lists away once its own stands.
     """
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool = False):
+        self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
 
     def write(self, iterator):
         fs, root = filesystem(self.path)
@@ -70,7 +74,7 @@ class ArchiveWriter(DataSourceArrowWriter):
                     close()
                     out = None
                 if out is None:
-                    name, index, at = f"{uuid.uuid4().hex}.tar", [], 0
+                    name, index, at = f"{self.job}-{uuid.uuid4().hex}.tar", [], 0
                     out = fs.open_output_stream(f"{root}/{name}")
                 info = tarfile.TarInfo(member)
                 info.size = len(media)
@@ -85,14 +89,44 @@ class ArchiveWriter(DataSourceArrowWriter):
     def commit(self, messages):
         fs, root = filesystem(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/_MANIFEST.json") as out:
-            out.write(json.dumps(sorted(f for m in messages if m for f in m.files)).encode())
+        earlier = lists_of(fs, root)
+        files = sorted(f for m in messages if m for f in m.files)
+        with fs.open_output_stream(f"{root}/_aside-{self.job}") as out:
+            out.write(json.dumps(files).encode())
+        fs.move(f"{root}/_aside-{self.job}", f"{root}/_list-{self.job}.json")
+        self._remove(fs, root, {f"{self.job}-"}, {name for name, _ in files})
+        if self.overwrite:
+            for name in earlier:
+                fs.delete_file(f"{root}/{name}")
+            self._remove(fs, root, {name[6:-5] + "-" for name in earlier}, set())
 
     def abort(self, messages):
         fs, root = filesystem(self.path)
-        for name, _ in (f for m in messages if m for f in m.files):
-            fs.delete_file(f"{root}/{name}")
-            fs.delete_file(f"{root}/{name}.idx")
+        self._remove(fs, root, {f"{self.job}-"}, set())
+
+    @staticmethod
+    def _remove(fs, root: str, jobs: set[str], but: set[str]) -> None:
+        """Delete the jobs' archives and indexes, except those named."""
+        for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+            if f.base_name[:33] in jobs and f.base_name.removesuffix(".idx") not in but:
+                fs.delete_file(f.path)
+
+
+def lists_of(fs: pafs.FileSystem, root: str) -> list[str]:
+    """Names of the lists that committed jobs have left."""
+    return sorted(f.base_name for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if f.base_name.startswith("_list-") and f.base_name.endswith(".json"))
+
+
+def sweep(path: str, older_s: float = 7 * 86400) -> int:
+    """Delete archives of jobs that never committed and wrote nothing for so long; the number of files deleted."""
+    fs, root = filesystem(path)
+    jobs, gone = {name[6:-5] for name in lists_of(fs, root)}, 0
+    before = time.time() - older_s
+    for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if f.base_name.endswith((".tar", ".idx")) and f.base_name[:32] not in jobs and f.mtime.timestamp() < before:
+            fs.delete_file(f.path)
+            gone += 1
+    return gone
 
 
 @dataclass
@@ -112,8 +146,10 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self):
         fs, root = filesystem(self.path)
-        with fs.open_input_stream(f"{root}/_MANIFEST.json") as f:
-            files = json.loads(f.read())
+        files = []
+        for name in lists_of(fs, root):
+            with fs.open_input_stream(f"{root}/{name}") as f:
+                files += json.loads(f.read())
         ranges = [ByteRange(n, a, min(a + self.range_bytes, size)) for n, size in files for a in range(0, size, self.range_bytes)]
         return ranges or [ByteRange("", 0, 0)]
 
@@ -184,7 +220,7 @@ class MediaArchive(DataSource):
         return ArchiveReader(self.options["path"], int(self.options.get("rangebytes", RANGE_BYTES)))
 
     def writer(self, schema, overwrite):
-        return ArchiveWriter(self.options["path"])
+        return ArchiveWriter(self.options["path"], overwrite)
 
 
 def payload(text: str | None) -> bytes:
@@ -233,12 +269,12 @@ def _members():
     return lambda texts: {"media": [to_png(payload(t)) for t in texts]}
 
 
-def write_media(docs: DataFrame, path: str) -> None:
-    """Store every row's text as a picture in archives under path; the member name holds doc_id (`id-` and its text, or `none`)."""
+def write_media(docs: DataFrame, path: str, mode: str = "append") -> None:
+    """Store every row's text as a picture in archives under path, beside what is there or in its place (mode overwrite); the member name holds doc_id (`id-` and its text, or `none`)."""
     spark = docs.sparkSession
     spark.dataSource.register(MediaArchive)
     made = map_texts(docs.select(F.coalesce(F.concat(F.lit("id-"), F.col("doc_id").cast("string")), F.lit("none")).alias("name"), "text"), _members, T.StructType().add("media", "binary"))
-    made.write.format("media_archive").mode("append").save(path)
+    made.write.format("media_archive").mode(mode).save(path)
 
 
 def read_media(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -270,7 +306,8 @@ def media_columns(docs: DataFrame) -> DataFrame:
     """doc_id and media columns of each row of docs, stored and read back through archives.
 
     Null and empty texts are one unit of padding; repeated rows are repeated
-    members; a null doc_id stays null. The archives lie in the shared folder.
+    members; a null doc_id stays null. Further columns of docs are not read.
+    The archives lie in the shared folder.
     """
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"

@@ -229,7 +229,7 @@ EDITS = "key string, seq long, edit string, turn {turn}, role string, was string
 GOOD_PAIRS = ("su", "ua", "au")
 
 
-def repair(rows: DataFrame) -> DataFrame:
+def repair(rows: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """The edits of every conversation, and one summary row per conversation and task.
 
     rows: conv_id, turn, role, text, copies. An edit row has key, seq (ascending
@@ -237,10 +237,11 @@ def repair(rows: DataFrame) -> DataFrame:
     (before it), k1 and k2 (of the text). A summary row has edit null, its
     part of the audit in `piece`, its `cost` and its `illegal` pairs. Rows of a
     turn go by role, then text; null turns come first; a null conv_id is a
-    conversation of its own. Empty tables give no rows.
+    conversation of its own. Empty tables give no rows. found: faulty(rows),
+    if the caller has it.
     """
     order = ("key", "turn", "role", "head", "k1", "k2")
-    found = faulty(rows)
+    found = faulty(rows) if found is None else found
     dealt = found.repartitionByRange(*order).sortWithinPartitions(*order)
     held = cut(dealt.withColumn("at", F.monotonically_increasing_id()))
     # Two rows per task at most reach the driver, whatever the tasks hold.
@@ -357,12 +358,12 @@ def repair_summary(conversations: DataFrame) -> DataFrame:
     Columns beyond conv_id, turn, role and text are not read.
     """
     rows = damaged(conversations)
-    edits = cut(repair(rows))
+    slim = cut(faulty(rows))
+    edits = cut(repair(rows, slim))
     digests = repaired(rows, edits).select("key", "seq", "role", "text").repartition("key").sortWithinPartitions("key", "seq").select("key", "role", "text").mapInArrow(_digests, "key string, repaired_sha256 string")
     parts = edits.filter("edit is null").groupBy("key").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "piece"))), lambda p: p["piece"]), "").alias("audit"), F.sum("cost").alias("cost"), F.sum("illegal").alias("illegal")
     )
-    slim = faulty(rows)
     n_of = lambda fault: F.sum(F.when(F.col("fault") == fault, F.col("n")).otherwise(0))
     later = F.sum(F.when(F.col("fault").isin(FINE, TRUNCATED), F.col("n") - 1).otherwise(0))
     counts = slim.groupBy("key", "turn").agg(n_of(BLANK).alias("blank"), (n_of(DUPLICATE) + later).alias("duplicate"), F.count_if(F.col("fault") == TRUNCATED).alias("truncated"))

@@ -23,37 +23,51 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _dealt(rows: DataFrame, *order: str) -> DataFrame:
+    """rows in tasks by ranges of an order, with `_at`, ascending along it, and `_task`."""
+    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return cut(spread.withColumn("_at", F.monotonically_increasing_id())).withColumn("_task", F.shiftright("_at", 33))
+
+
+def _running(rows: DataFrame, *sums: str) -> DataFrame:
+    """rows of _dealt() plus `before_<column>`: the sum over all rows before.
+
+    A task's rows are summed in that task; across tasks there is one row each.
+    """
+    parts = rows.groupBy("_task").agg(*[F.sum(c).alias(f"_p{c}") for c in sums])
+    earlier = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("_task", *[F.coalesce(F.sum(f"_p{c}").over(earlier), F.lit(0)).alias(f"_s{c}") for c in sums])
+    inside = Window.partitionBy("_task").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_i{c}") for c in sums])
+    return local.join(starts, "_task").select(*rows.columns, *[(F.col(f"_s{c}") + F.col(f"_i{c}")).alias(f"before_{c}") for c in sums])
+
+
 def source_targets(sizes: DataFrame, source: str = "source", size: str = "size") -> DataFrame:
     """(source, source_size, target): one row per source.
 
     Water filling: a source that its weighted share would repeat more than
     MOST times stops there and the rest is shared again by weight. In order of
     MOST * size / weight the stopped sources come first, so running sums find
-    them. Sums are whole numbers and each target is one division. The windows
-    see one row per source, never the documents.
+    them. Sums are whole numbers and each target is one division. No task has
+    to hold all sources.
     """
-    per = sizes.groupBy(source).agg(F.sum(size).cast("long").alias("source_size"))
-    place = Window.orderBy(F.col(source).asc_nulls_last())
-    turn = F.element_at(F.array(*[F.lit(w).cast("long") for w in WEIGHTS]), ((F.row_number().over(place) - 1) % len(WEIGHTS) + 1).cast("int"))
-    per = per.withColumn("_w", turn)
-    order = Window.orderBy((F.lit(float(MOST)) * F.col("source_size") / F.col("_w")).asc(), F.col(source).asc_nulls_last())
-    every = Window.partitionBy()
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumns(
-        {
-            "_all": F.sum("source_size").over(every),
-            "_full": F.coalesce(F.sum("source_size").over(before), F.lit(0)) * MOST,
-            "_open": F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(before), F.lit(0)),
-            "_n": F.row_number().over(order),
-        }
-    )
-    rest = F.lit(SHARE[0]) * F.col("_all") - F.lit(SHARE[1]) * F.col("_full")  # times SHARE[1]
+    per = sizes.groupBy(source).agg(F.sum(size).cast("long").alias("source_size")).withColumn("_null", F.col(source).isNull())
+    place = _running(_dealt(per, "_null", source).withColumn("one", F.lit(1)), "one")
+    turn = F.element_at(F.array(*[F.lit(w).cast("long") for w in WEIGHTS]), (F.col("before_one") % len(WEIGHTS) + 1).cast("int"))
+    per = place.select(source, "source_size", "_null", turn.alias("w"))
+    per = per.withColumn("_ratio", F.lit(float(MOST)) * F.col("source_size") / F.col("w"))
+    per = _running(_dealt(per, "_ratio", "_null", source), "source_size", "w")
+    every = per.agg(F.sum("source_size").alias("_all"), F.sum("w").alias("_weights"))
+    per = per.crossJoin(F.broadcast(every))
+    open_ = F.col("_weights") - F.col("before_w")
+    rest = F.lit(SHARE[0]) * F.col("_all") - F.lit(SHARE[1]) * MOST * F.col("before_source_size")  # times SHARE[1]
     # A source stops if MOST * size <= its share of what those before it left.
-    stops = F.lit(MOST * SHARE[1]) * F.col("source_size") * F.col("_open") <= rest * F.col("_w")
-    first_open = F.min(F.when(~stops, F.struct("_n", rest.alias("rest"), F.col("_open").alias("open")))).over(every)
-    per = per.withColumns({"_stops": stops, "_first": first_open})
-    shared = (F.col("_first.rest") * F.col("_w")).cast("double") / (F.col("_first.open") * SHARE[1]).cast("double")
-    target = F.when(F.col("_first").isNull() | (F.col("_n") < F.col("_first._n")), (F.col("source_size") * MOST).cast("double")).otherwise(shared)
+    stops = F.lit(MOST * SHARE[1]) * F.col("source_size") * open_ <= rest * F.col("w")
+    per = cut(per.select(source, "source_size", "w", "_at", stops.alias("_stops"), rest.alias("_rest"), open_.alias("_open")))
+    first = per.filter("not _stops").agg(F.min(F.struct("_at", F.col("_rest").alias("rest"), F.col("_open").alias("open"))).alias("_first"))
+    per = per.crossJoin(F.broadcast(first))
+    shared = (F.col("_first.rest") * F.col("w")).cast("double") / (F.col("_first.open") * SHARE[1]).cast("double")
+    target = F.when(F.col("_first").isNull() | (F.col("_at") < F.col("_first._at")), (F.col("source_size") * MOST).cast("double")).otherwise(shared)
     return per.select(source, "source_size", target.alias("target"))
 
 

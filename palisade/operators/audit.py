@@ -12,22 +12,41 @@ from palisade.operators import deny
 from palisade.sources.model import PROV, Graph
 
 
-def _strings(column: str):
-    return F.coalesce(F.col(column), F.array().cast("array<string>"))
-
-
 def _tools(graph: Graph) -> DataFrame:
     return graph.tools.select(F.col("key").alias("tool_key"), F.col("name").alias("tool"), "server")
 
 
 def callers(graph: Graph) -> DataFrame:
-    """(tool_key, granted_to): who may call a tool."""
-    return graph.can_call.groupBy("tool_key").agg(sorted_set(F.col("agent")).alias("granted_to"))
+    """(tool_key, item): who may call a tool, a row per caller."""
+    return graph.can_call.select("tool_key", F.col("agent").alias("item")).distinct()
 
 
 def accesses(graph: Graph) -> DataFrame:
-    """(tool_key, data_access): what a tool reads and writes, as `MODE uri`."""
-    return graph.data_access.groupBy("tool_key").agg(sorted_set(F.concat_ws(" ", "mode", "uri")).alias("data_access"))
+    """(tool_key, item): what a tool reads and writes, as `MODE uri`, a row per access."""
+    return graph.data_access.select("tool_key", F.concat_ws(" ", "mode", "uri").alias("item")).distinct()
+
+
+def governed(graph: Graph) -> tuple[DataFrame, DataFrame]:
+    """(policy, item) of the resources and of the tools that policies govern, a row each."""
+    on_resources = graph.governed_resource.select("policy", F.col("uri").alias("item")).distinct()
+    return on_resources, graph.governed_tool.select("policy", F.col("tool_key").alias("item")).distinct()
+
+
+def with_items(rows: DataFrame, key: str, items: dict[str, DataFrame], shown: str | None) -> DataFrame:
+    """rows plus what belongs to them: sorted lists, counts named `<name>_count`, or nothing (shown: lists, counts, None).
+
+    Only items of keys that rows hold are gathered. A list is as long as the
+    graph makes it; counts, and the items themselves, have no row that grows.
+    """
+    if shown is None:
+        return rows
+    for name, each in items.items():
+        asked = each.join(rows.select(key), key, "left_semi").groupBy(key)
+        if shown == "counts":
+            rows = rows.join(asked.agg(F.count("item").alias("_n")), key, "left").withColumn(f"{name}_count", F.coalesce("_n", F.lit(0))).drop("_n")
+        else:
+            rows = rows.join(asked.agg(sorted_set(F.col("item")).alias("_l")), key, "left").withColumn(name, F.coalesce("_l", F.array().cast("array<string>"))).drop("_l")
+    return rows
 
 
 def authored_keys(graph: Graph) -> DataFrame:
@@ -35,23 +54,22 @@ def authored_keys(graph: Graph) -> DataFrame:
     return graph.can_call.select("tool_key").union(graph.data_access.select("tool_key")).union(graph.governed_tool.select("tool_key")).distinct()
 
 
-def unmapped_tools(graph: Graph, only_granted: bool = True) -> DataFrame:
+def unmapped_tools(graph: Graph, only_granted: bool = True, shown: str | None = "lists") -> DataFrame:
     """Tools without READS or WRITES, with their callers; by default only those someone may call."""
     rows = _tools(graph).join(graph.data_access.select("tool_key"), "tool_key", "left_anti")
-    rows = rows.join(callers(graph), "tool_key", "inner" if only_granted else "left")
-    return rows.select("tool_key", "tool", "server", _strings("granted_to").alias("granted_to"))
+    if only_granted:
+        rows = rows.join(graph.can_call.select("tool_key"), "tool_key", "left_semi")
+    return with_items(rows, "tool_key", {"granted_to": callers(graph)}, shown)
 
 
-def orphan_policies(graph: Graph) -> DataFrame:
+def orphan_policies(graph: Graph, shown: str | None = "lists") -> DataFrame:
     """Policies that no agent reaches by either route, with what they govern."""
     called = graph.can_call.select("tool_key").distinct()
     touched = graph.data_access.join(called, "tool_key", "left_semi").select("uri").distinct()
     reached = graph.governed_resource.join(touched, "uri", "left_semi").select("policy").union(graph.governed_tool.join(called, "tool_key", "left_semi").select("policy")).distinct()
-    on_resources = graph.governed_resource.groupBy("policy").agg(sorted_set(F.col("uri")).alias("governed_resources"))
-    on_tools = graph.governed_tool.groupBy("policy").agg(sorted_set(F.col("tool_key")).alias("governed_tools"))
     rows = graph.policies.select(F.col("id").alias("policy"), "effect", "scope").join(reached, "policy", "left_anti")
-    rows = rows.join(on_resources, "policy", "left").join(on_tools, "policy", "left")
-    return rows.select("policy", "effect", "scope", _strings("governed_resources").alias("governed_resources"), _strings("governed_tools").alias("governed_tools"))
+    on_resources, on_tools = governed(graph)
+    return with_items(rows, "policy", {"governed_resources": on_resources, "governed_tools": on_tools}, shown)
 
 
 def unbacked_edges(graph: Graph, include_grants: bool = False) -> DataFrame:
@@ -74,11 +92,10 @@ def unbacked_edges(graph: Graph, include_grants: bool = False) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def drifted_tools(graph: Graph) -> DataFrame:
+def drifted_tools(graph: Graph, shown: str | None = "lists") -> DataFrame:
     """Tools that authored edges name but no server exposes."""
     rows = _tools(graph).join(graph.exposes.select("tool_key"), "tool_key", "left_anti").join(authored_keys(graph), "tool_key", "left_semi")
-    rows = rows.join(callers(graph), "tool_key", "left").join(accesses(graph), "tool_key", "left")
-    return rows.select("tool_key", "tool", "server", _strings("granted_to").alias("granted_to"), _strings("data_access").alias("data_access"))
+    return with_items(rows, "tool_key", {"granted_to": callers(graph), "data_access": accesses(graph)}, shown)
 
 
 def annotation_provenance(exposes_evidence):
@@ -93,15 +110,12 @@ def _claimed(graph: Graph, hint: str) -> DataFrame:
     return rows.join(shown, "tool_key", "left")
 
 
-def destructive_unsafeguarded(graph: Graph) -> DataFrame:
+def destructive_unsafeguarded(graph: Graph, shown: str | None = "lists") -> DataFrame:
     """Tools that claim to be destructive and have no policy of any effect, on them or on what they touch."""
-    governed = graph.data_access.join(graph.governed_resource.select("uri").distinct(), "uri", "left_semi").select("tool_key")
-    rows = _claimed(graph, "destructive_hint").join(graph.governed_tool.select("tool_key"), "tool_key", "left_anti").join(governed, "tool_key", "left_anti")
-    rows = rows.join(callers(graph), "tool_key", "left").join(accesses(graph), "tool_key", "left")
-    return rows.select(
-        "tool_key", "tool", "server", _strings("granted_to").alias("granted_to"), _strings("data_access").alias("data_access"),
-        F.lit("destructiveHint: true").alias("annotation_claim"), annotation_provenance(F.col("exposes_evidence")).alias("annotation_prov"),
-    )
+    touching = graph.data_access.join(graph.governed_resource.select("uri").distinct(), "uri", "left_semi").select("tool_key")
+    rows = _claimed(graph, "destructive_hint").join(graph.governed_tool.select("tool_key"), "tool_key", "left_anti").join(touching, "tool_key", "left_anti")
+    rows = with_items(rows, "tool_key", {"granted_to": callers(graph), "data_access": accesses(graph)}, shown)
+    return rows.withColumns({"annotation_claim": F.lit("destructiveHint: true"), "annotation_prov": annotation_provenance(F.col("exposes_evidence"))}).drop("exposes_evidence")
 
 
 def annotation_contradictions(graph: Graph) -> DataFrame:
@@ -114,17 +128,17 @@ def annotation_contradictions(graph: Graph) -> DataFrame:
     )
 
 
-def findings(graph: Graph, include_grants: bool = False) -> dict[str, DataFrame]:
-    """The eight finding tables of a whole-graph audit."""
+def findings(graph: Graph, include_grants: bool = False, shown: str | None = "lists") -> dict[str, DataFrame]:
+    """The eight finding tables of a whole-graph audit, with lists, counts or neither (see with_items)."""
     paths = deny.classified_paths(graph)
     return {
         "unsafe_violations": paths.filter("classification = 'violation'"),
         "authorized_but_governed": paths.filter("classification = 'authorized_but_governed'"),
-        "drifted_tools": drifted_tools(graph),
-        "unmapped_tools": unmapped_tools(graph),
+        "drifted_tools": drifted_tools(graph, shown),
+        "unmapped_tools": unmapped_tools(graph, shown=shown),
         "unbacked_edges": unbacked_edges(graph, include_grants),
-        "orphan_policies": orphan_policies(graph),
-        "destructive_unsafeguarded": destructive_unsafeguarded(graph),
+        "orphan_policies": orphan_policies(graph, shown),
+        "destructive_unsafeguarded": destructive_unsafeguarded(graph, shown),
         "annotation_contradictions": annotation_contradictions(graph),
     }
 
@@ -134,7 +148,7 @@ BLOCKING = ("unsafe_violations", "drifted_tools")
 
 def audit_report(graph: Graph, include_grants: bool = False) -> DataFrame:
     """(finding, count, blocking, status): status is fail on violations or drift, warn on any finding, else pass."""
-    parts = findings(graph, include_grants)
+    parts = findings(graph, include_grants, None)
     # Both kinds of paths are counted in one pass over them.
     kinds = ("unsafe_violations", "authorized_but_governed")
     n = {k: F.count_if(F.col("classification") == c).alias(k) for k, c in zip(kinds, ("violation", "authorized_but_governed"), strict=True)}

@@ -53,6 +53,21 @@ def test_audits(spark):
     assert duplicate_keys(g).count() == 0
 
 
+def test_what_audits_list(spark):
+    g = small(spark)
+    plain = audit.unmapped_tools(g).first()
+    assert plain.granted_to == ["planner"] and audit.unmapped_tools(g, shown="counts").first().granted_to_count == 1
+    every = {r.tool_key: r.granted_to for r in audit.unmapped_tools(g, only_granted=False).collect()}
+    assert every == {"s::plain": ["planner"], "z::read": []}
+    drifted = audit.drifted_tools(g).first()
+    assert (drifted.granted_to, drifted.data_access) == ([], ["WRITES file:///b"])
+    counted = audit.drifted_tools(g, shown="counts").first()
+    assert (counted.granted_to_count, counted.data_access_count) == (0, 1)
+    assert audit.orphan_policies(g, shown=None).columns == ["policy", "effect", "scope"]
+    assert sorted((r.tool_key, r["item"]) for r in audit.callers(g).collect()) == [("s::plain", "planner"), ("s::read", "bot"), ("s::read", "planner")]
+    assert [(r.policy, r["item"]) for r in audit.governed(g)[0].collect()] == [("no", "file:///a")]
+
+
 def test_canonical_uris(spark):
     cases = {"HTTP://Ex.com:80/a/../b?q": "http://ex.com/b?q", "https://EX.com": "https://ex.com/", "file:///A/b": "file:///A/b", "s::tool": "s::tool", "https://h:8443/x/./y/": "https://h:8443/x/y/", "not a uri": "not a uri"}
     rows = spark.createDataFrame([(k,) for k in cases], "u string").select("u", resolve.canonical_uri(F.col("u")).alias("c")).collect()

@@ -685,20 +685,58 @@ def review_query(sql: str | None = None):
     return add
 
 
-@review_query(" select count(distinct report) as reports, count(*) as candidates, 1::bigint as refused from (select distinct report, candidate from ev)")
+#: Ways in which reports are damaged, by the last digit of their day, and what the intake says of it.
+_BAD_REPORTS = {
+    0: "candidates.0.pattern_version: must be an integer", 1: "candidates.0.tool_key: has another form", 2: "candidates: names a candidate twice", 3: "candidates: is missing", 4: "candidates.0.run_id: must not be null",
+    5: "candidates.0.artifact_digest: is missing", 6: "schema_version: must be one of the known values",
+}
+_BAD_NOTES = {
+    0: "events.0: has an unknown field", 1: "names an unknown report", 2: "events.0.reviewer: begins or ends with white space", 3: "events.0.from_disposition: must be one of the known values", 4: "events.0.recorded_at: has another form",
+    5: "events.0.sequence: must be an integer", 6: "events.0.candidate_id: is another candidate's",
+}
+
+
+def _told_by_day(rows: str, bad: dict[int, str]) -> str:
+    said = " ".join("when {} then '{}'".format(k, why.replace("'", "''")) for k, why in bad.items())
+    return f" select report as day, case when k in ({', '.join(map(str, bad))}) then 0 else count(*) end as taken, case k {said} end as problem from (select {rows}, right(report, 1)::int as k from ev) group by report, k"
+
+
+def _identity(day: str) -> list:
+    return [F.col(day).alias("run_id"), F.lit("p").alias("pattern_id"), F.lit(1).cast("long").alias("pattern_version"), F.concat(F.lit("s::"), F.col("candidate")).alias("tool_key"), F.lit("sha256:" + "d" * 64).alias("artifact_digest")]
+
+
+def _by_day(taken: DataFrame, refused: DataFrame) -> DataFrame:
+    """(day, taken, problem): rows taken per day, and the days that were refused."""
+    return taken.groupBy(F.col("run_id").alias("day")).agg(F.count("*").alias("taken")).select("day", "taken", F.lit(None).cast("string").alias("problem")).unionByName(refused.select("day", F.lit(0).cast("long").alias("taken"), "problem"))
+
+
+@review_query(_told_by_day("distinct report, candidate", _BAD_REPORTS))
 def s5_review_intake(x: ReviewLens) -> DataFrame:
-    rows = x.events.select("report", "candidate").distinct().select("report", F.struct(F.col("report").alias("run_id"), F.lit("p").alias("pattern_id"), F.lit(1).alias("pattern_version"), F.col("candidate").alias("tool_key"), F.lit("d").alias("artifact_digest"), F.lit("dropped").alias("extra")).alias("c"))
-    files = rows.groupBy("report").agg(F.encode(F.to_json(F.struct(F.array_sort(F.collect_list("c")).alias("candidates"))), "UTF-8").alias("content")).select("content")
-    twice = x.spark.range(1).select(F.encode(F.lit('{"candidates": [{"run_id": "a"}, {"run_id": "a"}]}'), "UTF-8").alias("content"))
-    got, bad = review.read_reports(files.union(twice))
-    n = got.agg(F.countDistinct("report").alias("reports"), F.count("*").alias("candidates"))
-    return n.crossJoin(bad.agg(F.count("*").alias("refused")))
+    k = F.right("day", F.lit(1)).cast("int")
+    rows = x.events.select(F.col("report").alias("day"), "candidate").distinct().select("day", F.struct(*_identity("day"), F.lit("dropped").alias("extra")).alias("c"))
+    each = rows.groupBy("day").agg(F.array_sort(F.collect_list("c")).alias("c")).withColumn("c", F.when(k == 2, F.concat("c", F.slice("c", 1, 1))).otherwise(F.col("c")))
+    text = F.to_json(F.struct(F.when(k == 6, 2).otherwise(1).alias("schema_version"), F.lit("made.review-candidates").alias("kind"), F.when(k != 3, F.col("c")).alias("candidates")))
+    for i, (found, put) in {0: ('"pattern_version":1', '"pattern_version":"1"'), 1: ("::", "."), 4: ('"run_id":"[^"]*"', '"run_id":null'), 5: ('"artifact_digest":"[^"]*",', "")}.items():
+        text = F.when(k == i, F.regexp_replace(text, found, put)).otherwise(text)
+    return _by_day(*review.read_reports(each.select("day", F.encode(text, "UTF-8").alias("content"))))
 
 
-@review_query(" select count(*) filter (where report like '%1') as refused, count(*) filter (where report not like '%1') as kept from ev")
+@review_query(_told_by_day("report", _BAD_NOTES))
 def s6_annotation_intake(x: ReviewLens) -> DataFrame:
-    kept, refused = review.read_events(x.events, x.cases.filter("report not like '%1'"))
-    return kept.agg(F.count("*").alias("kept")).crossJoin(refused.agg(F.count("*").alias("refused")))
+    k = F.right("day", F.lit(1)).cast("int")
+    identify = review.candidate_id(_NAMESPACE, 1, "made.review-candidates")
+    rows = x.events.withColumn("day", F.col("report")).select("*", *_identity("day")).withColumn("candidate_id", identify)
+    event = F.struct(
+        F.col("seq").alias("sequence"), F.when(k == 6, F.lit("6ba7b811-9dad-11d1-80b4-00c04fd430c8")).otherwise(F.col("candidate_id")).alias("candidate_id"), F.struct(*review.FIELDS).alias("candidate"),
+        F.when(k == 3, "closed").otherwise(F.col("from_disposition")).alias("from_disposition"), "disposition", F.when(k == 2, "ann ").otherwise(F.col("reviewer")).alias("reviewer"),
+        F.when(k == 4, "2026-01-01T00:00:00+01:00").otherwise("2026-01-01T00:00:00.5Z").alias("recorded_at"), F.when(k == 0, "x").alias("further"),
+    )
+    each = rows.groupBy("day").agg(F.array_sort(F.collect_list(event)).alias("events"))
+    source = F.struct(F.lit(1).alias("schema_version"), F.lit("made.review-candidates").alias("kind"), F.concat(F.lit("sha256:"), F.sha2("day", 256)).alias("source_report_digest"))
+    text = F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit("made.review-annotations").alias("kind"), source.alias("source"), "events"))
+    text = F.when(k == 5, F.regexp_replace(text, '"sequence":([0-9]+)', '"sequence":$1.5')).otherwise(text)
+    known = x.cases.filter("report not like '%1'").select(F.sha2("report", 256).alias("report"))
+    return _by_day(*review.read_annotations(each.select("day", F.encode(text, "UTF-8").alias("content")), known, identify))
 
 
 @review_query()

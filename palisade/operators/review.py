@@ -4,24 +4,101 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from palisade.operators import selector
 from palisade.operators.scan import numbered, with_previous
-from palisade.operators.scrub import is_credential_shaped
+from palisade.operators.scrub import is_credential_identity, is_credential_shaped
 from palisade.sources.model import Graph
+from palisade.sources.schema import Fields, Items, Text, Whole, checked, repeats
+from palisade.sources.snapshots import cut
 
-CANDIDATE = T.StructType().add("run_id", "string").add("pattern_id", "string").add("pattern_version", "long").add("tool_key", "string").add("artifact_digest", "string")
-FIELDS = CANDIDATE.fieldNames()
+FIELDS = ["run_id", "pattern_id", "pattern_version", "tool_key", "artifact_digest"]
 DISPOSITIONS = ("open", "accepted", "rejected", "deferred")
+#: Lengths and forms. Fixed values of the review contract.
+MOST_REVIEWER, MOST_NOTE = 256, 500
+MOST_BYTES = 50_000_000
+DIGEST = r"^sha256:[0-9a-f]{64}\z"
+UTC_INSTANT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?(?:Z|[+-]00:00)\z"
+UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"
+
+_IDENTITY = (is_credential_identity, "must not hold a credential")
+_CANDIDATE = {
+    "run_id": Text(1, 256, r"^\S+\z", checks=(_IDENTITY,)), "pattern_id": Text(pattern=r"^[a-z0-9]+(?:-[a-z0-9]+)*\z"), "pattern_version": Whole(1, written=True),
+    "tool_key": Text(4, 512, r"^\S+::\S+\z", checks=(_IDENTITY,)), "artifact_digest": Text(pattern=DIGEST),
+}
+#: One clean line: what reviewers and notes have to be.
+_LINE = (
+    (lambda t: t.rlike(r"[\r\n\x00]"), "must be one line"),
+    (lambda t: t.rlike(r"(?U)^\s|\s\z"), "begins or ends with white space"),
+    (is_credential_shaped, "must not hold a credential"),
+)
+
+
+def _identities(items: Column) -> Column:
+    return F.transform(items, lambda x: F.to_json(F.struct(*[F.try_variant_get(x, f"$.{f}", "string").alias(f) for f in FIELDS])))
+
+
+#: A report of candidates; further fields are ignored, those of a candidate beyond its five too.
+REPORT_RULE = Fields(
+    {"schema_version": Whole(values=(1,), written=True), "kind": Text(pattern=r"^[^\s.]+\.review-candidates\z"), "candidates": Items(Fields(_CANDIDATE, required=tuple(FIELDS)), checks=((lambda xs: repeats(_identities(xs)), "names a candidate twice"),))},
+    required=("schema_version", "kind", "candidates"),
+)
+_EVENT = Fields(
+    {
+        "sequence": Whole(1, written=True), "candidate_id": Text(pattern=UUID), "candidate": Fields(_CANDIDATE, required=tuple(FIELDS), closed=True), "from_disposition": Text(values=DISPOSITIONS), "disposition": Text(values=DISPOSITIONS),
+        "reviewer": Text(1, MOST_REVIEWER, checks=_LINE), "recorded_at": Text(pattern=UTC_INSTANT, checks=((lambda t: F.try_to_timestamp(t).isNull(), "is no instant"),)), "note": Text(1, MOST_NOTE, checks=_LINE),
+    },
+    required=("sequence", "candidate_id", "candidate", "from_disposition", "disposition", "reviewer", "recorded_at"), nullable=("note",), closed=True,
+)
+_SOURCE = Fields({"schema_version": Whole(values=(1,), written=True), "kind": REPORT_RULE.rules["kind"], "source_report_digest": Text(pattern=DIGEST)}, required=("schema_version", "kind", "source_report_digest"), closed=True)
+#: What reviewers said of one report. No further fields.
+ANNOTATION_RULE = Fields(
+    {"schema_version": Whole(values=(1,), written=True), "kind": Text(pattern=r"^[^\s.]+\.review-annotations\z"), "source": _SOURCE, "events": Items(_EVENT)},
+    required=("schema_version", "kind", "source", "events"), closed=True,
+)
+_CANDIDATE_ROW = "run_id:string,pattern_id:string,pattern_version:bigint,tool_key:string,artifact_digest:string"
+_EVENTS = f"array<struct<sequence:bigint,candidate_id:string,candidate:struct<{_CANDIDATE_ROW}>,from_disposition:string,disposition:string,reviewer:string,recorded_at:string,note:string>>"
+
+
+def _documents(files: DataFrame, rule: Fields) -> DataFrame:
+    """files plus value, problem and `_digest` of the bytes; what is no UTF-8 is no JSON either."""
+    named = files.withColumns({"value": F.try_validate_utf8(F.col("content").cast("string")), "_digest": F.sha2("content", 256)})
+    return cut(checked(named, rule, MOST_BYTES).drop("doc", "content"))
 
 
 def read_reports(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """files(content) -> (candidates with the report's digest, refused reports): five fields are kept, a report with repeated candidates is refused."""
-    got = files.select(F.sha2("content", 256).alias("report"), F.from_json(F.decode("content", "UTF-8"), T.StructType().add("candidates", T.ArrayType(CANDIDATE))).alias("r"))
-    rows = got.select("report", F.explode("r.candidates").alias("c")).select("report", "c.*")
-    bad = rows.groupBy("report", *FIELDS).agg(F.count("*").alias("n")).filter("n > 1").select("report").union(got.filter("r.candidates is null").select("report")).distinct()
-    return rows.join(bad, "report", "left_anti"), bad
+    """files(content, ...) -> (candidates with the report's digest, refused files).
+
+    Five fields of a candidate are kept. A report with one badly typed
+    candidate, or with a candidate twice, is refused whole with the place in
+    `problem`; a file that is there several times counts once. Refused rows
+    have files' columns but content, and `report`, `value` and `problem`.
+    """
+    got = _documents(files, REPORT_RULE)
+    fine = got.filter("problem is null").dropDuplicates(["_digest"]).select(F.col("_digest").alias("report"), F.explode(F.try_variant_get(F.try_parse_json("value"), "$.candidates", f"array<struct<{_CANDIDATE_ROW}>>")).alias("c"))
+    return fine.select("report", "c.*"), got.filter("problem is not null").drop("report").withColumnRenamed("_digest", "report")
+
+
+def read_annotations(files: DataFrame, reports: DataFrame, identify: Column) -> tuple[DataFrame, DataFrame]:
+    """files(content, ...) of annotations -> (events with the fields of their candidates, refused files with `problem`).
+
+    reports(report): digests that annotations may name; identify: the id of a
+    candidate from its five columns (see candidate_id). A file is refused whole
+    if a field is not as ANNOTATION_RULE says, its report is unknown, or an
+    event's id is not that of the candidate beside it. Sequence and chain are
+    checked by sequence_gaps and chain_breaks, over all events of a report.
+    """
+    got = _documents(files, ANNOTATION_RULE)
+    doc = F.try_parse_json("value")
+    fine = got.filter("problem is null").dropDuplicates(["_digest"]).select("_digest", F.substring(F.try_variant_get(doc, "$.source.source_report_digest", "string"), 8, 64).alias("report"), F.posexplode_outer(F.try_variant_get(doc, "$.events", _EVENTS)).alias("_pos", "e"))
+    events = fine.select("_digest", "_pos", "report", F.col("e.candidate_id").alias("candidate"), F.col("e.sequence").alias("seq"), "e.candidate.*", "e.from_disposition", "e.disposition", "e.reviewer", "e.recorded_at", "e.note")
+    known = reports.select("report").distinct().withColumn("_known", F.lit(True))
+    foreign = F.when(~F.col("candidate").eqNullSafe(identify) & F.col("candidate").isNotNull(), F.col("_pos"))
+    odd = events.join(known, "report", "left").groupBy("_digest").agg(F.bool_or(F.col("_known").isNull()).alias("_u"), F.min(foreign).alias("_p"))
+    why = F.when(F.col("_u"), "names an unknown report").when(F.col("_p").isNotNull(), F.concat(F.lit("events."), F.col("_p").cast("string"), F.lit(".candidate_id: is another candidate's")))
+    odd = cut(odd.select("_digest", why.alias("_why")).filter("_why is not null"))
+    refused = got.join(odd, "_digest", "left").withColumn("problem", F.coalesce("problem", "_why")).filter("problem is not null").drop("_why", "_digest")
+    return events.filter("candidate is not null").join(odd, "_digest", "left_anti").drop("_digest", "_pos"), refused
 
 
 def read_events(events: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -74,8 +151,8 @@ def append_events(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def field_problems(events: DataFrame) -> DataFrame:
     """(report, seq, field) of reviewers and notes that are not single clean lines, and of bad digests."""
-    line = lambda c, most: F.col(c).isNotNull() & (F.col(c).rlike(r"[\r\n]") | (F.length(c) > most) | is_credential_shaped(F.col(c)))
-    bad = [F.when(F.coalesce(F.trim("reviewer") == "", F.lit(True)) | line("reviewer", 200), "reviewer"), F.when(line("note", 2000), "note"), F.when(~F.coalesce(F.col("report").rlike("^[0-9a-f]{64}$"), F.lit(False)), "report")]
+    line = lambda c, most: F.col(c).isNotNull() & (F.col(c).rlike(r"[\r\n\x00]") | (F.trim(c) == "") | (F.length(c) > most) | is_credential_shaped(F.col(c)))
+    bad = [F.when(F.coalesce(F.trim("reviewer") == "", F.lit(True)) | line("reviewer", MOST_REVIEWER), "reviewer"), F.when(line("note", MOST_NOTE), "note"), F.when(~F.coalesce(F.col("report").rlike("^[0-9a-f]{64}$"), F.lit(False)), "report")]
     return events.select("report", "seq", F.explode(F.array_compact(F.array(*bad))).alias("field"))
 
 

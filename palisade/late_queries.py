@@ -767,10 +767,13 @@ def w5_append_events(x: ReviewLens) -> DataFrame:
     return review.append_events(x.events, new).select("report", "candidate", "seq", "from_disposition")
 
 
-@review_query(" select field, count(*) as n from (select case when event_id % 3 = 0 then 'note' when event_id % 3 = 1 then 'reviewer' else 'report' end as field from ev) group by 1")
+@review_query(" select field, count(*) as n from (select case event_id % 5 when 0 then 'note' when 1 then 'reviewer' when 2 then 'report' else 'recorded_at' end as field from ev) group by 1")
 def w6_event_field_checks(x: ReviewLens) -> DataFrame:
-    k = F.col("event_id") % 3
-    rows = x.events.withColumns({"note": F.when(k == 0, "token: abc").otherwise("fine"), "reviewer": F.when(k == 1, "a\nb").otherwise("ann"), "report": F.when(k == 2, "x").otherwise(F.sha2("report", 256))})
+    k = F.col("event_id") % 5
+    rows = x.events.withColumns({
+        "note": F.when(k == 0, "token: abc").otherwise("fine"), "reviewer": F.when(k == 1, "a\nb").otherwise("ann"), "report": F.when(k == 2, "x").otherwise(F.sha2("report", 256)),
+        "recorded_at": F.when(k == 3, "2026-01-01T00:00:00").when(k == 4, "2026-02-30T00:00:00Z").otherwise("2026-01-01T00:00:00Z"),
+    })
     return review.field_problems(rows).groupBy("field").agg(F.count("*").alias("n"))
 
 

@@ -150,9 +150,13 @@ def append_events(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def field_problems(events: DataFrame) -> DataFrame:
-    """(report, seq, field) of reviewers and notes that are not single clean lines, and of bad digests."""
+    """(report, seq, field) of reviewers and notes that are not single clean lines, instants that are not of UTC, and bad digests."""
     line = lambda c, most: F.col(c).isNotNull() & (F.col(c).rlike(r"[\r\n\x00]") | (F.trim(c) == "") | (F.length(c) > most) | is_credential_shaped(F.col(c)))
-    bad = [F.when(F.coalesce(F.trim("reviewer") == "", F.lit(True)) | line("reviewer", MOST_REVIEWER), "reviewer"), F.when(line("note", MOST_NOTE), "note"), F.when(~F.coalesce(F.col("report").rlike("^[0-9a-f]{64}$"), F.lit(False)), "report")]
+    fits = lambda c, form: F.coalesce(F.col(c).rlike(form), F.lit(False))
+    bad = [
+        F.when(F.col("reviewer").isNull() | line("reviewer", MOST_REVIEWER), "reviewer"), F.when(line("note", MOST_NOTE), "note"), F.when(~fits("report", "^[0-9a-f]{64}\\z"), "report"),
+        F.when(~fits("recorded_at", UTC_INSTANT) | F.try_to_timestamp("recorded_at").isNull(), "recorded_at"),
+    ]
     return events.select("report", "seq", F.explode(F.array_compact(F.array(*bad))).alias("field"))
 
 

@@ -73,3 +73,11 @@ def test_integers_fit_into_64_bits(spark):
     docs = [{"n": 2**63 - 1}, {"n": 2**63}, {"n": 10**30}, {"n": 1e300}]
     rows = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "at long, value string")
     assert {r["at"]: r.problem for r in schema.checked(rows, rule).collect()} == {0: None, 1: "n: is out of bounds", 2: "n: is out of bounds", 3: "n: is out of bounds"}
+
+
+def test_fields_of_events(spark):
+    sha, at = "a" * 64, "2026-01-01T00:00:00Z"
+    rows = [(sha, 1, "ann", None, at), (sha, 2, " ", "", at), (sha, 3, None, "n" * 501, None), (sha + "\n", 4, "a" * 256, "n" * 500, "2026-01-01T00:00:00+01:00"), (None, 5, "a" * 257, "a\x00b", "2026-01-01T25:00:00Z"), ("A" * 64, 6, "password=x", "secret: x", at + "\n")]
+    got = review.field_problems(spark.createDataFrame(rows, "report string, seq long, reviewer string, note string, recorded_at string"))
+    both = ["note", "reviewer"]
+    assert {(r.seq, r.field) for r in got.collect()} == {(i, f) for i, fs in {2: both, 3: [*both, "recorded_at"], 4: ["report", "recorded_at"], 5: [*both, "report", "recorded_at"], 6: [*both, "report", "recorded_at"]}.items() for f in fs}

@@ -63,3 +63,10 @@ def test_query_finds_every_name(spark, sf, monkeypatch):
     monkeypatch.setattr(control, "BODY_FIELDS", tuple(c for c in control.BODY_FIELDS if c != "worktree"))
     assert "worktree" not in found()
     assert all(f"my_{c}_2" in _BARRED for c in control.BODY_PARTS) and set(control.BODY_FIELDS) <= set(_BARRED)
+
+
+def test_names_put_into_rows_are_whole(spark):
+    """The names that the query puts into rows are still the list its SQL was made of."""
+    from palisade import late_queries
+
+    assert isinstance(late_queries._NAMED, list) and repr(late_queries._NAMED) in entry.oracle_sql()["c2_body_free_check"]

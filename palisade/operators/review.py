@@ -9,7 +9,7 @@ from palisade.operators import selector
 from palisade.operators.scan import numbered, with_previous
 from palisade.operators.scrub import is_credential_identity, is_credential_shaped
 from palisade.sources.model import Graph
-from palisade.sources.schema import Fields, Items, Text, Whole, checked, repeats
+from palisade.sources.schema import Fields, Items, Text, Whole, checked, repeats, spread
 from palisade.sources.snapshots import cut
 
 FIELDS = ["run_id", "pattern_id", "pattern_version", "tool_key", "artifact_digest"]
@@ -63,7 +63,7 @@ _EVENTS = f"array<struct<sequence:bigint,candidate_id:string,candidate:struct<{_
 def _documents(files: DataFrame, rule: Fields) -> DataFrame:
     """files plus value, problem and `_digest` of the bytes; what is no UTF-8 is no JSON either."""
     named = files.withColumns({"value": F.try_validate_utf8(F.col("content").cast("string")), "_digest": F.sha2("content", 256)})
-    return cut(checked(named, rule, MOST_BYTES).drop("doc", "content"))
+    return cut(checked(spread(named), rule, MOST_BYTES).drop("doc", "content"))
 
 
 def read_reports(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -90,7 +90,9 @@ def read_annotations(files: DataFrame, reports: DataFrame, identify: Column) ->
     """
     got = _documents(files, ANNOTATION_RULE)
     doc = F.try_parse_json("value")
-    fine = got.filter("problem is null").dropDuplicates(["_digest"]).select("_digest", F.substring(F.try_variant_get(doc, "$.source.source_report_digest", "string"), 8, 64).alias("report"), F.posexplode_outer(F.try_variant_get(doc, "$.events", _EVENTS)).alias("_pos", "e"))
+    # Taken out below the explode: what stands beside it is computed once for every row that it makes.
+    parts = got.filter("problem is null").dropDuplicates(["_digest"]).select("_digest", F.substring(F.try_variant_get(doc, "$.source.source_report_digest", "string"), 8, 64).alias("report"), F.try_variant_get(doc, "$.events", _EVENTS).alias("_events"))
+    fine = parts.select("_digest", "report", F.posexplode_outer("_events").alias("_pos", "e"))
     events = fine.select("_digest", "_pos", "report", F.col("e.candidate_id").alias("candidate"), F.col("e.sequence").alias("seq"), "e.candidate.*", "e.from_disposition", "e.disposition", "e.reviewer", "e.recorded_at", "e.note")
     known = reports.select("report").distinct().withColumn("_known", F.lit(True))
     foreign = F.when(~F.col("candidate").eqNullSafe(identify) & F.col("candidate").isNotNull(), F.col("_pos"))

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 from palisade.operators import review
 from palisade.sources import schema
 
@@ -81,3 +82,15 @@ def test_fields_of_events(spark):
     got = review.field_problems(spark.createDataFrame(rows, "report string, seq long, reviewer string, note string, recorded_at string"))
     both = ["note", "reviewer"]
     assert {(r.seq, r.field) for r in got.collect()} == {(i, f) for i, fs in {2: both, 3: [*both, "recorded_at"], 4: ["report", "recorded_at"], 5: [*both, "report", "recorded_at"], 6: [*both, "report", "recorded_at"]}.items() for f in fs}
+
+
+def test_annotations_are_parsed_once_for_all_their_events(spark):
+    """Nothing above the explode of a document's events parses the document again, which would cost the square of its length."""
+    files = spark.createDataFrame([(bytearray(b"{}"),)], "content binary")
+    events, _ = review.read_annotations(files, spark.createDataFrame([], "report string"), F.lit("x"))
+    above, _, below = events._jdf.queryExecution().optimizedPlan().toString().partition("Generate")
+    assert below and "parse_json" not in above.lower() and "parsejson" not in above.lower()
+
+
+def test_checks_are_spread_over_all_cores(spark):
+    assert schema.spread(spark.range(1)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

@@ -2,6 +2,7 @@
 
 import pytest
 from palisade.operators import deny, selector
+from palisade.plans.control import Plans, principal_decisions
 from palisade.sources.lens import StoredLens
 
 
@@ -30,6 +31,17 @@ def test_no_rows_are_dealt_by_a_mark(x):
     assert not [line for line in text.splitlines() if "hashpartitioning" in line and ", true, " in line]
 
 
+def test_candidates_keep_their_plan(spark, x):
+    asked = x.candidates.selectExpr("agent as run_id", "agent as principal", "ref as tool")
+    asked = asked.unionByName(asked).unionByName(spark.sql("select 'r' as run_id, 'ghost' as principal, 'a::b' as tool"))
+    got = principal_decisions(Plans(None, asked, None, None), x.graph)
+    assert "Window" not in plan(got)
+    single = {(r.agent, r.candidate): r.reason for r in selector.eligible_tools(x.graph, x.candidates).collect()}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == 2 * x.candidates.count() + 1 and ("r", "ghost", "a::b", None, "AGENT_NOT_FOUND") in rows
+    assert all(single[a, ref] == reason for run, a, ref, _, reason in rows if run != "r")
+
+
 def test_evidence_equals_matched_exceptions(spark, x):
     g = x.graph
     pairs = g.can_call.select("agent", "tool_key")

@@ -1,7 +1,7 @@
 """Steps that many queries share derive their tables once and deal rows no more often than they are joined."""
 
 import pytest
-from palisade.operators import deny, selector
+from palisade.operators import deny, manifest, selector
 from palisade.plans.control import Plans, principal_decisions
 from palisade.sources.lens import StoredLens
 
@@ -26,6 +26,23 @@ def test_tools_and_servers_follow_from_their_keys(x):
     assert rows and all(r.tool_key == f"{r.server}::{r.tool}" for r in rows)
 
 
+def test_a_changed_graph_is_written_once(x):
+    after = manifest.apply_manifest(x.manifest, x.graph)
+    assert after.can_call is after.can_call
+    assert "Join" not in plan(after.can_call)
+
+
+def test_bindings_are_resolved_without_the_grants(x):
+    grants = x.manifest.grants.filter("ref not like '%marked_grant%'")
+    text = plan(manifest.resolve_manifest(x.manifest.with_tables(grants=grants), x.graph.tools).bindings, "logical")
+    assert "marked_grant" not in text
+
+
+def test_warnings_are_found_once(x):
+    none = x.manifest.with_tables(exceptions=x.manifest.exceptions.limit(0))
+    assert "Join" not in plan(manifest.ingest(none, x.graph)[1])
+
+
 def test_no_rows_are_dealt_by_a_mark(x):
     text = plan(selector.rank_features(x.graph, x.candidates), "executedPlan")
     assert not [line for line in text.splitlines() if "hashpartitioning" in line and ", true, " in line]

@@ -166,6 +166,6 @@ def review_plan(candidates: DataFrame, events: DataFrame, graph: Graph, agents:
     """Accepted candidates with the current decision for an agent; the action is fixed and nothing changes by itself."""
     accepted = current_dispositions(candidates, events, "accepted").join(agents, "report")
     asked = accepted.select("agent", F.lit(1).alias("pos"), F.col("tool_key").alias("ref")).distinct()
-    now = selector.eligible_tools(graph, asked, profile).select("agent", F.col("candidate").alias("tool_key"), F.when(F.col("reason").isNull(), "eligible").otherwise("rejected").alias("decision"), "reason")
+    now = selector.eligible_tools(graph, asked, profile, evidence=False).select("agent", F.col("candidate").alias("tool_key"), F.when(F.col("reason").isNull(), "eligible").otherwise("rejected").alias("decision"), "reason")
     got = accepted.join(now, ["agent", "tool_key"], "left")
     return got.select("report", "candidate", "agent", "tool_key", F.coalesce("decision", F.lit("unresolved")).alias("decision"), "reason", F.lit("review_policy").alias("action"), F.lit(False).alias("automatic"))

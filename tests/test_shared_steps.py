@@ -70,3 +70,14 @@ def test_evidence_equals_matched_exceptions(spark, x):
     plain = deny.described(deny.match_exceptions(deny.deny_paths(odd), odd.exceptions)).select(*lists.columns)
     assert lists.exceptAll(plain).isEmpty() and plain.exceptAll(lists).isEmpty()
     assert not lists.filter("classification <> 'violation'").isEmpty()
+
+
+def test_decisions_without_evidence_carry_no_paths(x):
+    graph, asked = x.graph, x.candidates
+    told = selector.eligible_tools(graph, asked).drop("deny_paths", "paths")
+    slim = selector.eligible_tools(graph, asked, evidence=False)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert slim.columns == told.columns and rows(slim) == rows(told)
+    assert {"violation", "authorized_but_governed"} <= {r.classification for r in slim.collect()}
+    decided = principal_decisions(Plans(None, asked.selectExpr("agent as run_id", "agent as principal", "ref as tool"), None, None), graph)
+    assert "GOVERNED_BY" not in plan(decided)
